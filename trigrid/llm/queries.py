@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, quality, secret_scan
+from . import bpe, debruijn, neardup, quality, secret_scan
 from .common import Workspace, table
 
 
@@ -19,6 +19,10 @@ def op4_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op6_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,6 @@ def op7_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_debruijn_dedup, op4_bpe_backtracking, op6_quality_repetition, op7_secret_lexing)
+    f.__name__: f for f in (op2_debruijn_dedup, op4_bpe_backtracking, op5_minhash_neardup, op6_quality_repetition, op7_secret_lexing)
 }
 ORACLES: dict[str, str] = {}
