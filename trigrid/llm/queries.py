@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, neardup, quality, secret_scan
+from . import bpe, debruijn, embedding, licenses, linededup, mixing, neardup, quality, secret_scan, warc
 from .common import Workspace, table
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op2_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), Workspace(spark))
+
+
 def op4_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,7 +39,23 @@ def op7_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op9_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark))
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_debruijn_dedup, op4_bpe_backtracking, op5_minhash_neardup, op6_quality_repetition, op7_secret_lexing)
-}
-ORACLES: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_temperature_mixing, op2_debruijn_dedup, op3_warc_archive, op4_bpe_backtracking, op5_minhash_neardup,
+        op6_quality_repetition, op7_secret_lexing, op8_line_dedup, op9_pivot_vectors, op10_license_rules,
+    )
+}
+ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE}
