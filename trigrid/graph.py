@@ -78,11 +78,8 @@ def complete_degrees(e: DataFrame, max_vid: int | None = None) -> DataFrame:
     return ids.join(degrees(e), "vid", "left").select("vid", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-#: Orders of the two relabelings: rising degree with unused ids last, and falling degree and id.
-RELABEL_ORDERS = {
-    "asc": [F.expr, ("degree = 0", "degree", "vid")],
-    "desc": [F.expr, ("-degree", "-vid")],
-}
+#: The two relabelings: rising degree with unused ids last, and falling degree and id.
+RELABELINGS = ("asc", "desc")
 
 
 def relabel_table(deg: DataFrame, kind: str) -> DataFrame:
@@ -91,7 +88,7 @@ def relabel_table(deg: DataFrame, kind: str) -> DataFrame:
     A global rank without one task seeing all rows: vertices are counted by degree (a table as long as
     the number of distinct degrees), which gives each degree its offset; within a degree, ids are
     ranked in chunks of the id range, whose sizes are counted the same way."""
-    if kind not in RELABEL_ORDERS:
+    if kind not in RELABELINGS:
         raise ValueError(f"unknown relabelling {kind!r}")
     chunk = 1 << 16
     sign = 1 if kind == "asc" else -1

@@ -66,11 +66,9 @@ def quadtree(e: DataFrame, limit: int, width: int = WIDTH) -> DataFrame:
     Counts at the finest needed depth are rolled up, so the edges are read once; a shard is final when
     it fits and its parent didn't."""
     levels = _levels(width)
-    cells = with_grid(e, width).groupBy("gr", "gc", "ls", "ld").agg(F.count("*").alias("n")) if levels == 0 else with_grid(e, width)
-    wide = cells.select("gr", "gc", "ls", "ld", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth"))
-    down = F.lit(levels) - F.col("depth")
+    wide = with_grid(e, width).select("gr", "gc", "ls", "ld", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth"))
     counted = (
-        wide.select("gr", "gc", "depth", F.expr(f"shiftright(ls, {levels} - depth)").alias("sr"), F.expr(f"shiftright(ld, {levels} - depth)").alias("sc"), down.alias("down"))
+        wide.select("gr", "gc", "depth", F.expr(f"shiftright(ls, {levels} - depth)").alias("sr"), F.expr(f"shiftright(ld, {levels} - depth)").alias("sc"))
         .groupBy("gr", "gc", "depth", "sr", "sc")
         .agg(F.count("*").alias("edges"))
     )
@@ -96,7 +94,7 @@ def parse_shard_name(df: DataFrame, column: str = "stem") -> DataFrame:
 
 def catalogue(shards: DataFrame, width: int = WIDTH) -> DataFrame:
     """Half-open global id ranges of shards (gr, gc, depth, sr, sc, edges)."""
-    w = F.shiftright(F.lit(width), F.col("depth"))
+    w = F.expr(f"shiftright({width}, depth)")
     return shards.select(
         "gr", "gc", "depth", "sr", "sc", "edges",
         (F.col("gr") * width + F.col("sr") * w).cast("long").alias("row_from"), (F.col("gr") * width + (F.col("sr") + 1) * w).cast("long").alias("row_to"),
@@ -145,5 +143,5 @@ def linear_slices(e: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
 
 def large_shards(shards: DataFrame, share: float) -> DataFrame:
     """Shards whose size is at least that of the shard at the given share of the descending order."""
-    cut = shards.agg(F.percentile_disc("edges", 1 - share).alias("cut")) if hasattr(F, "percentile_disc") else shards.agg(F.expr(f"percentile_disc({1 - share}) WITHIN GROUP (ORDER BY edges)").alias("cut"))
+    cut = shards.agg(F.expr(f"percentile_disc({1 - share}) WITHIN GROUP (ORDER BY edges)").alias("cut"))
     return shards.join(F.broadcast(cut), F.col("edges") >= F.col("cut")).drop("cut")
