@@ -3,8 +3,8 @@
 Pages are grouped by host; a line's boilerplate ratio is the number of the host's pages that contain
 it over the host's page total. Lines above the limit (and on at least ``min_pages`` pages) are dropped
 wherever they stand on that host. A host can have no more such lines than lines per page over the
-limit, so they fit into one array per host, which joins back to the pages: by a broadcast where
-Spark finds the table small, else by a join whose hot hosts adaptive execution splits.
+limit, so they fit into one array per host. That table is written, and joins back to the pages: by a
+broadcast where Spark finds it small, else by a join whose hot hosts adaptive execution splits.
 
 Defined results: lines are split at line feeds and compared exactly; lines of white space only always
 stay; a null text stays null and counts as a page without lines; a null host is a host of its own; a page
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 #: Largest share of a host's pages that may contain a line, and the least number of pages to judge by.
 MAX_RATIO = 0.02
 MIN_PAGES = 10
@@ -42,9 +44,10 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_
     return over.groupBy("__host").agg(F.collect_list("__line").alias("__drop"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ws: Workspace, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with the boilerplate lines gone from ``text``, and ``__dropped``, how many went."""
-    drop = boilerplate(pages, host, text, max_ratio, min_pages)
+    # Written first: its true size then decides between a broadcast and a shuffle of the texts.
+    drop = ws.keep(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
     joined = pages.withColumn("__host", F.struct(F.col(host).alias("h"))).join(drop, "__host", "left")
     kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__drop"), _key(x)))
     joined = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
@@ -53,21 +56,22 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     return joined.select(*[F.col(f"`{c}`") for c in pages.columns], "__dropped")
 
 
-def clean_documents(docs: DataFrame) -> DataFrame:
+def clean_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Documents with their source as host: the same columns, texts cleaned, n_chars as they are now."""
-    out = drop_boilerplate(docs)
+    out = drop_boilerplate(docs, ws)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.drop("__dropped")
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, ws: Workspace) -> DataFrame:
     """One row per document: lines before, lines dropped, and the digest of what is left."""
-    out = drop_boilerplate(docs.select("doc_id", "source", "text"))
-    text = F.coalesce("text", F.lit(""))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text")) + F.when((F.col("text") == "") & (F.col("__dropped") > 0), -1).otherwise(0)).cast("long")
-    return out.select("doc_id", (n + F.col("__dropped")).alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.encode(text, "utf-8"), 256).alias("kept_sha256"))
+    n_lines = F.coalesce(F.size(_lines("text")), F.lit(0)).cast("long")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
+    out = drop_boilerplate(docs.select("doc_id", "source", "text", n_lines.alias("n_lines")), ws)
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
+    return out.select("doc_id", "n_lines", F.col("__dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
 ORACLE = f"""

@@ -40,7 +40,7 @@ def op7_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(table(spark, sf_dir, "documents"))
+    return linededup.line_report(table(spark, sf_dir, "documents"), Workspace(spark))
 
 
 def op9_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
