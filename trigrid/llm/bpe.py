@@ -32,7 +32,7 @@ from .common import arrow_map, keyed_texts
 
 END = "</w>"
 #: Distinct words whose tokens a worker remembers in each of two generations; bounds its memory.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: The usual splitting pattern, and the same for the quicker ``re`` module; its classes differ only for
 #: the characters in ODD (numbers that are not digits, and four control characters).
 USUAL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -64,6 +64,8 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.Table | pa.Reco
             for a, b in slices(lengths):
                 out = work(batch.slice(a, b - a))
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+        # Workers outlive the task; what Arrow has set aside goes back.
+        pa.default_memory_pool().release_unused()
 
     import pyarrow.compute  # noqa: F401  (bound as pa.compute on the executors too)
 

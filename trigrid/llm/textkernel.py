@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text handled at a time; bounds the working memory of a task.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -45,7 +45,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = max(n, SLICE_BYTES + 4096)
             for name, b in (("up", self.base), ("down", self.inv)):
                 steps = np.full(n, b & ((1 << 64) - 1), dtype=np.uint64)
                 steps[0] = 1
