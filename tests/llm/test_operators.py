@@ -294,6 +294,15 @@ def test_secret_scan_base_and_lexed(spark, empty):
     assert secret_scan.secret_scan(empty).count() == 0
 
 
+def test_secret_sums_of_sums_stay_small():
+    doubled = 'x = "ab"\ny = ""\n' + "x = x + x\ny = y + y\n" * 200
+    found = secret_scan.bindings(doubled)
+    assert max(len(value) for _, value, _ in found) <= secret_scan.LONGEST_SUM
+    assert max(len(spans) for _, _, spans in found) <= secret_scan.LONGEST_SUM
+    key = "Zq8" * 200
+    assert secret_scan.lexed_spans(f'k = "{key}"\napi_token = k\n') == [(5, 3, 605)]
+
+
 def test_secret_base_patterns_leftmost():
     text = "password = api_key: abcdefgh token==x/y+zABC.9 apikey='12345678' AKIA12 PASSWD:'a.b.c.d.e'"
     want = []
