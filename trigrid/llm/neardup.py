@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     features = ws.keep(arrow_map(docs, _features, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")
     linkable = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    member = ws.keep(features.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", "node"), "member")
+    member = ws.keep(features.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "member")
     reps = linkable.join(classes, ["k1", "k2"]).where("doc_id = node").select("node", "n_shingles", "sig", "bands")
 
     # Buckets of two members or more, and each member's number of bucket neighbours.
