@@ -82,7 +82,7 @@ def _as_set(raw: bytes) -> np.ndarray:
 
 
 def _confirm_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, node, members) sorted by hub, the hub's own row first."""
+    """Rows (hub, node, members) sorted by hub and block, the hub's own row first in each block."""
     hub_id, hub_set = None, None
     for batch in batches:
         u, v = [], []
@@ -171,18 +171,22 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     n = _partitions(docs)
     features = ws.keep(arrow_map(docs, _features, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")
     linkable = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    # Aggregates are written before they join back to what they sum up: adaptive execution splits the hot
+    # keys (a third of all rows may be copies) of a join of two scans, not those of a join with an aggregate.
+    classes = ws.keep(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
     member = ws.keep(features.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "member")
-    reps = linkable.join(classes, ["k1", "k2"]).where("doc_id = node").select("node", "n_shingles", "sig", "bands")
+    reps = linkable.join(classes.withColumn("doc_id", F.col("node")), ["k1", "k2", "doc_id"]).select("node", "n_shingles", "sig", "bands")
 
     # Buckets of two members or more, and each member's number of bucket neighbours.
     cells = reps.select("node", F.explode("bands").alias("key"))
     sizes = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    cells = ws.keep(cells.join(sizes.select("key", "n"), "key"), "cells")
+    sizes = ws.keep(sizes.select("key", "n"), "sizes")
+    cells = ws.keep(cells.join(sizes, "key"), "cells")
     nodes = ws.keep(cells.groupBy("node").agg(F.sum("n").alias("degree")), "nodes")
     reps = ws.keep(reps.join(nodes, "node"), "reps")
     hubs = cells.join(nodes, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("low"))).alias("best"))
-    stars = cells.join(hubs.select("key", (-F.col("best.low")).alias("hub")), "key").where("node <> hub").select("hub", "node").distinct()
+    hubs = ws.keep(hubs.select("key", (-F.col("best.low")).alias("hub")), "hubs")
+    stars = cells.join(hubs, "key").where("node <> hub").select("hub", "node").distinct()
 
     small = reps.select("node", "n_shingles", "sig")
     alike = F.expr(f"aggregate(sequence(1, {minhash.BINS}), 0, (s, i) -> s + if(substring(sig, i, 1) = substring(hub_sig, i, 1), 1, 0))")
@@ -197,8 +201,11 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     # Full sets of the documents that share a bucket with another.
     sets = ws.keep(arrow_map(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]), _sets, "node long, members binary"), "sets", "lz4")
-    pairs = stars.union(stars.select("hub", F.col("hub").alias("node")).distinct())
-    dealt = pairs.join(sets, "node").repartition(n, "hub").sortWithinPartitions("hub", F.col("node") != F.col("hub"))
+    # A star is dealt in blocks, each with a copy of the hub's set, so no task gets the whole of a large one.
+    blocks = ws.keep(stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "star-blocks")
+    pairs = stars.join(blocks, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    own = blocks.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = pairs.union(own).join(sets, "node").repartition(n, "hub", "block").sortWithinPartitions("hub", "block", F.col("node") != F.col("hub"))
     links = ws.keep(dealt.select("hub", "node", "members").mapInArrow(_confirm_stars, "u long, v long"), "links")
     found = ws.keep(components(links, ws, "star"), "star")
 
@@ -206,8 +213,8 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     label = F.coalesce("component", "node").alias("component")
     cells = cells.join(found, "node", "left").select("key", "node", label)
     mixed = cells.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = cells.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = ws.keep(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rest = cells.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "node", "component", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     rest = rest.join(reps.select("node", "n_shingles", "sig", "bands"), "node")
@@ -219,7 +226,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     more = ws.keep(dealt.select(*names, "members").mapInArrow(_confirm_blocks, "u long, v long"), "more")
     if not more.isEmpty():
         found = ws.keep(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), ws, "all"), "all")
-    ws.drop("features", "cells", "nodes", "reps", "stars", "sets", "links", "flagged", "more")
+    ws.drop("features", "classes", "sizes", "hubs", "star-blocks", "mixed", "cells", "nodes", "reps", "stars", "sets", "links", "flagged", "more")
 
     out = member.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
