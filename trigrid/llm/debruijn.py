@@ -140,13 +140,14 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = WINDOW, anchor:
         docs.where("doc_id IS NOT NULL"), lambda b: _paths(b, window, anchor), "doc_id long, row_key long, anchor long, path long, lo int, hi int"
     )
     paths = ws.keep(paths, "paths")
+    # Aggregates are written before they join back to what they sum up: adaptive execution splits the hot
+    # anchors (a passage in a third of all documents) of a join of two scans, not those of a join with an aggregate.
     anchors = paths.groupBy("anchor").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-    shared = ws.keep(
-        paths.join(anchors.where("d0 <> d1"), "anchor").select("doc_id", "row_key", "anchor", "path", "lo", "hi", "d0", (F.col("p0") != F.col("p1")).alias("branches")), "shared"
-    )
+    anchors = ws.keep(anchors.where("d0 <> d1").select("anchor", "d0", (F.col("p0") != F.col("p1")).alias("branches")), "anchors")
+    shared = ws.keep(paths.join(anchors, "anchor").select("doc_id", "row_key", "anchor", "path", "lo", "hi", "d0", "branches"), "shared")
     compacted = shared.where("NOT branches AND doc_id > d0").select("doc_id", "row_key", "lo", (F.col("hi") + window).alias("hi"))
     branching = shared.where("branches")
-    owners = branching.groupBy("anchor", "path").agg(F.min("doc_id").alias("owner"))
+    owners = ws.keep(branching.groupBy("anchor", "path").agg(F.min("doc_id").alias("owner")), "owners")
     branching = ws.keep(branching.join(owners, ["anchor", "path"]).select("doc_id", "row_key", "lo", "hi", "owner"), "branching")
     copies = branching.where("doc_id > owner").select("doc_id", "row_key", "lo", (F.col("hi") + window).alias("hi"))
     # The first copies of branching paths, with their text: ranges of a document come together, which
@@ -155,6 +156,7 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = WINDOW, anchor:
     edges = arrow_map(docs.where("doc_id IS NOT NULL").join(wanted, "doc_id").select("doc_id", "row_key", "text", "ranges").where(f"row_key = {_TEXT_KEY}"), lambda b: _edges(b, window), "doc_id long, row_key long, e1 long, e2 long, lo int")
     edges = ws.keep(edges, "edges")
     first = edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last")
+    first = ws.keep(first.select("e1", "e2", "owner"), "first")
     single = edges.join(first, ["e1", "e2"]).where("doc_id > owner").select("doc_id", "row_key", "lo", (F.col("lo") + window).alias("hi"))
     spans = compacted.union(copies).union(single).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     spans = ws.keep(spans, "spans")
