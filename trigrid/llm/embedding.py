@@ -136,9 +136,11 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD
     finite = "exists(vec, x -> x <> 0) AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     usable = F.expr(f"coalesce(vec_id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND {finite}, false)")
     hashed = rows.select("vec_id", "vec", usable.alias("usable"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
-    classes = hashed.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
+    # Aggregates are written before they join back to what they sum up: adaptive execution splits the hot keys
+    # (a third of all rows may be copies, or in one list) of a join of two scans, not those of a join with an aggregate.
+    classes = ws.keep(hashed.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
     member = ws.keep(hashed.select("vec_id", "usable", "h1", "h2").join(classes, ["h1", "h2"], "left").select("vec_id", F.when(F.col("usable"), F.col("node")).alias("node"), F.when(F.col("usable"), F.col("n")).alias("n")), "member")
-    reps = hashed.where("usable").join(classes, ["h1", "h2"]).where("vec_id = node").dropDuplicates(["node", "h1", "h2"])
+    reps = hashed.where("usable").join(classes.withColumn("vec_id", F.col("node")), ["h1", "h2", "vec_id"]).dropDuplicates(["node", "h1", "h2"])
     reps = ws.keep(reps.select("node", "vec", "n"), "reps")
 
     total = reps.count()
@@ -150,7 +152,8 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD
         described = ws.keep(described, "described")
         cells = described.select("node", F.explode("keys").alias("key"))
         lists = cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        cells = cells.join(lists.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
+        lists = ws.keep(lists.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "lists")
+        cells = cells.join(lists, "key")
         cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("key", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
         facts = reps.join(described.select("node", "near"), "node")
@@ -163,7 +166,7 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD
         out = ws.keep(dealt.mapInArrow(lambda it: _compare(it, threshold), "u long, v long, links long"), "links")
         links = out.where("links IS NOT NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("more"))
         found = ws.keep(components(out.where("v IS NOT NULL").select("u", "v"), ws, "vectors"), "found")
-        ws.drop("reps", "described")
+        ws.drop("classes", "reps", "described", "lists")
     result = member.join(found, "node", "left").join(links, "node", "left").select(
         "vec_id",
         F.when(F.col("node").isNotNull(), F.col("n") - 1 + F.coalesce("more", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
