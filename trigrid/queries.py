@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, partition, primitives, triangles
+from . import graph, jobs, partition, primitives, triangles
 
 WIDTH = 256
 QUAD_WIDTH = 2048
@@ -187,10 +187,26 @@ g2.gr AS g2_gr, g2.gc AS g2_gc, g2.sr AS g2_sr, g2.sc AS g2_sc
 FROM c g1 JOIN c g2 ON g1.gr = g2.gr JOIN c g0 ON g0.gr = g2.gc AND g0.gc = g1.gc WHERE {partition.OVERLAP}"""
 
 
+JOB_COLUMNS = [f"{g}.{c} AS {g}_{c}" for g in ("g0", "g1", "g2") for c in ("gr", "gc", "sr", "sc")]
+
+
 @query(f"WITH {CATALOGUE_SQL} {SHARD_JOBS_SQL}")
 def shard_jobs(spark, sf_dir):
-    jobs = partition.shard_jobs(partition.shard_catalogue(co_parts(spark, sf_dir), DEPTH, QUAD_WIDTH))
-    return jobs.select(*[F.col(f"{g}.{c}").alias(f"{g}_{c}") for g in ("g0", "g1", "g2") for c in ("gr", "gc", "sr", "sc")])
+    return partition.shard_jobs(partition.shard_catalogue(co_parts(spark, sf_dir), DEPTH, QUAD_WIDTH)).selectExpr(*JOB_COLUMNS)
+
+
+_SIDE = QUAD_WIDTH >> DEPTH
+_LABELS = ", ".join(
+    f"{g}.src // {QUAD_WIDTH} AS {g}_gr, {g}.dst // {QUAD_WIDTH} AS {g}_gc, {g}.src % {QUAD_WIDTH} // {_SIDE} AS {g}_sr, {g}.dst % {QUAD_WIDTH} // {_SIDE} AS {g}_sc" for g in ("g0", "g1", "g2")
+)
+
+
+@query(f"""WITH {CATALOGUE_SQL}, jobs AS ({SHARD_JOBS_SQL}),
+t AS (SELECT {_LABELS}, count(*) AS n FROM e g1 JOIN e g2 ON g1.src = g2.src JOIN e g0 ON g0.src = g2.dst AND g0.dst = g1.dst GROUP BY ALL)
+SELECT jobs.*, 'FINISH' AS state, coalesce(n, 0) AS triangles FROM jobs LEFT JOIN t USING (g0_gr, g0_gc, g0_sr, g0_sc, g1_gr, g1_gc, g1_sr, g1_sc, g2_gr, g2_gc, g2_sr, g2_sc)""")
+def job_results(spark, sf_dir):
+    e = co_parts(spark, sf_dir)
+    return jobs.finish(e, partition.shard_catalogue(e, DEPTH, QUAD_WIDTH), QUAD_WIDTH).selectExpr(*JOB_COLUMNS, "state", "triangles")
 
 
 @query(f"WITH {CATALOGUE_SQL} {SHARD_JOBS_SQL}")
