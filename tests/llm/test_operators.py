@@ -404,6 +404,26 @@ def test_license_rules_match_python(spark):
         assert got[i].labels == ",".join(sorted({d[2].label for d in left} | base)), text
 
 
+def test_license_rules_without_gate_and_keywords(spark):
+    """Every rule over every text: no prefilter may lose a match."""
+    lower = str.maketrans(licenses.UPPER, licenses.LOWER)
+    want = {
+        "released under MPL 2.0": "mpl-2", "distributed under the Boost Software 1.0": "boost-1", "available under Apache 2.0": "apache-2", "published under EUPL 1.2": "eupl-1.2", "the BSD 3-Clause terms": "bsd-3",
+        "Apache-2.0": "apache-2", "Eclipse Public 2.0": "epl-2", "unless required by applicable law or agreed to in writing, software": "apache-2", "from zero to one": "", "No part of this work may be reproduced": "proprietary",
+    }
+    names = "|".join(n for _, n, _ in licenses.FAMILIES).replace("(?:", "").replace(")?", "").replace(")", "").split("|")
+    texts = [*want, *[f"x released under the {n} 2 0 y {n} 1 1 z" for n in names], *[f"so {words} it" for _, words in licenses.SENTENCES]]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        norm = " " + re.sub(licenses.DELIMITERS, " ", text.translate(lower)).strip() + " "
+        found = [(m.start(), m.end(), r) for r in licenses.rules() for m in re.finditer(r.pattern, norm)]
+        for _, _, r in found:
+            assert r.needs and all(any(k in norm for k in s) for s in r.needs) and any(k in norm for k in licenses.GATE)
+        left = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and e[2].priority >= d[2].priority and (e[:2] != d[:2] or (-e[2].priority, e[2].label) < (-d[2].priority, d[2].label)) for e in found if e is not d)]
+        assert got[i].labels == ",".join(sorted({d[2].label for d in left} | set(filter(None, got[i].base_labels.split(","))))), text
+        assert got[i].labels == want.get(text, got[i].labels), text
+
+
 # --- 1: mixing
 
 

@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A text becomes its words, lower-cased (A-Z only) and set apart by single spaces; every rule is a regular
-expression over that. Rules run only where their keyword stands, and none does in a text without any
-of the gate's keywords. Each match is a detection with an interval and the rule's priority; a detection inside
+expression over that. Rules run only where literals stand that their pattern can't match without; these are
+read off the pattern itself (:func:`needs`); every match has one of those in the gate. Each match is a detection with an interval and the rule's priority; a detection inside
 the interval of another of the same or a higher priority is suppressed, so that "licensed under the
 Apache License, Version 2.0" is one detection and not also one of the bare name. Three base phrases are
 always reported.
@@ -14,7 +14,11 @@ result; columns besides id and text are ignored. ``score`` is the highest weight
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import re._constants as op
+import re._parser as parser
+from collections.abc import Iterable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +30,67 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 DELIMITERS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
+#: Literals that say too little are left out of what a rule needs; so many alternatives are multiplied out.
+LEAST_LITERAL, MOST_LITERALS = 3, 32
+
+
+def _walk(nodes: Iterable, run: frozenset[str]) -> tuple[list[frozenset[str]], frozenset[str], bool]:
+    """Sets of literals one of which stands in each match, those it ends with, and whether these are all of it."""
+    out: list[frozenset[str]] = []
+    whole = True
+    for kind, arg in nodes:
+        if kind is op.LITERAL:
+            run = frozenset(r + chr(arg) for r in run)
+            continue
+        if kind is op.SUBPATTERN:
+            branches = [arg[-1]]
+        elif kind is op.BRANCH:
+            branches = arg[1]
+        elif kind is op.IN and all(k is op.LITERAL for k, _ in arg):
+            branches = [[one] for one in arg]
+        else:
+            branches = []
+        walked = [_walk(branch, run) for branch in branches]
+        tails = frozenset().union(*(tail for _, tail, _ in walked))
+        if walked and all(w for _, _, w in walked) and len(tails) <= MOST_LITERALS:
+            run = tails
+            continue
+        whole = False
+        if walked:
+            out.append(frozenset().union(*(max([*sets, tail], key=_weakest) for sets, tail, _ in walked)))
+        else:
+            out.append(run)
+        run = frozenset([""])
+    return out, run, whole
+
+
+def _weakest(literals: Iterable[str]) -> int:
+    return min(map(len, literals))
+
+
+def needs(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of literals, the most telling first: whatever matches ``pattern`` contains one of each set."""
+    sets, tail, _ = _walk(parser.parse(pattern), frozenset([""]))
+    telling = [s for s in [*sets, tail] if _weakest(s) >= LEAST_LITERAL]
+    return tuple(tuple(sorted(s)) for s in sorted(telling, key=_weakest, reverse=True))
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
     pattern: str
     priority: int
     weight: float
+    needs: tuple[tuple[str, ...], ...]
+
+    @property
+    def keyword(self) -> str:
+        """A literal of every match, empty if none is in all."""
+        return next((s[0] for s in self.needs if len(s) == 1), "")
 
 
-GRANT = "(?:licensed|released|distributed|available|published|provided|offered|dual licensed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?"
+VERBS = "licensed|released|distributed|available|published|provided|offered|dual licensed".split("|")
+GRANT = f"(?:{'|'.join(f'{v} {to}under ' for v in VERBS for to in ('', 'to you '))})(?:the )?(?:terms of )?(?:the )?"
 VERSION = "(?:license )?(?:version |v )?"
 
 #: label, names as they read in running text, SPDX identifiers as words.
@@ -90,37 +145,39 @@ FAMILIES = (
     ("osl-3", "open software " + VERSION + "3(?: 0)?", "osl 3 0"),
 )
 
-#: Sentences that give a license away: label, keyword, pattern.
+#: Names that stand alone, where that is less than the names beside the word license: "zero" by itself is a number.
+BARE = {"cc0-1": "(?:(?:creative commons )?(?:cc0|cc zero)|creative commons zero)(?: 1 0)?(?: universal)?|zero 1 0 universal"}
+
+#: Sentences that give a license away: label, pattern.
 SENTENCES = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "permission", "the above copyright notice and this permission notice shall be included in all copies"),
-    ("isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
-    ("bsd", "redistribution", "redistributions of source code must retain the above copyright notice"),
-    ("bsd", "redistribution", "redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3", "permission", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products"),
-    ("bsd-4", "copyright", "all advertising materials mentioning features or use of this software must display"),
-    ("apache-2", "licen", "you may not use this file except in compliance with the license"),
-    ("apache-2", "licen", "unless required by applicable law or agreed to in writing software"),
-    ("gpl", "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"),
-    ("gpl", "warranty", "you should have received a copy of the gnu general public license"),
-    ("lgpl", "free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library)"),
-    ("agpl", "licen", "you should have received a copy of the gnu affero general public license"),
-    ("gpl-2-or-later", "licen", "either version 2 of the license or at your option any later version"),
-    ("gpl-3-or-later", "licen", "either version 3 of the license or at your option any later version"),
-    ("lgpl-2.1-or-later", "licen", "either version 2 1 of the license or at your option any later version"),
-    ("mpl-2", "licen", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("zlib", "permission", "permission is granted to anyone to use this software for any purpose including commercial applications"),
-    ("boost-1", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
-    ("unlicense", "public domain", "this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "licen", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
-    ("public-domain", "public domain", "(?:is|are|been) (?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain"),
-    ("public-domain", "public domain", "no copyright is claimed and this work is in the public domain"),
-    ("proprietary", "rights reserved", "all rights reserved"),
-    ("proprietary", "permission", "no part of this (?:work|publication|document) may be reproduced"),
-    ("proprietary", "licen", "unauthorized (?:copying|use|distribution) (?:of this file )?is strictly prohibited"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
+    ("bsd", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display"),
+    ("apache-2", "you may not use this file except in compliance with the license"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"),
+    ("gpl", "you should have received a copy of the gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library)"),
+    ("agpl", "you should have received a copy of the gnu affero general public license"),
+    ("gpl-2-or-later", "either version 2 of the license or at your option any later version"),
+    ("gpl-3-or-later", "either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", "either version 2 1 of the license or at your option any later version"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("public-domain", "(?:is|are|been) (?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain"),
+    ("public-domain", "no copyright is claimed and this work is in the public domain"),
+    ("proprietary", "all rights reserved"),
+    ("proprietary", "no part of this (?:work|publication|document) may be reproduced"),
+    ("proprietary", "unauthorized (?:copying|use|distribution) (?:of this file )?is strictly prohibited"),
 )
-GATE = ("licen", "spdx", "rights reserved", "cc0", "cc by", "cc zero", "creative commons", "public domain", "gpl", "permission", "redistribution", "free software", "wtfpl", "odbl", "copyright", "warranty", "strictly prohibited")
 
 
 def rules() -> list[Rule]:
@@ -128,17 +185,27 @@ def rules() -> list[Rule]:
     out = []
     for label, names, ids in FAMILIES:
         named = f"(?:{names})"
-        out.append(Rule(label, "spdx", f" spdx licen[cs]e identifier (?:{ids})(?= )", 4, 1.0))
-        out.append(Rule(label, "under", f" {GRANT}{named}(?: licen[cs]e)?(?: version| v)?(?: [1-4](?: [0-9])?)?(?= )", 3, 0.95))
-        out.append(Rule(label, "licen", f" (?:the )?{named} licen[cs]e(?= )", 2, 0.8))
-        out.append(Rule(label, "licen", f" licen[cs]ed? (?:is |as |type |name |text )?{named}(?= )", 2, 0.75))
+        out.append((label, f" spdx licen[cs]e identifier (?:{ids})(?= )", 4, 1.0))
+        out.append((label, f" {GRANT}{named}(?: licen[cs]e)?(?: version| v)?(?: [1-4](?: [0-9])?)?(?= )", 3, 0.95))
+        out.append((label, f" (?:the )?{named} licen[cs]e(?= )", 2, 0.8))
+        out.append((label, f" licen[cs]ed? (?:is |as |type |name |text )?{named}(?= )", 2, 0.75))
         if " " in names and label != "zlib":
-            out.append(Rule(label, "", f" {named}(?= )", 1, 0.6))
-    for label, keyword, words in SENTENCES:
-        out.append(Rule(label, keyword, f" {words}(?= )", 3, 0.9))
-    return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern))
+            out.append((label, f" (?:{BARE.get(label, names)})(?= )", 1, 0.6))
+    for label, words in SENTENCES:
+        out.append((label, f" {words}(?= )", 3, 0.9))
+    return sorted((Rule(*r, needs(r[1])) for r in out), key=lambda r: (-r.priority, r.label, r.pattern))
+
+
+def gate() -> tuple[str, ...]:
+    """Literals one of which every match of every rule contains; none of them contains another."""
+    out: list[str] = []
+    for k in sorted({k for r in rules() for k in r.needs[0]}, key=lambda k: (len(k), k)):
+        if not any(shorter in k for shorter in out):
+            out.append(k)
+    return tuple(out)
 
 
+GATE = gate()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: One rule's detections: pieces between matches and the matches give the intervals.
@@ -169,9 +236,10 @@ def normalised(text: Column) -> Column:
 
 def detections(norm: str) -> Column:
     """Surviving detections of a normalised text: interval, priority, weight and label."""
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for r in rules()])
+    # One constant, folded when the plan is made: thousands of literals would take the planner a minute.
+    table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules()])), "array<struct<label:string,pattern:string,priority:int,weight:double,needs:array<array<string>>>>")
     text = F.col(norm)
-    live = F.filter(table, lambda r: F.contains(text, r["keyword"]) & F.regexp(text, r["pattern"]))
+    live = F.filter(table, lambda r: F.forall(r["needs"], lambda s: F.exists(s, lambda k: F.contains(text, k))) & F.regexp(text, r["pattern"]))
     return F.transform(
         live,
         lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), F.split(text, r["pattern"], -1).alias("gaps"), F.regexp_extract_all(text, r["pattern"], F.lit(0)).alias("hits")),
