@@ -6,9 +6,9 @@ right side names one, its literal stands in (so ``k = "..."; api_token = k`` rep
 A literal is scored by how sensitive the words of its target name are, by its length, character mix
 and entropy; placeholders score down. Three base patterns (assign, access, hex) are always reported.
 
-A name alone on the right side stands for its constant whatever the length; in a sum it does so while the
-sum stays within ``LONGEST_SUM`` characters and else for its own text, so that sums of sums can't outgrow
-the text.
+A name stands for its constant whatever the length. A value of more than ``LONGEST_SUM`` characters is kept as
+what its score depends on (:class:`Profile`), and the literals of a sum as references to those of its
+parts, so that sums of sums can't outgrow the text.
 
 Offsets are code points, ends exclusive. A null or empty text has no spans; texts are scanned whole;
 repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,45 +44,112 @@ SENSITIVE = {
     "pass": 2, "private": 1, "access": 1, "auth": 1, "key": 1, "api": 1, "signing": 1, "encryption": 1, "session": 1, "client": 1,
 }
 PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|your[_-]|x{4,}|\*{3,}|^<.*>$|^\$\{|^\{\{|^(?:true|false|null|none|undefined)$", re.ASCII)
+#: Of those, the ones that may stand anywhere, and the ones that open a value of any length.
+INSIDE = re.compile(r"(?i)example|changeme|placeholder|your[_-]|x{4,}|\*{3,}", re.ASCII)
+AT_START = re.compile(r"\$\{|\{\{")
 MIN_SCORE = 5.0
 LONGEST_SUM = 256
 
 
+#: Characters kept of a long sum's ends: no placeholder that lies across two parts needs more.
+ENDS = 16
+#: Counts of a longer sum are halved so often: the shares they stand for stay exact to the last bit of a float.
+LONGEST_COUNT, HALVINGS = 1 << 512, 256
+
+
+class Profile(NamedTuple):
+    """What the score of a value depends on, for those too long to be kept as text."""
+
+    head: str
+    tail: str
+    placeholder: bool
+    #: Occurrences of each character, in units of 2**halved.
+    counts: dict[str, int]
+    halved: int
+
+    @staticmethod
+    def of(value: str | Profile) -> Profile:
+        if isinstance(value, Profile):
+            return value
+        return Profile(value[:ENDS], value[-ENDS:], bool(INSIDE.search(value)), Counter(value), 0)
+
+    def joined(self, other: Profile) -> Profile:
+        halved = max(self.halved, other.halved)
+        counts = {c: max(1, n >> (halved - self.halved)) for c, n in self.counts.items()}
+        for c, n in other.counts.items():
+            counts[c] = counts.get(c, 0) + max(1, n >> (halved - other.halved))
+        if sum(counts.values()) > LONGEST_COUNT:
+            counts, halved = {c: max(1, n >> HALVINGS) for c, n in counts.items()}, halved + HALVINGS
+        placeholder = self.placeholder or other.placeholder or bool(INSIDE.search(self.tail + other.head))
+        head = (self.head + other.head)[:ENDS] if len(self.head) < ENDS else self.head
+        tail = (self.tail + other.tail)[-ENDS:] if len(other.tail) < ENDS else other.tail
+        return Profile(head, tail, placeholder, counts, halved)
+
+
+def added(a: str | Profile, b: str | Profile) -> str | Profile:
+    """The sum of two values: text while it is short, else its profile."""
+    if a == "" or b == "":
+        return a or b
+    if isinstance(a, str) and isinstance(b, str) and len(a) + len(b) <= LONGEST_SUM:
+        return a + b
+    return Profile.of(a).joined(Profile.of(b))
+
+
+def _kept(value: str) -> str | Profile:
+    return value if len(value) <= LONGEST_SUM else Profile.of(value)
+
+
+def _entropy(counts: dict[str, int]) -> float:
+    n = sum(counts.values())
+    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+
+
 def entropy(literal: str) -> float:
     """Bits per character of the literal's own distribution."""
-    n = len(literal)
-    return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) if n else 0.0
+    return _entropy(Counter(literal))
 
 
-def score(name: str, literal: str) -> float:
+def score(name: str, literal: str | Profile) -> float:
     """How likely ``literal`` is a secret bound to ``name``."""
     named = min(4, sum(SENSITIVE.get(w.lower(), 0) for w in WORD.findall(name)))
-    if not named or len(literal) < 8 or " " in literal or PLACEHOLDER.search(literal):
+    if not named:
+        return 0.0
+    if isinstance(literal, Profile):
+        # Longer than LONGEST_SUM: of the anchored placeholders only those that look at the ends can match.
+        size, chars = LONGEST_SUM + 1, "".join(literal.counts)
+        placeholder = literal.placeholder or AT_START.match(literal.head) or (literal.head[0] == "<" and literal.tail[-1] == ">")
+        bits = _entropy(literal.counts)
+    else:
+        size, chars, placeholder = len(literal), literal, PLACEHOLDER.search(literal)
+        bits = None
+    if size < 8 or " " in chars or placeholder:
         return 0.0
-    classes = sum(bool(re.search(c, literal)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return named + (len(literal) >= 16) + min(2.0, max(0.0, entropy(literal) - 2.0)) + 0.5 * (classes - 1)
+    classes = sum(bool(re.search(c, chars)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return named + (size >= 16) + min(2.0, max(0.0, (entropy(literal) if bits is None else bits) - 2.0)) + 0.5 * (classes - 1)
+
+
+#: The places of a right side's literals in the text, and the numbers of the earlier bindings it names.
+Parts = list[tuple[int, int] | int]
 
 
-def bindings(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, literal spans) of each assignment, constants propagated in text order."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    out = []
+def bindings(text: str) -> list[tuple[str, str | Profile, Parts]]:
+    """(name, value, parts) of each assignment, constants propagated in text order."""
+    known: dict[str, int] = {}
+    out: list[tuple[str, str | Profile, Parts]] = []
     for m in BINDING.finditer(text):
-        base, value, spans, size = m.start(2), [], [], 0
+        base, value, parts = m.start(2), "", []
         for part in PART.finditer(m[2]):
             k = part.lastindex
             constant = known.get(part[3]) if k == 3 else None
-            if constant and (part.end() - part.start() == len(m[2]) or size + len(constant[0]) <= LONGEST_SUM):
-                value.append(constant[0])
-                spans += constant[1]
+            if constant is not None:
+                value = added(value, out[constant][1])
+                parts.append(constant)
             else:
-                value.append(part[k])
+                value = added(value, _kept(part[k]))
                 if part[k]:
-                    spans.append((base + part.start(k), base + part.end(k)))
-            size += len(value[-1])
-        found = "".join(value)
-        known[m[1]] = (found, spans)
-        out.append((m[1], found, spans))
+                    parts.append((base + part.start(k), base + part.end(k)))
+        known[m[1]] = len(out)
+        out.append((m[1], value, parts))
     return out
 
 
@@ -98,7 +166,17 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of literals whose score reaches the limit."""
     if "=" not in text and ":" not in text:
         return []
-    found = {s for name, value, spans in bindings(text) if score(name, value) >= MIN_SCORE for s in spans if s[1] > s[0]}
+    bound = bindings(text)
+    found: set[tuple[int, int]] = set()
+    # Bindings name earlier ones only, so one walk backwards reaches all literals behind those that score.
+    wanted = [score(name, value) >= MIN_SCORE for name, value, _ in bound]
+    for i in range(len(bound) - 1, -1, -1):
+        if wanted[i]:
+            for part in bound[i][2]:
+                if isinstance(part, int):
+                    wanted[part] = True
+                else:
+                    found.add(part)
     return sorted((a, 3, b) for a, b in found)
 
 
