@@ -32,7 +32,7 @@ ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BINDING = re.compile(
-    r"(?<![\w.\-])[\"']?([A-Za-z_][A-Za-z0-9_.\-]{0,63})[\"']?[ \t]*(?::=|=>|[:=])[ \t]*"
+    r"(?<![\w.\-])[\"']?([A-Za-z_][A-Za-z0-9_.\-]*)[\"']?[ \t]*(?::=|=>|[:=])[ \t]*"
     r"((?:\"[^\"\n]*\"|'[^'\n]*'|[^\s\"',;{}()\[\]+]+)(?:[ \t]*\+[ \t]*(?:\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]*))*)",
     re.ASCII,
 )
