@@ -3,7 +3,8 @@
 For each document, rolling hashes of 5- to 10-word n-grams (numpy, one pass per length) mark every
 n-gram seen before in the same document; the measure is the share of word characters inside those
 repeats, next to the shares of repeated lines and of their characters. The most frequent 2- to
-4-gram's share completes the set. Thresholds are those published for the MassiveText filters.
+4-gram's share completes the set. Thresholds are those published for the MassiveText filters, at every
+length; in texts of fewer than 200 words only n-grams found three times or more count as repeated for them.
 
 Defined results: a null or empty text has no words and fails the base rule; texts are read whole,
 of any length; repeated rows are judged alike, each on its own; an empty table gives an empty
@@ -39,9 +40,10 @@ class QualityRules:
     max_dup_line_share: float = 0.30
     max_dup_line_char_share: float = 0.20
     max_symbols_per_word: float = 0.10
-    #: Shares of n-grams mean little in a short text, where one header repeated as a footer fills them;
-    #: there the base rule judges alone. One repeated line is no pattern yet either.
-    min_words_for_gram_shares: int = 200
+    #: One header repeated as a footer fills the shares of n-grams in a text of fewer words than this; there
+    #: only n-grams found so often count. One repeated line is no pattern yet either.
+    short_words: int = 200
+    min_repeats_if_short: int = 3
     min_dup_lines: int = 2
 
 
@@ -69,16 +71,16 @@ def _longest_run(keys: np.ndarray) -> tuple[int, int]:
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: whether it occurs more than once, and whether it occurred before."""
+    """For each key: how often it occurs, and whether it occurred before."""
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     new = np.concatenate(([True], s[1:] != s[:-1]))
     group = np.cumsum(new) - 1
-    twice = np.empty(len(keys), dtype=bool)
+    times = np.empty(len(keys), dtype=np.int64)
     again = np.empty(len(keys), dtype=bool)
-    twice[order] = np.bincount(group)[group] > 1
+    times[order] = np.bincount(group)[group]
     again[order] = ~new
-    return twice, again
+    return times, again
 
 
 def _covered(marks: np.ndarray, n: int, words: int) -> np.ndarray:
@@ -133,14 +135,16 @@ def measure(texts: list[str | None], rules: QualityRules = QualityRules()) -> di
             shortest = min(8, *(size for size, _ in rules.dup_gram_limits))
             repeats = n > shortest and _longest_run(grams[shortest][a : b - shortest + 1])[0] > 1
             if n > 8 and repeats:
-                twice, _ = _repeated(grams[8][a : b - 7])
-                repeat = int(_covered(twice, 8, n).sum())
+                times, _ = _repeated(grams[8][a : b - 7])
+                repeat = int(_covered(times > 1, 8, n).sum())
             for size, limit in rules.dup_gram_limits:
                 if n > size and repeats:
-                    _, again = _repeated(grams[size][a : b - size + 1])
+                    times, again = _repeated(grams[size][a : b - size + 1])
                     share = float(own[_covered(again, size, n)].sum()) / total
                     worst = max(worst, share)
-                    if share > limit and n >= rules.min_words_for_gram_shares:
+                    if share > limit and n < rules.short_words:
+                        share = float(own[_covered(again & (times >= rules.min_repeats_if_short), size, n)].sum()) / total
+                    if share > limit:
                         over.append(f"dup_{size}gram")
             for size, limit in rules.top_gram_limits:
                 if n > size:
@@ -150,7 +154,7 @@ def measure(texts: list[str | None], rules: QualityRules = QualityRules()) -> di
                         at = int(np.flatnonzero(keys == key)[0])
                         share = count * float(own[at : at + size].sum()) / total
                         top = max(top, share)
-                        if share > limit and n >= rules.min_words_for_gram_shares:
+                        if share > limit:
                             over.append(f"top_{size}gram")
         line_share = dup_lines / n_lines if n_lines else 0.0
         line_chars = dup_chars / max(1, hi - lo - int(cont[hi] - cont[lo])) if dup_chars else 0.0
