@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from trigrid.llm import bpe, linededup, mixing, neardup, quality
 from trigrid.llm.common import Workspace, table
 
+#: Similarity in hundredths from which the stage links; tests/llm compares the stage with brute force at this one.
+NEARDUP_THRESHOLD = 85
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs)
@@ -24,7 +27,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_representatives(docs, Workspace(spark))
+    return neardup.keep_representatives(docs, Workspace(spark), NEARDUP_THRESHOLD)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

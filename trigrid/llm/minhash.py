@@ -13,8 +13,15 @@ _SHIFT = np.uint64(64 - (BINS.bit_length() - 1))
 #: Row j: the order in which an empty bin j looks for a filled one; the same for every document,
 #: so equal sets densify alike, and each empty bin draws its own uniform choice.
 _PROBES = np.argsort(mix64(np.arange(1, BINS * BINS + 1, dtype=np.uint64)).reshape(BINS, BINS), axis=1)
-_COEF = mix64(np.arange(11, 11 + ROWS, dtype=np.uint64)) | np.uint64(1)
-_BAND = mix64(np.arange(101, 101 + BANDS, dtype=np.uint64))
+_COEF = mix64(np.arange(11, 11 + BINS, dtype=np.uint64)) | np.uint64(1)
+_BAND = mix64(np.arange(101, 101 + BINS, dtype=np.uint64))
+#: Largest chance that a pair at the threshold shares no bucket.
+MOST_MISSED = 1e-7
+
+
+def rows_for(similarity: float) -> int:
+    """The most bins a band may have for pairs of that similarity to share a bucket."""
+    return max((r for r in range(1, BINS + 1) if (1 - similarity**r) ** (BINS // r) <= MOST_MISSED), default=1)
 
 
 def shingle_sets(words: Words) -> list[np.ndarray]:
@@ -47,6 +54,7 @@ def signature(members: np.ndarray) -> np.ndarray:
     return sig
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key for each band of four bins."""
-    return mix64((mix64(sig).reshape(BANDS, ROWS) * _COEF).sum(axis=1, dtype=np.uint64) ^ _BAND)
+def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit bucket key for each band of ``rows`` bins."""
+    n = BINS // rows
+    return mix64((mix64(sig[: n * rows]).reshape(n, rows) * _COEF[:rows]).sum(axis=1, dtype=np.uint64) ^ _BAND[:n])

@@ -3,8 +3,9 @@
 1. Every text becomes its set of distinct 5-word shingles, and equal sets collapse into one class
    before anything is paired, so copies never meet each other.
 2. A class's set gives 128 minima by one permutation, empty bins filled by optimal densification;
-   32 bands of four give bucket keys. At a similarity of 0.85 a pair shares no bucket with a chance of
-   (1 - 0.85**4)**32, about 6e-11.
+   bands of as many bins as the threshold allows give bucket keys. At 0.85 and at 0.80 these are 32 bands
+   of four: a pair at the threshold shares no bucket with a chance of (1 - 0.85**4)**32, about 6e-11, or
+   (1 - 0.80**4)**32, about 5e-8.
 3. Within a bucket only a star is proposed: each member with the bucket's hub, the member that shares
    most buckets. Pairs whose signatures agree in too few bins (five standard deviations below the
    threshold) are left out; the others are confirmed on the full sets, and the links contracted
@@ -23,7 +24,9 @@ columns are ignored by :func:`near_duplicates` and passed on untouched by :func:
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +38,35 @@ from .common import Workspace, arrow_map, keyed_texts, runs
 from .components import components
 from .textkernel import Words
 
-#: Links have 100 * intersection >= THRESHOLD * union.
+#: Links have 100 * intersection >= threshold * union; this one unless another is given.
 THRESHOLD = 85
-#: Least share of equal bins for a pair to be confirmed: 0.85 less five standard deviations of 128 bins.
-LEAST_AGREEMENT = 0.69
 #: Members of a bucket block; a task holds two blocks.
 BLOCK = 512
 
 
-def _features(batch: pa.RecordBatch) -> dict:
+@dataclass(frozen=True)
+class Limits:
+    """What follows from the threshold, a similarity in hundredths."""
+
+    threshold: int = THRESHOLD
+
+    @property
+    def least_agreement(self) -> float:
+        """Least share of equal bins for a pair to be confirmed: five standard deviations of the bins below
+        the threshold, rounded down to hundredths."""
+        t = self.threshold / 100
+        return max(0, math.floor(100 * (t - 5 * math.sqrt(t * (1 - t) / minhash.BINS)))) / 100
+
+    @property
+    def rows(self) -> int:
+        return minhash.rows_for(self.threshold / 100)
+
+    @property
+    def bands(self) -> int:
+        return minhash.BINS // self.rows
+
+
+def _features(batch: pa.RecordBatch, rows: int = minhash.ROWS) -> dict:
     n, k1, k2, sig, keys = [], [], [], [], []
     for members in minhash.shingle_sets(Words(batch.column("text").to_pylist(), lower=True)):
         n.append(len(members))
@@ -53,7 +76,7 @@ def _features(batch: pa.RecordBatch) -> dict:
         if len(members):
             s = minhash.signature(members)
             sig.append((s & np.uint64(255)).astype(np.uint8).tobytes())
-            keys.append(minhash.bands(s).view(np.int64))
+            keys.append(minhash.bands(s, rows).view(np.int64))
         else:
             sig.append(b"")
             keys.append(np.zeros(0, dtype=np.int64))
@@ -68,20 +91,20 @@ def _sets(batch: pa.RecordBatch) -> dict:
     return {"node": batch.column("doc_id"), "members": pa.array([s.tobytes() for s in sets], pa.binary())}
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
+def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    if 100 * min(len(a), len(b)) < threshold * max(len(a), len(b)):
         return False
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     both = int((b[at] == a).sum())
-    return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
+    return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
 def _as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint64)
 
 
-def _confirm_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm_stars(batches: Iterable[pa.RecordBatch], threshold: int = THRESHOLD) -> Iterator[pa.RecordBatch]:
     """Rows (hub, node, members) sorted by hub and block, the hub's own row first in each block."""
     hub_id, hub_set = None, None
     for batch in batches:
@@ -89,7 +112,7 @@ def _confirm_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for hub, node, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "node", "members")), strict=True):
             if hub == node:
                 hub_id, hub_set = hub, _as_set(raw)
-            elif hub == hub_id and _linked(hub_set, _as_set(raw)):
+            elif hub == hub_id and _linked(hub_set, _as_set(raw), threshold):
                 u.append(hub)
                 v.append(node)
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -107,16 +130,16 @@ def _groups(table: pa.Table) -> Iterator[tuple[int, int]]:
     yield from zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
 
 
-def _likely(sig: np.ndarray, bands: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray, key: int, bi: int, bj: int) -> Iterator[tuple[int, np.ndarray]]:
+def _likely(sig: np.ndarray, bands: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray, key: int, bi: int, bj: int, limits: Limits) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a block pair, its likely partners: of another component, close in size, alike
     in signature, and not met in an earlier band already."""
     left = np.flatnonzero(block == bi)
     right = np.flatnonzero(block == bj)
     for i in left.tolist():
         js = right[right > i] if bi == bj else right
-        js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= THRESHOLD * np.maximum(size[js], size[i]))]
+        js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= limits.threshold * np.maximum(size[js], size[i]))]
         if len(js):
-            js = js[(sig[js] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
+            js = js[(sig[js] == sig[i]).mean(axis=1) >= limits.least_agreement]
         if len(js):
             same = bands[js] == bands[i]
             js = js[bands[i][same.argmax(axis=1)] == key]
@@ -124,37 +147,37 @@ def _likely(sig: np.ndarray, bands: np.ndarray, comp: np.ndarray, block: np.ndar
             yield i, js
 
 
-def _flag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flag(batches: Iterable[pa.RecordBatch], limits: Limits = Limits()) -> Iterator[pa.RecordBatch]:
     """Members of block pairs that have a likely partner there."""
     for table in runs(batches, ["key", "bi", "bj"]):
         c = _columns(table)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, minhash.BINS)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, minhash.BANDS)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, limits.bands)
         wanted = np.zeros(table.num_rows, dtype=bool)
         for a, b in _groups(table):
             s = slice(a, b)
-            for i, js in _likely(sig[s], bands[s], c["component"][s], c["block"][s], c["n_shingles"][s], c["key"][a], c["bi"][a], c["bj"][a]):
+            for i, js in _likely(sig[s], bands[s], c["component"][s], c["block"][s], c["n_shingles"][s], c["key"][a], c["bi"][a], c["bj"][a], limits):
                 wanted[a + i] = True
                 wanted[a + js] = True
         yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
 
 
-def _confirm_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm_blocks(batches: Iterable[pa.RecordBatch], limits: Limits = Limits()) -> Iterator[pa.RecordBatch]:
     """Links between likely partners of block pairs, confirmed on the full sets; links within what the
     same block pair has joined already are left out."""
     for table in runs(batches, ["key", "bi", "bj"]):
         c = _columns(table)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, minhash.BINS)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, minhash.BANDS)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, limits.bands)
         members = table.column("members")
         u, v = [], []
         for a, b in _groups(table):
             s = slice(a, b)
             comp = c["component"][s].copy()
             sets = [_as_set(members[k].as_py()) for k in range(a, b)]
-            for i, js in _likely(sig[s], bands[s], c["component"][s], c["block"][s], c["n_shingles"][s], c["key"][a], c["bi"][a], c["bj"][a]):
+            for i, js in _likely(sig[s], bands[s], c["component"][s], c["block"][s], c["n_shingles"][s], c["key"][a], c["bi"][a], c["bj"][a], limits):
                 for j in js.tolist():
-                    if comp[i] != comp[j] and _linked(sets[i], sets[j]):
+                    if comp[i] != comp[j] and _linked(sets[i], sets[j], limits.threshold):
                         u.append(int(c["node"][a + i]))
                         v.append(int(c["node"][a + j]))
                         comp[comp == comp[j]] = comp[i]
@@ -165,11 +188,13 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
+def near_duplicates(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+    limits = Limits(threshold)
+    rows = limits.rows
     docs = keyed_texts(docs)
     n = _partitions(docs)
-    features = ws.keep(arrow_map(docs, _features, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")
+    features = ws.keep(arrow_map(docs, lambda batch: _features(batch, rows), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")
     linkable = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Aggregates are written before they join back to what they sum up: adaptive execution splits the hot
     # keys (a third of all rows may be copies) of a join of two scans, not those of a join with an aggregate.
@@ -193,8 +218,8 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     stars = (
         stars.join(small, "node")
         .join(small.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub")
-        .where(f"100 * least(n_shingles, hub_n) >= {THRESHOLD} * greatest(n_shingles, hub_n)")
-        .where(alike >= int(LEAST_AGREEMENT * minhash.BINS))
+        .where(f"100 * least(n_shingles, hub_n) >= {threshold} * greatest(n_shingles, hub_n)")
+        .where(alike >= int(limits.least_agreement * minhash.BINS))
         .select("hub", "node")
     )
     stars = ws.keep(stars, "stars")
@@ -206,7 +231,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     pairs = stars.join(blocks, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     own = blocks.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = pairs.union(own).join(sets, "node").repartition(n, "hub", "block").sortWithinPartitions("hub", "block", F.col("node") != F.col("hub"))
-    links = ws.keep(dealt.select("hub", "node", "members").mapInArrow(_confirm_stars, "u long, v long"), "links")
+    links = ws.keep(dealt.select("hub", "node", "members").mapInArrow(lambda batches: _confirm_stars(batches, threshold), "u long, v long"), "links")
     found = ws.keep(components(links, ws, "star"), "star")
 
     # The rest, exactly: buckets that still hold several components, in pairs of blocks.
@@ -221,9 +246,9 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     order = ["key", "bi", "bj"]
     columns = "key long, node long, component long, block int, bi int, bj int, n_shingles long, sig binary, bands array<long>"
     names = [c.split()[0] for c in columns.split(", ")]
-    flagged = ws.keep(rest.select(*names).repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_flag, columns), "flagged")
+    flagged = ws.keep(rest.select(*names).repartition(n, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _flag(batches, limits), columns), "flagged")
     dealt = flagged.join(sets, "node").repartition(n, *order).sortWithinPartitions(*order)
-    more = ws.keep(dealt.select(*names, "members").mapInArrow(_confirm_blocks, "u long, v long"), "more")
+    more = ws.keep(dealt.select(*names, "members").mapInArrow(lambda batches: _confirm_blocks(batches, limits), "u long, v long"), "more")
     if not more.isEmpty():
         found = ws.keep(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), ws, "all"), "all")
     ws.drop("features", "classes", "sizes", "hubs", "star-blocks", "mixed", "cells", "nodes", "reps", "stars", "sets", "links", "flagged", "more")
@@ -232,9 +257,9 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_representatives(docs: DataFrame, ws: Workspace) -> DataFrame:
+def keep_representatives(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stand for their group (and those linked with nothing), all columns as
     they are. Of rows that share a doc_id and are kept, all stay."""
-    verdict = near_duplicates(docs, ws)
+    verdict = near_duplicates(docs, ws, threshold)
     gone = verdict.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
