@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-E_SQL = """e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+E_SQL = """e AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
   WHERE a.l_partkey > b.l_partkey)"""
 R_SQL = "r AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
 DEG_SQL = R_SQL + """, d0 AS (SELECT v AS vid, count(*) AS degree FROM (SELECT src AS v FROM r WHERE src <> dst UNION ALL SELECT dst FROM r WHERE src <> dst) GROUP BY v),
@@ -220,9 +220,9 @@ def linear_shards(spark, sf_dir):
     return partition.linear_slices(co_parts(spark, sf_dir), SLICE, WIDTH)
 
 
-QUAD_SQL = E_SQL + f""", n AS (SELECT src // {QUAD_WIDTH} AS gr, dst // {QUAD_WIDTH} AS gc, d AS depth, (src % {QUAD_WIDTH}) // ({QUAD_WIDTH} >> d) AS sr, (dst % {QUAD_WIDTH}) // ({QUAD_WIDTH} >> d) AS sc, count(*) AS edges
+QUAD_SQL = E_SQL + f""", n AS MATERIALIZED (SELECT src // {QUAD_WIDTH} AS gr, dst // {QUAD_WIDTH} AS gc, d AS depth, (src % {QUAD_WIDTH}) // ({QUAD_WIDTH} >> d) AS sr, (dst % {QUAD_WIDTH}) // ({QUAD_WIDTH} >> d) AS sc, count(*) AS edges
 FROM e, (SELECT unnest(range(0, {QUAD_WIDTH.bit_length()}))::INTEGER AS d) GROUP BY ALL),
-q AS (SELECT n.* FROM n LEFT JOIN n p ON p.gr = n.gr AND p.gc = n.gc AND p.depth = n.depth - 1 AND p.sr = n.sr // 2 AND p.sc = n.sc // 2
+q AS MATERIALIZED (SELECT n.* FROM n LEFT JOIN n p ON p.gr = n.gr AND p.gc = n.gc AND p.depth = n.depth - 1 AND p.sr = n.sr // 2 AND p.sc = n.sc // 2
 WHERE (n.edges <= {QUAD_LIMIT} OR n.depth = {QUAD_WIDTH.bit_length() - 1}) AND (n.depth = 0 OR p.edges > {QUAD_LIMIT}))"""
 
 
