@@ -3,8 +3,9 @@
 For each document, rolling hashes of 5- to 10-word n-grams (numpy, one pass per length) mark every
 n-gram seen before in the same document; the measure is the share of word characters inside those
 repeats, next to the shares of repeated lines and of their characters. The most frequent 2- to
-4-gram's share completes the set. Thresholds are those published for the MassiveText filters, at every
-length; in texts of fewer than 200 words only n-grams found three times or more count as repeated for them.
+4-gram's share completes the set. Thresholds are those published for the MassiveText filters, for texts of
+every length. A frame is no repetition: where the last line with a word equals the first one (a running
+header as footer), the verdict and the shares leave that one last line out, whatever the length.
 
 Defined results: a null or empty text has no words and fails the base rule; texts are read whole,
 of any length; repeated rows are judged alike, each on its own; an empty table gives an empty
@@ -40,11 +41,6 @@ class QualityRules:
     max_dup_line_share: float = 0.30
     max_dup_line_char_share: float = 0.20
     max_symbols_per_word: float = 0.10
-    #: One header repeated as a footer fills the shares of n-grams in a text of fewer words than this; there
-    #: only n-grams found so often count. One repeated line is no pattern yet either.
-    short_words: int = 200
-    min_repeats_if_short: int = 3
-    min_dup_lines: int = 2
 
 
 def _continuation(buffer: np.ndarray) -> np.ndarray:
@@ -71,16 +67,15 @@ def _longest_run(keys: np.ndarray) -> tuple[int, int]:
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: how often it occurs, and whether it occurred before."""
+    """For each key: whether it occurs more than once, and whether it occurred before."""
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     new = np.concatenate(([True], s[1:] != s[:-1]))
-    group = np.cumsum(new) - 1
-    times = np.empty(len(keys), dtype=np.int64)
+    more = np.empty(len(keys), dtype=bool)
     again = np.empty(len(keys), dtype=bool)
-    times[order] = np.bincount(group)[group]
     again[order] = ~new
-    return times, again
+    more[order] = ~new | np.concatenate((~new[1:], [False]))
+    return more, again
 
 
 def _covered(marks: np.ndarray, n: int, words: int) -> np.ndarray:
@@ -119,36 +114,41 @@ def measure(texts: list[str | None], rules: QualityRules = QualityRules()) -> di
         if n:
             seen: set[bytes] = set()
             x, y = np.searchsorted(breaks, [lo, hi])
-            start = lo
+            start, first, last, at_last = lo, None, b"", lo
             for end in [*breaks[x:y].tolist(), hi]:
                 line = words.blob[start:end]
-                start = end + 1
                 if line.strip(b" \t\n\v\f\r"):
                     lines += 1
+                    if first is None:
+                        first = line
+                    last, at_last = line, start
                     if line in seen:
                         dup_lines += 1
                         dup_chars += len(line.decode("utf-8", "surrogatepass"))
                     else:
                         seen.add(line)
+                start = end + 1
             n_lines = lines
+            frame = lines > 1 and last == first
+            # Windows that start in the frame's last line are whole in it.
+            judged = (int(np.searchsorted(words.starts, at_last)) if frame else b) - a
             # No repeated n-gram, no repeated longer one: most texts end after one sort.
             shortest = min(8, *(size for size, _ in rules.dup_gram_limits))
             repeats = n > shortest and _longest_run(grams[shortest][a : b - shortest + 1])[0] > 1
             if n > 8 and repeats:
-                times, _ = _repeated(grams[8][a : b - 7])
-                repeat = int(_covered(times > 1, 8, n).sum())
+                more, _ = _repeated(grams[8][a : b - 7])
+                repeat = int(_covered(more, 8, n).sum())
             for size, limit in rules.dup_gram_limits:
                 if n > size and repeats:
-                    times, again = _repeated(grams[size][a : b - size + 1])
+                    _, again = _repeated(grams[size][a : b - size + 1])
+                    again[judged:] = False
                     share = float(own[_covered(again, size, n)].sum()) / total
                     worst = max(worst, share)
-                    if share > limit and n < rules.short_words:
-                        share = float(own[_covered(again & (times >= rules.min_repeats_if_short), size, n)].sum()) / total
                     if share > limit:
                         over.append(f"dup_{size}gram")
             for size, limit in rules.top_gram_limits:
-                if n > size:
-                    keys = grams[size][a : b - size + 1]
+                keys = grams[size][a : min(b - size + 1, a + judged)] if n > size else ()
+                if len(keys) > 1:
                     count, key = _longest_run(keys)
                     if count > 2:
                         at = int(np.flatnonzero(keys == key)[0])
@@ -156,12 +156,16 @@ def measure(texts: list[str | None], rules: QualityRules = QualityRules()) -> di
                         top = max(top, share)
                         if share > limit:
                             over.append(f"top_{size}gram")
-        line_share = dup_lines / n_lines if n_lines else 0.0
-        line_chars = dup_chars / max(1, hi - lo - int(cont[hi] - cont[lo])) if dup_chars else 0.0
+            if frame:
+                counted, frame_chars = dup_lines - 1, len(last.decode("utf-8", "surrogatepass"))
+            else:
+                counted, frame_chars = dup_lines, 0
+        line_share = counted / n_lines if n else 0.0
+        line_chars = (dup_chars - frame_chars) / (hi - lo - int(cont[hi] - cont[lo])) if n else 0.0
         ratio = symbol / n if n else 0.0
-        if line_share > rules.max_dup_line_share and dup_lines >= rules.min_dup_lines:
+        if line_share > rules.max_dup_line_share:
             over.append("dup_lines")
-        if line_chars > rules.max_dup_line_char_share and dup_lines >= rules.min_dup_lines:
+        if line_chars > rules.max_dup_line_char_share:
             over.append("dup_line_chars")
         if ratio > rules.max_symbols_per_word:
             over.append("symbols")
