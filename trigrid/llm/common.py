@@ -1,49 +1,17 @@
-"""Helpers of the text operators: shared storage, Arrow mapping, grouped streaming."""
+"""Helpers of the text operators: Arrow mapping, grouped streaming."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Workspace
 from .textkernel import slices
 
-
-class Workspace:
-    """Written intermediate tables in the cluster's shared folder (``spark.checkpoint.dir``).
-
-    ``keep`` writes a DataFrame as Parquet there and reads it back, which cuts its lineage so that a
-    lost executor costs a re-read, not a recomputation. Where the setting is absent (local tests), a
-    folder of this machine is used and recorded in the session.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="trigrid-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/trigrid-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing returned depends on any more."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Workspace", "arrow_map", "keyed_texts", "runs", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,20 +9,28 @@ A source's weight times the budget is its share of tokens. Its documents are dea
 hash, blocks are put in a random order anew for every pass, and whole passes are followed by a partial
 one: blocks in order while they fit, then the documents of the first block that doesn't, while they fit.
 A source has at most ``MAX_BLOCKS`` blocks, so ordering them is a small job however large the source
-is; only the single block where a budget ends is ordered by document.
+is; only the single block where a budget ends is ordered by document, on ids without texts.
+
+:func:`mix_plan` gives the showings (document, pass, block, position); :func:`mix` gives the rows themselves
+in the order of the permutation: a position in [0, 1) says how far into its source's budget a showing
+stands, so that sorting by it interleaves the sources by weight. Rows meet the small table of blocks,
+so texts move once, into their order.
 
 By default the budget is the smallest that shows every source at least once, so no document is lost and
 the smaller sources repeat up to the limit.
 
 Defined results: tokens are words ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none, takes part in
-every pass of its source, and in a source without tokens appears once; a null source is a source; repeated rows are
-documents of their own; an empty table gives an empty result; other columns pass through :func:`mix`
-untouched (names starting with ``__`` are used inside).
+every pass of its source, and in a source without tokens appears once; texts of any length are counted whole, one that
+doesn't fit the rest of a budget is left out of the partial pass; a null source is a source; repeated rows are
+documents of their own, each with showings of its own, also where a budget ends among them; ties in the order are
+settled by the id and a hash of the text; an empty table gives an empty result; other columns, of any name, pass
+through :func:`mix` untouched.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,14 +89,11 @@ def fit_exponent(shares: DataFrame, target: MixTarget, steps: int = 40) -> float
     return high
 
 
-def plan(docs: DataFrame, ws: Workspace, target: MixTarget = MixTarget(), source: str = "source", text: str = "text") -> DataFrame:
-    """One row per (document row, pass): ``__row`` (the row's key), ``__source``, ``n_tokens``,
-    ``epoch``, ``block``, ``position`` in [0, 1) (interleaves the sources by weight), ``weight``."""
-    rows = docs.select("__row", F.struct(F.col(f"`{source}`").alias("s")).alias("__source"), token_count(F.col(f"`{text}`")).alias("n_tokens"))
-    rows = ws.keep(rows, "mix-rows")
-    sums = ws.keep(rows.groupBy("__source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-sources")
+def _weights(rows: DataFrame, ws: Workspace, target: MixTarget) -> DataFrame:
+    """One row per source: tokens, weight, quota in tokens, whole passes, rest of the quota, number of blocks."""
+    sums = ws.keep(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-sources")
     total = sums.agg(F.sum("tokens")).first()[0] or 0
-    shares = sums.where("tokens > 0").select("__source", "tokens", (F.col("tokens") / F.lit(float(total or 1))).alias("share"))
+    shares = sums.where("tokens > 0").select("source", "tokens", (F.col("tokens") / F.lit(float(total or 1))).alias("share"))
     exponent = fit_exponent(shares.select("share"), target)
     z = shares.agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0] or 1.0
     weights = shares.withColumn("weight", F.pow("share", F.lit(exponent)) / F.lit(z))
@@ -99,54 +104,88 @@ def plan(docs: DataFrame, ws: Workspace, target: MixTarget = MixTarget(), source
     # Budgets are whole tokens; a hair is added so that exactly one pass stays one pass.
     weights = weights.withColumn("quota", F.floor(F.col("weight") * F.lit(float(budget)) * (1 + 1e-9) + 1e-6).cast("long"))
     weights = weights.withColumn("passes", F.floor(F.col("quota") / F.col("tokens")).cast("long")).withColumn("rest", F.col("quota") - F.col("passes") * F.col("tokens"))
-    empty = sums.where("tokens = 0").select("__source", "tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("quota"), F.lit(1).cast("long").alias("passes"), F.lit(0).cast("long").alias("rest"))
-    weights = weights.select("__source", "tokens", "weight", "quota", "passes", "rest").union(empty)
+    zero = F.lit(0).cast("long")
+    empty = sums.where("tokens = 0").select("source", "tokens", F.lit(0.0).alias("weight"), zero.alias("quota"), F.lit(1).cast("long").alias("passes"), zero.alias("rest"))
+    weights = weights.select("source", "tokens", "weight", "quota", "passes", "rest").union(empty)
     n_blocks = F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long")
     weights = ws.keep(weights.withColumn("blocks", n_blocks), "mix-weights")
+    ws.drop("mix-sources")
+    return weights
+
 
+def _showings(rows: DataFrame, ws: Workspace, target: MixTarget) -> Callable[[DataFrame], DataFrame]:
+    """A function that shows rows: it takes a frame with the columns ``row`` (id and hash of the text) and
+    ``source`` among others, and gives each row as often as the mix shows it, with ``epoch``, ``block``,
+    ``position`` and ``weight``. ``rows`` has one row (row, source, n_tokens) for each of the table's."""
     seed = target.seed
-    dealt = rows.join(weights.select("__source", "blocks", "passes", "weight", "quota"), "__source")
-    dealt = ws.keep(dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "__row"), F.col("blocks"))), "mix-dealt")
+    weights = _weights(rows, ws, target)
+    dealing = weights.select("source", "blocks", "passes", "weight")
+    block = F.pmod(F.xxhash64(F.lit(seed), "row"), F.col("blocks")).alias("block")
+    dealt = ws.keep(rows.join(dealing.drop("passes", "weight"), "source").select("row", "source", "n_tokens", block), "mix-dealt")
 
     # Block order of each pass, with the tokens before each block.
-    blocks = dealt.groupBy("__source", "block").agg(F.sum("n_tokens").alias("size"))
-    order = blocks.join(weights.select("__source", "passes", "rest", "tokens", "quota"), "__source")
+    sizes = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
+    order = sizes.join(weights.drop("blocks"), "source")
     order = order.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes")))).where("epoch < passes OR rest > 0")
-    turn = Window.partitionBy("__source", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "block", "epoch"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    turn = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "block", "epoch"), "block").rowsBetween(Window.unboundedPreceding, -1)
     order = order.withColumn("before", F.coalesce(F.sum("size").over(turn), F.lit(0)))
-    order = order.withColumn("room", F.when(F.col("epoch") < F.col("passes"), F.lit(None).cast("long")).otherwise(F.col("rest") - F.col("before")))
-    order = ws.keep(order.where("room IS NULL OR room > 0").select("__source", "block", "epoch", "before", "size", "room", "tokens", "quota"), "mix-order")
+    order = order.withColumn("room", F.when(F.col("epoch") >= F.col("passes"), F.col("rest") - F.col("before")))
+    order = order.where("room IS NULL OR room > 0").select("source", "block", "epoch", "before", "size", "room", "tokens", "quota", "weight")
+    order = ws.keep(order, "mix-order")
     whole = order.where("room IS NULL OR room >= size")
-    parts = order.where("room < size")
 
-    facts = ["__row", "__source", "block", "n_tokens", "weight"]
-    within = _unit(F.lit(seed + 2), F.col("__row"), F.col("epoch"))
-    full = dealt.select(*facts).join(whole, ["__source", "block"])
-    cut = dealt.select(*facts).join(parts, ["__source", "block"])
-    line = Window.partitionBy("__source", "block", "epoch").orderBy(F.xxhash64(F.lit(seed + 2), "__row", "epoch"), "__row").rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("__run", F.sum("n_tokens").over(line)).where("__run <= room").drop("__run")
-    out = full.unionByName(cut)
-    at = (F.col("epoch") * F.col("tokens") + F.col("before") + within * F.col("size")) / F.greatest(F.lit(1), "quota", (F.col("epoch") + 1) * F.col("tokens"))
-    return out.select("__row", "__source", "n_tokens", "epoch", "block", at.cast(T.DoubleType()).alias("position"), "weight")
+    # The blocks in which budgets end (one a source at most): the documents that still fit, on ids alone. Of equal
+    # rows the first so many stand for the ones that fit.
+    cut = dealt.join(order.where("room < size").select("source", "block", "epoch", "before", "room", "tokens", "quota", "weight"), ["source", "block"])
+    line = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "row", "epoch"), "row").rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("run", F.sum("n_tokens").over(line)).where("run <= room")
+    cut = cut.withColumn("k", F.row_number().over(Window.partitionBy("source", "row").orderBy("run")))
+    position = (F.col("epoch") * F.col("tokens") + F.col("before") + F.col("run") - F.col("n_tokens")) / F.greatest(F.lit(1), F.col("quota"))
+    cut = ws.keep(cut.select("source", "row", "k", "epoch", "block", position.alias("position"), "weight"), "mix-cut")
+    cut_blocks = order.where("room < size").select("source", "block")
+
+    def show(frame: DataFrame) -> DataFrame:
+        placed = frame.join(dealing, "source").select(*frame.columns, block)
+        within = _unit(F.lit(seed + 2), F.col("row"), F.col("epoch"))
+        at = (F.col("epoch") * F.col("tokens") + F.col("before") + within * F.col("size")) / F.greatest(F.lit(1), F.col("quota"))
+        at = F.when(F.col("quota") > 0, at).otherwise(within)
+        full = placed.join(whole, ["source", "block"]).select(*frame.columns, "epoch", "block", at.alias("position"), "weight")
+        copy = F.row_number().over(Window.partitionBy("source", "row").orderBy(F.xxhash64(F.to_json(F.struct(*frame.columns)))))
+        parts = placed.join(cut_blocks, ["source", "block"]).select(*frame.columns).withColumn("k", copy)
+        parts = parts.join(cut, ["source", "row", "k"]).select(*frame.columns, "epoch", "block", "position", "weight")
+        out = full.unionByName(parts)
+        return out.withColumn("position", F.least(F.col("position"), F.lit(1 - 2.0**-53)).cast(T.DoubleType()))
+
+    return show
+
+
+def _source(source: str) -> Column:
+    """In a struct, so that null is a source like others."""
+    return F.struct(F.col(f"`{source}`").alias("s")).alias("source")
+
+
+def _row(id_col: str, text: str) -> Column:
+    return F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h")).alias("row")
 
 
-def _keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows with a key of their id and text; equal rows are told apart where they meet."""
-    return docs.withColumn("__row", F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h")))
+def _rows(docs: DataFrame, ws: Workspace, id_col: str, text: str, source: str) -> DataFrame:
+    return ws.keep(docs.select(_row(id_col, text), _source(source), token_count(F.col(f"`{text}`")).alias("n_tokens")), "mix-rows")
 
 
-def mix_plan(docs: DataFrame, ws: Workspace, target: MixTarget = MixTarget()) -> DataFrame:
+def mix_plan(docs: DataFrame, ws: Workspace, target: MixTarget = MixTarget(), id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix as a table: which document stands in which pass, block and position."""
-    return plan(_keyed(docs), ws, target).select(F.col("__row.id").alias("doc_id"), F.col("__source.s").alias("source"), "n_tokens", "epoch", "block", "position", "weight")
-
-
-def mix(docs: DataFrame, ws: Workspace, target: MixTarget = MixTarget()) -> DataFrame:
-    """The rows of ``docs`` as often as the mix shows them, all columns as they are. Equal rows (same
-    id and text) share their passes."""
-    keyed = _keyed(docs)
-    chosen = plan(keyed, ws, target)
-    copies = chosen.groupBy("__row").agg(F.count("*").alias("__copies"))
-    same = keyed.groupBy("__row").agg(F.count("*").alias("__same"))
-    copies = copies.join(same, "__row").select("__row", F.floor(F.col("__copies") / F.col("__same")).cast("int").alias("__copies"))
-    joined = keyed.join(copies, "__row").where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _rows(docs, ws, id_col, text, source)
+    shown = _showings(rows, ws, target)(rows)
+    ws.drop("mix-dealt")
+    return shown.select(F.col("row.id").alias("doc_id"), F.col("source.s").alias("source"), "n_tokens", "epoch", "block", "position", "weight")
+
+
+def mix(docs: DataFrame, ws: Workspace, target: MixTarget = MixTarget(), id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix shows them, all columns as they are, in the order of the block
+    permutation: partitions are consecutive ranges of the position, each sorted by it."""
+    show = _showings(_rows(docs, ws, id_col, text, source), ws, target)
+    ws.drop("mix-rows", "mix-dealt")
+    shown = show(docs.select(_row(id_col, text), _source(source), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = shown.repartitionById(n, F.floor(F.col("position") * n).cast("int")).sortWithinPartitions("position", "row", "epoch")
+    return ordered.select("doc.*")
