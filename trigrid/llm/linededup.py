@@ -1,16 +1,18 @@
 """Site-relative line dedup, in DataFrame functions only.
 
 Pages are grouped by host; a line's boilerplate ratio is the number of the host's pages that contain
-it over the host's page total. Lines above the limit (and on at least ``min_pages`` pages) are dropped
-wherever they stand on that host. A host can have no more such lines than lines per page over the
-limit, so they fit into one array per host. That table is written, and joins back to the pages: by a
-broadcast where Spark finds it small, else by a join whose hot hosts adaptive execution splits.
+it over the host's page total. Lines above the limit are dropped wherever they stand on that host, on hosts of
+every size; a line on one page alone repeats nothing and stays. A host can have no more such lines than
+lines per page over the limit, so they fit into one array of hashes per host. That table is written, and joins back to the pages: by a broadcast where Spark finds it small, else
+by a join whose hot hosts adaptive execution splits.
+
+The host is a column (``source`` for the documents) or any other expression, such as :func:`url_host` of a URL.
 
 Defined results: lines are split at line feeds and compared exactly; lines of white space only always
 stay; a null text stays null and counts as a page without lines; a null host is a host of its own; a page
-whose lines are all dropped keeps its row with an empty text; repeated rows count as pages each; an
-empty table gives an empty result; other columns pass through untouched (names starting with ``__``
-are used inside).
+whose lines are all dropped keeps its row with an empty text; texts of any length are read whole; repeated rows
+count as pages each; a ratio equal to the limit stays; an empty table gives an empty result; other columns, of any
+name, pass through untouched.
 """
 
 from __future__ import annotations
@@ -20,9 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: Largest share of a host's pages that may contain a line, and the least number of pages to judge by.
+#: Largest share of a host's pages that may contain a line.
 MAX_RATIO = 0.02
-MIN_PAGES = 10
+
+
+def url_host(url: Column) -> Column:
+    """The host of a URL, lower-cased, without user and port; null where there is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.when(host != "", host)
 
 
 def _lines(text: str) -> Column:
@@ -34,26 +41,42 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(__host, __drop): for each host that has any, the hashes of its boilerplate lines."""
+def boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
+    """(host, drop): for each host that has any, the hashes of its boilerplate lines."""
     kept = F.filter(_lines(text), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
-    seen = pages.select(F.struct(F.col(host).alias("h")).alias("__host"), F.array_distinct(F.transform(kept, _key)).alias("__lines"))
-    totals = seen.groupBy("__host").agg(F.count("*").alias("__pages")).where(F.col("__pages") >= min_pages)
-    counts = seen.select("__host", F.explode("__lines").alias("__line")).groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
-    over = counts.join(totals, "__host").where(F.col("__n") > max_ratio * F.col("__pages"))
-    return over.groupBy("__host").agg(F.collect_list("__line").alias("__drop"))
+    seen = pages.select(_host(host), F.array_distinct(F.transform(kept, _key)).alias("lines"))
+    totals = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = seen.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
+    over = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages"))
+    return over.groupBy("host").agg(F.collect_list("line.a").alias("drop"))
+
+
+def _host(host: str | Column) -> Column:
+    """In a struct, so that null is a host like others."""
+    return F.struct((F.col(f"`{host}`") if isinstance(host, str) else host).alias("h")).alias("host")
 
 
-def drop_boilerplate(pages: DataFrame, ws: Workspace, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with the boilerplate lines gone from ``text``, and ``__dropped``, how many went."""
+def drop_boilerplate(pages: DataFrame, ws: Workspace, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO, dropped: str | None = None) -> DataFrame:
+    """``pages`` with the boilerplate lines gone from ``text``; with ``dropped``, a last column of that name says
+    how many went. Rows travel as one struct, so their columns may have any names."""
     # Written first: its true size then decides between a broadcast and a shuffle of the texts.
-    drop = ws.keep(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
-    joined = pages.withColumn("__host", F.struct(F.col(host).alias("h"))).join(drop, "__host", "left")
-    kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__drop"), _key(x)))
-    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
-    joined = joined.withColumn("__dropped", F.when(F.col("__kept").isNotNull(), F.size(_lines(text)) - F.size("__kept")).otherwise(0).cast("long"))
-    joined = joined.withColumn(text, F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text)))
-    return joined.select(*[F.col(f"`{c}`") for c in pages.columns], "__dropped")
+    drop = ws.keep(boilerplate(pages, host, text, max_ratio), "boilerplate")
+    page = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page")
+    joined = pages.select(page, _host(host), F.col(f"`{text}`").alias("text")).join(drop, "host", "left")
+    # An intersection is hashed: a page costs its lines and its host's list once, not each line the whole list.
+    joined = joined.withColumn("present", F.array_intersect(F.transform(_lines("text"), lambda x: F.xxhash64(x)), F.col("drop")))
+    # Those present on a page are dealt into about as many buckets as they fill, so long pages stay far from quadratic.
+    n = (F.floor(F.sqrt(F.size("present"))) + 1).cast("int")
+    buckets = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter("present", lambda h: F.pmod(h, n) == b))
+    joined = joined.withColumn("buckets", F.when(F.size("present") > 0, buckets))
+    hits = lambda h: F.array_contains(F.get("buckets", F.pmod(h, F.size("buckets")).cast("int")), h)
+    kept = F.when(F.col("buckets").isNotNull(), F.filter(_lines("text"), lambda x: ~hits(F.xxhash64(x))))
+    joined = joined.select("page", "text", kept.alias("kept"))
+    gone = F.when(F.col("kept").isNotNull(), F.size(_lines("text")) - F.size("kept")).otherwise(0).cast("long")
+    cleaned = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
+    out = joined.select("page", cleaned.alias("cleaned"), gone.alias("gone"))
+    fields = [F.col("cleaned").alias(c) if c == text else F.col(f"page.`{c}`") for c in pages.columns]
+    return out.select(*fields, *([F.col("gone").alias(dropped)] if dropped else []))
 
 
 def clean_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -61,17 +84,17 @@ def clean_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
     out = drop_boilerplate(docs, ws)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("__dropped")
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return out
 
 
 def line_report(docs: DataFrame, ws: Workspace) -> DataFrame:
     """One row per document: lines before, lines dropped, and the digest of what is left."""
     n_lines = F.coalesce(F.size(_lines("text")), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    out = drop_boilerplate(docs.select("doc_id", "source", "text", n_lines.alias("n_lines")), ws)
+    out = drop_boilerplate(docs.select("doc_id", "source", "text", n_lines.alias("n_lines")), ws, dropped="n_dropped")
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
-    return out.select("doc_id", "n_lines", F.col("__dropped").alias("n_dropped"), digest.alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
 ORACLE = f"""
@@ -82,7 +105,7 @@ over AS (
   SELECT l.source, l.line FROM l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
   WHERE trim(translate(l.line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> ''
   GROUP BY l.source, l.line, p.pages
-  HAVING count(DISTINCT l.r) >= {MIN_PAGES} AND p.pages >= {MIN_PAGES} AND count(DISTINCT l.r) > {MAX_RATIO} * p.pages),
+  HAVING count(DISTINCT l.r) > 1 AND count(DISTINCT l.r) > {MAX_RATIO} * p.pages),
 marked AS (SELECT l.*, o.line IS NOT NULL AS gone FROM l LEFT JOIN over o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line),
 kept AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
