@@ -8,7 +8,8 @@ by a join whose hot hosts adaptive execution splits.
 
 The host is a column (``source`` for the documents) or any other expression, such as :func:`url_host` of a URL.
 
-Defined results: lines are split at line feeds and compared exactly; lines of white space only always
+Defined results: lines are split at line feeds and compared by 64-bit hashes within a host (of
+a billion different lines two may be taken for one); lines of white space only always
 stay; a null text stays null and counts as a page without lines; a null host is a host of its own; a page
 whose lines are all dropped keeps its row with an empty text; texts of any length are read whole; repeated rows
 count as pages each; a ratio equal to the limit stays; an empty table gives an empty result; other columns, of any
@@ -36,19 +37,14 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def _key(line: Column) -> Column:
-    """Two independent 64-bit hashes of a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
-
-
 def boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
     """(host, drop): for each host that has any, the hashes of its boilerplate lines."""
     kept = F.filter(_lines(text), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
-    seen = pages.select(_host(host), F.array_distinct(F.transform(kept, _key)).alias("lines"))
+    seen = pages.select(_host(host), F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x))).alias("lines"))
     totals = seen.groupBy("host").agg(F.count("*").alias("pages"))
     counts = seen.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
     over = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages"))
-    return over.groupBy("host").agg(F.collect_list("line.a").alias("drop"))
+    return over.groupBy("host").agg(F.collect_list("line").alias("drop"))
 
 
 def _host(host: str | Column) -> Column:
