@@ -395,10 +395,8 @@ def test_license_rules_match_python(spark):
     for i, text in enumerate(texts):
         norm = " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.lower()).strip() + " "
         found = []
-        if any(k in norm for k in licenses.GATE):
-            for r in licenses.rules():
-                if r.keyword in norm:
-                    found += [(m.start(), m.end(), r) for m in re.finditer(r.pattern, norm)]
+        for r in licenses.rules():
+            found += [(m.start(), m.end(), r) for m in re.finditer(r.pattern, norm)]
         left = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and e[2].priority >= d[2].priority and (e[:2] != d[:2] or (-e[2].priority, e[2].label) < (-d[2].priority, d[2].label)) for e in found if e is not d)]
         base = {label for phrase, label in licenses.BASE if f" {phrase} " in norm}
         assert got[i].labels == ",".join(sorted({d[2].label for d in left} | base)), text
@@ -418,10 +416,11 @@ def test_license_rules_without_gate_and_keywords(spark):
         norm = " " + re.sub(licenses.DELIMITERS, " ", text.translate(lower)).strip() + " "
         found = [(m.start(), m.end(), r) for r in licenses.rules() for m in re.finditer(r.pattern, norm)]
         for _, _, r in found:
-            assert r.needs and all(any(k in norm for k in s) for s in r.needs) and any(k in norm for k in licenses.GATE)
+            assert set(r.keywords) & set(norm.split()) and set(r.keywords) <= set(licenses.GATE)
         left = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and e[2].priority >= d[2].priority and (e[:2] != d[:2] or (-e[2].priority, e[2].label) < (-d[2].priority, d[2].label)) for e in found if e is not d)]
         assert got[i].labels == ",".join(sorted({d[2].label for d in left} | set(filter(None, got[i].base_labels.split(","))))), text
         assert got[i].labels == want.get(text, got[i].labels), text
+        assert got[i].score == max([d[2].weight for d in left] + [0.9] * (got[i].base_labels != "" and not left) + [0.0]), text
 
 
 # --- 1: mixing

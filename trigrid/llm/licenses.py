@@ -1,14 +1,16 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A text becomes its words, lower-cased (A-Z only) and set apart by single spaces; every rule is a regular
-expression over that. Rules run only where literals stand that their pattern can't match without; these are
-read off the pattern itself (:func:`needs`); every match has one of those in the gate. Each match is a detection with an interval and the rule's priority; a detection inside
+expression over that. Rules run only on texts with one of their keywords: whole words, one of which every match
+contains, read off the phrases a pattern stands for (:func:`keywords`). A text meets the keywords of all rules
+by one hashed intersection of its words. Each match is a detection with an interval and the rule's priority; a detection inside
 the interval of another of the same or a higher priority is suppressed, so that "licensed under the
 Apache License, Version 2.0" is one detection and not also one of the bare name. Three base phrases are
 always reported.
 
 Defined results: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; a null or empty text has none, no labels and
-score 0; texts are scanned whole; repeated rows give repeated results; an empty table gives an empty
+score 0; texts of any length are scanned whole; of detections with the same interval and priority the one whose label
+comes first stays; repeated rows give repeated results; an empty table gives an empty
 result; columns besides id and text are ignored. ``score`` is the highest weight of the detections left.
 """
 
@@ -19,6 +21,7 @@ import re._constants as op
 import re._parser as parser
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,49 +33,40 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 DELIMITERS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-#: Literals that say too little are left out of what a rule needs; so many alternatives are multiplied out.
-LEAST_LITERAL, MOST_LITERALS = 3, 32
+#: Stands in a phrase for a part of a pattern that is left open.
+OPEN = "\x00"
 
 
-def _walk(nodes: Iterable, run: frozenset[str]) -> tuple[list[frozenset[str]], frozenset[str], bool]:
-    """Sets of literals one of which stands in each match, those it ends with, and whether these are all of it."""
-    out: list[frozenset[str]] = []
-    whole = True
+def phrases(nodes: Iterable) -> list[str]:
+    """What a parsed pattern stands for: every choice written out, open parts as ``OPEN``."""
+    out = [""]
     for kind, arg in nodes:
         if kind is op.LITERAL:
-            run = frozenset(r + chr(arg) for r in run)
-            continue
-        if kind is op.SUBPATTERN:
-            branches = [arg[-1]]
+            more = [chr(arg)]
+        elif kind is op.SUBPATTERN:
+            more = phrases(arg[-1])
         elif kind is op.BRANCH:
-            branches = arg[1]
+            more = [p for branch in arg[1] for p in phrases(branch)]
         elif kind is op.IN and all(k is op.LITERAL for k, _ in arg):
-            branches = [[one] for one in arg]
+            more = [chr(one) for _, one in arg]
+        elif kind is op.MAX_REPEAT and arg[:2] == (0, 1):
+            more = ["", *phrases(arg[2])]
         else:
-            branches = []
-        walked = [_walk(branch, run) for branch in branches]
-        tails = frozenset().union(*(tail for _, tail, _ in walked))
-        if walked and all(w for _, _, w in walked) and len(tails) <= MOST_LITERALS:
-            run = tails
-            continue
-        whole = False
-        if walked:
-            out.append(frozenset().union(*(max([*sets, tail], key=_weakest) for sets, tail, _ in walked)))
-        else:
-            out.append(run)
-        run = frozenset([""])
-    return out, run, whole
-
-
-def _weakest(literals: Iterable[str]) -> int:
-    return min(map(len, literals))
+            more = [OPEN]
+        out = [a + b for a in out for b in more]
+    return out
 
 
-def needs(pattern: str) -> tuple[tuple[str, ...], ...]:
-    """Sets of literals, the most telling first: whatever matches ``pattern`` contains one of each set."""
-    sets, tail, _ = _walk(parser.parse(pattern), frozenset([""]))
-    telling = [s for s in [*sets, tail] if _weakest(s) >= LEAST_LITERAL]
-    return tuple(tuple(sorted(s)) for s in sorted(telling, key=_weakest, reverse=True))
+def keywords(pattern: str) -> tuple[str, ...]:
+    """Whole words, one of which is in every text that holds one of the pattern's phrases between spaces: of
+    each phrase its longest word, if possible one that is not a number."""
+    chosen = set()
+    for phrase in phrases(parser.parse(pattern)):
+        whole = [w for w in phrase.split() if OPEN not in w]
+        if not whole:
+            raise ValueError(f"no word is certain in {pattern!r}")
+        chosen.add(max(whole, key=lambda w: (not w.isdigit(), len(w), w)))
+    return tuple(sorted(chosen))
 
 
 @dataclass(frozen=True)
@@ -81,12 +75,8 @@ class Rule:
     pattern: str
     priority: int
     weight: float
-    needs: tuple[tuple[str, ...], ...]
-
-    @property
-    def keyword(self) -> str:
-        """A literal of every match, empty if none is in all."""
-        return next((s[0] for s in self.needs if len(s) == 1), "")
+    #: One of these words is in every match.
+    keywords: tuple[str, ...]
 
 
 VERBS = "licensed|released|distributed|available|published|provided|offered|dual licensed".split("|")
@@ -174,38 +164,105 @@ SENTENCES = (
     ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
     ("public-domain", "(?:is|are|been) (?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain"),
     ("public-domain", "no copyright is claimed and this work is in the public domain"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("bsd", "this software is provided by (?:the )?(?:[^ ]+ ){1,8}as is and any express or implied warranties"),
+    ("bsd", "in no event shall (?:the )?(?:[^ ]+ ){1,8}be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd-4", "this product includes software developed by"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("apache-2", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide"),
+    ("apache-2", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl", "(?:program|software) is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-2", "either version 2 of the license only"),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl", "library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lgpl-3-or-later", "lesser general public license as published by the free software foundation either version 3 of the license or"),
+    ("agpl", "the gnu affero general public license is a free copyleft license"),
+    ("agpl-3", "remote network interaction use with the gnu general public license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("cpl-1", "the accompanying program is provided under the terms of this common public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("boost-1", "must be included in all copies of the software in whole or in part and all derivative works of the software"),
+    ("wtfpl", "you just do what the fuck you want to"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("ofl", "the fonts and derivatives however cannot be released under any other type of license"),
+    ("ofl", "reserved font name"),
+    ("odbl", "you are free to share create and adapt as long as you attribute keep open"),
+    ("cc0-1", "has dedicated the work to the public domain by waiving all of his or her rights to the work"),
+    ("cc0-1", "to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright and related or neighboring rights"),
+    ("cc-by", "you are free to share and adapt for any purpose even commercially under the following terms attribution"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-nc", "you may not use the material for commercial purposes"),
+    ("cc-by", "this work is licensed under a creative commons attribution(?: [1-4] 0)?(?: international| unported)? license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution share ?alike(?: [1-4] 0)?(?: international| unported)? license"),
+    ("python-2", "psf is making python available to licensee on an as is basis"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("hpnd", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("openssl", "this product includes software developed by the openssl project"),
+    ("openssl", "this product includes cryptographic software written by"),
+    ("curl", "except as contained in this notice the name of a copyright holder shall not be used in advertising"),
+    ("x11", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("ncsa", "neither the names of (?:[^ ]+ ){1,20}nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("json", "the software shall be used for good not evil"),
+    ("vim", "vim is charityware"),
+    ("php", "this product includes php software freely available from"),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl", "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic", "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "the license does not grant to you the right to sell the software"),
+    ("eupl", "licensed under the eupl"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("public-domain", "(?:the )?authors? disclaims? copyright to this source code"),
+    ("public-domain", "this (?:file|code|work|software|data) is public domain"),
+    ("public-domain", "work of the (?:united states|u s|us) government"),
+    ("proprietary", "confidential and proprietary"),
+    ("proprietary", "may not be (?:reproduced|copied|distributed|disclosed) (?:[^ ]+ ){0,6}without (?:the )?(?:prior |express )?(?:written )?(?:permission|consent)"),
+    ("proprietary", "for internal use only"),
+    ("proprietary", "this software contains trade secrets"),
+    ("proprietary", "by installing or using (?:the|this) software you agree to be bound by"),
+    ("non-commercial", "for (?:personal|academic|research|educational)(?: and)?(?: personal| academic| research| educational)? use only"),
+    ("non-commercial", "(?:not|never) (?:be )?(?:used|sold) for commercial purposes"),
     ("proprietary", "all rights reserved"),
     ("proprietary", "no part of this (?:work|publication|document) may be reproduced"),
     ("proprietary", "unauthorized (?:copying|use|distribution) (?:of this file )?is strictly prohibited"),
 )
 
 
-def rules() -> list[Rule]:
+@lru_cache(maxsize=1)
+def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: identifier tags, grants and sentences, full names, bare names."""
     out = []
     for label, names, ids in FAMILIES:
-        named = f"(?:{names})"
-        out.append((label, f" spdx licen[cs]e identifier (?:{ids})(?= )", 4, 1.0))
-        out.append((label, f" {GRANT}{named}(?: licen[cs]e)?(?: version| v)?(?: [1-4](?: [0-9])?)?(?= )", 3, 0.95))
-        out.append((label, f" (?:the )?{named} licen[cs]e(?= )", 2, 0.8))
-        out.append((label, f" licen[cs]ed? (?:is |as |type |name |text )?{named}(?= )", 2, 0.75))
+        named, words = f"(?:{names})", keywords(names)
+        out.append(Rule(label, f" spdx licen[cs]e identifier (?:{ids})(?= )", 4, 1.0, ("spdx",)))
+        out.append(Rule(label, f" {GRANT}{named}(?: licen[cs]e)?(?: version| v)?(?: [1-4](?: [0-9])?)?(?= )", 3, 0.95, words))
+        out.append(Rule(label, f" (?:the )?{named} licen[cs]e(?= )", 2, 0.8, words))
+        out.append(Rule(label, f" licen[cs]ed? (?:is |as |type |name |text )?{named}(?= )", 2, 0.75, words))
         if " " in names and label != "zlib":
-            out.append((label, f" (?:{BARE.get(label, names)})(?= )", 1, 0.6))
-    for label, words in SENTENCES:
-        out.append((label, f" {words}(?= )", 3, 0.9))
-    return sorted((Rule(*r, needs(r[1])) for r in out), key=lambda r: (-r.priority, r.label, r.pattern))
-
-
-def gate() -> tuple[str, ...]:
-    """Literals one of which every match of every rule contains; none of them contains another."""
-    out: list[str] = []
-    for k in sorted({k for r in rules() for k in r.needs[0]}, key=lambda k: (len(k), k)):
-        if not any(shorter in k for shorter in out):
-            out.append(k)
-    return tuple(out)
+            bare = BARE.get(label, names)
+            out.append(Rule(label, f" (?:{bare})(?= )", 1, 0.6, keywords(bare)))
+    out += [Rule(label, f" (?:{words})(?= )", 3, 0.9, keywords(words)) for label, words in SENTENCES]
+    return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.pattern)))
 
 
-GATE = gate()
+GATE = tuple(sorted({k for r in rules() for k in r.keywords}))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: One rule's detections: pieces between matches and the matches give the intervals.
@@ -234,12 +291,12 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), DELIMITERS, " ")), F.lit(" "))
 
 
-def detections(norm: str) -> Column:
-    """Surviving detections of a normalised text: interval, priority, weight and label."""
+def detections(norm: str, present: str) -> Column:
+    """What the rules with a keyword among ``present`` match in a normalised text."""
     # One constant, folded when the plan is made: thousands of literals would take the planner a minute.
-    table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules()])), "array<struct<label:string,pattern:string,priority:int,weight:double,needs:array<array<string>>>>")
+    table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules()])), "array<struct<label:string,pattern:string,priority:int,weight:double,keywords:array<string>>>")
     text = F.col(norm)
-    live = F.filter(table, lambda r: F.forall(r["needs"], lambda s: F.exists(s, lambda k: F.contains(text, k))) & F.regexp(text, r["pattern"]))
+    live = F.filter(table, lambda r: F.arrays_overlap(r["keywords"], F.col(present)) & F.regexp(text, r["pattern"]))
     return F.transform(
         live,
         lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), F.split(text, r["pattern"], -1).alias("gaps"), F.regexp_extract_all(text, r["pattern"], F.lit(0)).alias("hits")),
@@ -250,10 +307,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: words, base phrase places, labels, and the score of the best detection."""
     rows = keyed_texts(docs).select("doc_id", normalised(F.col("text")).alias("norm"))
     rows = rows.withColumn("n_words", F.when(F.col("norm") == "  ", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) - 1).cast("long"))
-    gate = F.lit(False)
-    for k in GATE:
-        gate = gate | F.contains("norm", F.lit(k))
-    rows = rows.withColumn("matches", F.when(gate, detections("norm")))
+    present = F.array_intersect(F.split("norm", " "), F.from_json(F.lit(json.dumps(GATE)), "array<string>"))
+    rows = rows.withColumn("present", present)
+    rows = rows.withColumn("matches", F.when(F.size("present") > 0, detections("norm", "present")))
     rows = rows.withColumn("found", F.expr(f"flatten(transform(matches, m -> {_INTERVALS}))"))
     rows = rows.withColumn("left_over", F.expr(_SWEEP))
     # Base phrases, word by word; only where the phrase stands at all.
