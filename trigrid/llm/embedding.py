@@ -1,21 +1,26 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are rows of the table itself, a bounded sample. A vector is described by its eight nearest pivots
-in order; inverted lists hold the vectors under every two of them, so that two vectors meet when they
-share at least two of eight (the shared-pivot count), and the cosine is then computed exactly, in
-double precision, inside the task. Long lists are dealt out as pairs of bounded blocks. A pair that
-meets in several lists counts in one: that of its two lowest shared pivots. Tasks return link counts
-and spanning links, not pairs.
-
-The number of pivots follows the square root of the number of vectors between bounds, so lists stay
-short as the table grows. Equal arrays collapse into one class first.
-
-Recall against brute force is measured in tests; at a cosine of just 0.9 about 0.99 of random pairs share two
-of eight among 256 pivots, more above it. Links reported are exact: none lies below the threshold.
+Pivots are rows of the table itself, taken from a bounded sample so that no two are alike (:func:`spread_out`). A vector is described by its twelve nearest pivots
+in order, the prefix of its pivot permutation. Inverted lists hold the vectors under every two of those
+whose ranks sum to at most ``RANK_SUM``: two vectors meet when they share two pivots that are near to both
+of them, the nearer the one, the farther may be the other. The number of pivots follows the square root of
+the number of vectors between bounds, so lists stay short as the table grows. Equal arrays collapse into one class first.
+
+1. Lists carry ids, pivots and vectors rounded to a byte a component. Long lists are dealt out as pairs of bounded
+   blocks, and a task finds the members that have a likely partner: the rounded cosine is below the
+   threshold by no more than rounding can take off, so no pair found is lost.
+2. Only those members get their whole vectors, and the cosine is computed exactly, in double precision. A pair that
+   meets in several lists counts in one: that of its lowest common key. Tasks return link counts and spanning
+   links, not pairs.
+
+Recall against brute force, random pairs at a cosine of exactly 0.9 (the hardest; more above it), least of 16, 64 and 768
+dimensions: 1.0 with 64 pivots, 0.999 with 256, 0.989 with 1024, 0.961 with 4096 (``tests/llm/test_vector_recall.py`` measures
+it). Links reported are exact: none lies below the threshold.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
 vectors of different lengths never link; a null vec_id links with nothing and is kept; rows that share a
-vec_id are one node for components, and each counts as a vector; an empty table gives an empty
+vec_id are one node for components, and each counts as a vector; fully repeated rows and equal vectors are linked with
+each other; vectors of any length are compared whole; ties among pivots go to the earlier one; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -33,8 +38,12 @@ from .common import Workspace, runs
 from .components import components
 
 THRESHOLD = 0.9
-NEAREST = 8
+NEAREST, RANK_SUM = 12, 11
+#: Ranks (from 0) of the pivots that make a list key together.
+RANKS = [(i, j) for i, j in itertools.combinations(range(NEAREST), 2) if i + j <= RANK_SUM]
 MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+#: Rows sampled for a pivot, and the cosine from which two are too alike to be both.
+CANDIDATES, MOST_ALIKE = 2, 0.8
 BLOCK = 512
 
 
@@ -52,74 +61,130 @@ def _unit(rows: np.ndarray) -> np.ndarray:
         return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _describe(batches: Iterable[pa.RecordBatch], pivots: list[list[float]]) -> Iterator[pa.RecordBatch]:
-    """The sorted ids of each vector's nearest pivots, and a list key for every two of them."""
+def spread_out(sample: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """Up to ``n`` of the sample, in its order, no two with a cosine of ``MOST_ALIKE`` or more. A large group of alike
+    vectors has as many rows in a sample as its share; were they all pivots, they alone would be the nearest
+    of its members, in an order that says nothing."""
+    chosen: list[np.ndarray] = []
+    kept: dict[int, np.ndarray] = {}
+    count: dict[int, int] = {}
+    for v in sample:
+        d = len(v)
+        unit = _unit(v[None, :])[0]
+        rows = kept.setdefault(d, np.empty((n, d)))
+        k = count.get(d, 0)
+        if not k or (rows[:k] @ unit).max() < MOST_ALIKE:
+            rows[k], count[d] = unit, k + 1
+            chosen.append(v)
+            if len(chosen) == n:
+                break
+    return chosen
+
+
+def nearest(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The ids of each unit vector's nearest pivots, the nearest first."""
+    return np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :NEAREST].astype(np.int16)
+
+
+def list_keys(near: np.ndarray, size: int) -> np.ndarray:
+    """The keys of the lists that hold vectors of ``size`` components with these nearest pivots."""
+    near = near.astype(np.int64)
+    two = [(i, j) for i, j in RANKS if j < near.shape[1]]
+    low = np.stack([np.minimum(near[:, i], near[:, j]) for i, j in two], axis=1)
+    high = np.stack([np.maximum(near[:, i], near[:, j]) for i, j in two], axis=1)
+    return size * MAX_PIVOTS**2 + low * MAX_PIVOTS + high
+
+
+def _describe(batches: Iterable[pa.RecordBatch], pivots: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Nearest pivots, list keys, and the unit vector in steps of ``step``, a byte each, of every vector."""
     fitted: dict[int, np.ndarray] = {}
-    two = list(itertools.combinations(range(min(NEAREST, len(pivots))), 2))
     for batch in batches:
-        nodes, near, keys = [], [], []
         column = batch.column("vec")
         sizes = np.asarray(column.value_lengths())
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         ends = np.cumsum(sizes)
         for d in np.unique(sizes).tolist():
             if d not in fitted:
-                fitted[d] = np.nan_to_num(_unit(np.array([np.resize(np.array(p, dtype=np.float64), d) for p in pivots])))
+                fitted[d] = np.nan_to_num(_unit(np.array([np.resize(p, d) for p in pivots])))
             at = np.flatnonzero(sizes == d)
             rows = _unit(flat[(ends[at] - d)[:, None] + np.arange(d)])
-            best = np.argsort(-(rows @ fitted[d].T), axis=1, kind="stable")[:, :NEAREST]
-            best.sort(axis=1)
-            nodes.append(at)
-            near += list(best.astype(np.int32))
-            keys += list(np.stack([d * MAX_PIVOTS**2 + best[:, i] * MAX_PIVOTS + best[:, j] for i, j in two], axis=1))
-        at = np.concatenate(nodes) if nodes else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_pydict({
-            "node": batch.column("node").take(pa.array(at)), "near": pa.array(near, pa.list_(pa.int32())), "keys": pa.array(keys, pa.list_(pa.int64())),
-        })
+            near = nearest(rows, fitted[d])
+            step = np.abs(rows).max(axis=1) / 127
+            rounded = np.rint(rows / step[:, None]).astype(np.int8)
+            yield pa.RecordBatch.from_pydict({
+                "node": batch.column("node").take(pa.array(at)), "near": pa.array([r.tobytes() for r in near], pa.binary()), "step": pa.array(step),
+                "rounded": pa.array([r.tobytes() for r in rounded], pa.binary()), "keys": pa.array(list(list_keys(near, d)), pa.list_(pa.int64())),
+            })
 
 
-def _compare(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """For each block pair: (node, null, links) counts and (node, node, null) spanning links."""
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, np.ndarray, np.ndarray]]:
+    """Each block pair of batches sorted by (key, bi, bj): its table, key, size of vectors, and its rows of both blocks."""
     for table in runs(batches, ["key", "bi", "bj"]):
-        key, bi, bj, block, node, size = (table.column(c).to_numpy() for c in ("key", "bi", "bj", "block", "node", "n"))
+        key, bi, bj, block = (table.column(c).to_numpy() for c in ("key", "bi", "bj", "block"))
         new = (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
-        edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)])).tolist()
-        vec = table.column("vec").combine_chunks()
-        flat, ends = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(np.asarray(vec.value_lengths()))
-        near = table.column("near").combine_chunks()
-        width = len(near[0])
-        near = near.flatten().to_numpy().reshape(-1, width)
-        u, v, counts = [], [], np.zeros(len(key), dtype=np.int64)
-        for a, b in itertools.pairwise(edges):
-            d = int(key[a] // MAX_PIVOTS**2)
-            first, second = divmod(int(key[a] % MAX_PIVOTS**2), MAX_PIVOTS)
-            rows = _unit(flat[ends[a] - d : ends[b - 1]].reshape(-1, d))
+        for a, b in itertools.pairwise(np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)])).tolist()):
             left = np.flatnonzero(block[a:b] == bi[a])
             right = left if bi[a] == bj[a] else np.flatnonzero(block[a:b] == bj[a])
-            if not len(left) or not len(right):
-                continue
-            linked = rows[left] @ rows[right].T >= threshold
-            if bi[a] == bj[a]:
-                linked = np.triu(linked, 1)
-            hits = np.flatnonzero(linked.any(axis=1))
-            comp = np.arange(b - a)
-            for x in hits.tolist():
-                i = int(left[x])
-                js = right[linked[x]]
-                # Shared pivots below this list's second must be its first alone: else another list has the pair.
-                mine = near[a + i]
-                shared = (near[a + js][:, :, None] == mine[mine < second][None, None, :]).any(axis=1).sum(axis=1)
-                js = js[shared == 1]
-                if not len(js):
-                    continue
-                counts[a + i] += size[a + js].sum()
-                counts[a + js] += size[a + i]
-                fresh = js[comp[js] != comp[i]]
-                for j in fresh.tolist():
-                    if comp[j] != comp[i]:
-                        u.append(int(node[a + i]))
-                        v.append(int(node[a + j]))
-                        comp[comp == comp[j]] = comp[i]
+            if len(left) and len(right):
+                yield table.slice(a, b - a).combine_chunks(), int(key[a]), int(key[a] // MAX_PIVOTS**2), left, right
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1)
+
+
+def _owned(linked: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray, size: int, key: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of linked pairs (left by right) those without a common key below this one, by row."""
+    if left is right:
+        linked = np.triu(linked, 1)
+    rows = np.flatnonzero(linked.any(axis=1))
+    if not len(rows):
+        return
+    keys = list_keys(near, size)
+    lower, at = np.unique(np.where(keys < key, keys, key), return_inverse=True)
+    has = np.zeros((len(keys), len(lower)), dtype=bool)
+    has[np.arange(len(keys))[:, None], at.reshape(keys.shape)] = True
+    bits = np.packbits(has[:, : np.searchsorted(lower, key)], axis=1)
+    for x in rows.tolist():
+        i, js = int(left[x]), right[linked[x]]
+        js = js[~(bits[js] & bits[i]).any(axis=1)]
+        if len(js):
+            yield i, js
+
+
+def _flag(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Members of block pairs with a likely partner that no other list has."""
+    for table, key, d, left, right in _blocks(batches):
+        step, near = table.column("step").to_numpy(), _matrix(table.column("near"), np.int16)
+        rounded = _matrix(table.column("rounded"), np.int8).astype(np.float32)
+        a, b = step[left][:, None], step[right][None, :]
+        # Half a step a component, against unit vectors, and of the products; and what single precision may take.
+        slack = np.sqrt(d) / 2 * (a + b) + d / 4 * a * b + 1e-5
+        likely = (rounded[left] @ rounded[right].T).astype(np.float64) * a * b >= threshold - slack
+        wanted = np.zeros(table.num_rows, dtype=bool)
+        for i, js in _owned(likely, left, right, near, d, key):
+            wanted[i] = True
+            wanted[js] = True
+        yield from table.select(["key", "node", "block", "bi", "bj"]).filter(pa.array(wanted)).to_batches()
+
+
+def _compare(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """For each block pair: (node, null, links) counts and (node, node, null) spanning links."""
+    for table, key, d, left, right in _blocks(batches):
+        node, size = (table.column(c).to_numpy() for c in ("node", "n"))
+        rows = _unit(table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d))
+        near = _matrix(table.column("near"), np.int16)
+        u, v, counts = [], [], np.zeros(len(node), dtype=np.int64)
+        comp = np.arange(len(node))
+        for i, js in _owned(rows[left] @ rows[right].T >= threshold, left, right, near, d, key):
+            counts[i] += size[js].sum()
+            counts[js] += size[i]
+            for j in js[comp[js] != comp[i]].tolist():
+                if comp[j] != comp[i]:
+                    u.append(int(node[i]))
+                    v.append(int(node[j]))
+                    comp[comp == comp[j]] = comp[i]
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({
             "u": pa.array(np.concatenate((node[at], np.array(u, dtype=np.int64)))),
@@ -144,11 +209,14 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD
     reps = ws.keep(reps.select("node", "vec", "n"), "reps")
 
     total = reps.count()
-    pivots = [r["vec"] for r in reps.orderBy(F.xxhash64("node"), "node").select("vec").limit(pivot_count(total)).collect()]
-    described = reps.select("node", "vec").mapInArrow(lambda it: _describe(it, pivots), "node long, near array<int>, keys array<long>") if pivots else None
-    if described is None:
+    # A bounded sample, of at most CANDIDATES * MAX_PIVOTS vectors.
+    n = pivot_count(total)
+    sample = reps.orderBy(F.xxhash64("node"), "node").select("vec").limit(CANDIDATES * n).toArrow()
+    fitted = spark.sparkContext.broadcast(spread_out([np.asarray(v.values, dtype=np.float64) for v in sample.column("vec")], n))
+    if not total:
         found, links = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "node long, more long")
     else:
+        described = reps.select("node", "vec").mapInArrow(lambda it: _describe(it, fitted.value), "node long, near binary, step double, rounded binary, keys array<long>")
         described = ws.keep(described, "described")
         cells = described.select("node", F.explode("keys").alias("key"))
         lists = cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -156,17 +224,20 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD
         cells = cells.join(lists, "key")
         cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("key", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-        facts = reps.join(described.select("node", "near"), "node")
         order = ["key", "bi", "bj"]
-        dealt = cells.join(facts, "node").select("key", "node", "block", "bi", "bj", "n", "near", F.col("vec").cast("array<float>").alias("vec32"), "vec")
+        dealt = cells.join(described.select("node", "near", "step", "rounded"), "node").repartition(parts, *order).sortWithinPartitions(*order)
+        flagged = dealt.mapInArrow(lambda it: _flag(it, threshold), "key long, node long, block int, bi int, bj int")
+        flagged = ws.keep(flagged, "flagged")
+        facts = reps.join(described.select("node", "near"), "node")
         # Vectors stored as floats travel as floats: nothing is lost, and half is moved.
         single = dict(vectors.dtypes)[vec_col] == "array<float>"
-        dealt = dealt.withColumn("vec", F.col("vec32")).drop("vec32") if single else dealt.drop("vec32")
+        vec = F.col("vec").cast("array<float>") if single else F.col("vec")
+        dealt = flagged.join(facts, "node").select("key", "node", "block", "bi", "bj", "n", "near", vec.alias("vec"))
         dealt = dealt.repartition(parts, *order).sortWithinPartitions(*order)
         out = ws.keep(dealt.mapInArrow(lambda it: _compare(it, threshold), "u long, v long, links long"), "links")
         links = out.where("links IS NOT NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("more"))
         found = ws.keep(components(out.where("v IS NOT NULL").select("u", "v"), ws, "vectors"), "found")
-        ws.drop("classes", "reps", "described", "lists")
+        ws.drop("classes", "reps", "described", "lists", "flagged")
     result = member.join(found, "node", "left").join(links, "node", "left").select(
         "vec_id",
         F.when(F.col("node").isNotNull(), F.col("n") - 1 + F.coalesce("more", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
