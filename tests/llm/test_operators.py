@@ -222,11 +222,11 @@ def test_blocks_find_what_stars_miss():
     sets = minhash.shingle_sets(w)
     sigs = [minhash.signature(s) for s in sets]
     keys = [minhash.bands(s) for s in sigs]
-    shared = int(keys[0].view(np.int64)[keys[0] == keys[1]][0])
+    shared = int(keys[0].view(np.int64)[keys[0] == keys[1]].min())
     n = 2
     batch = pa.RecordBatch.from_pydict({
         "key": pa.array([shared] * n), "node": pa.array([1, 2]), "component": pa.array([1, 2]), "block": pa.array([0] * n, pa.int32()), "bi": pa.array([0] * n, pa.int32()), "bj": pa.array([0] * n, pa.int32()),
-        "n_shingles": pa.array([len(s) for s in sets]), "sig": pa.array([(s & np.uint64(255)).astype(np.uint8).tobytes() for s in sigs]), "bands": pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())),
+        "n_shingles": pa.array([len(s) for s in sets]), "sig": pa.array([(s & np.uint64(255)).astype(np.uint8).tobytes() for s in sigs]), "lists": pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())),
         "members": pa.array([s.tobytes() for s in sets]),
     })
     assert sum(b.num_rows for b in neardup._flag([batch.drop_columns(["members"])])) == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..storage import Workspace
 from .textkernel import slices
 
-__all__ = ["Workspace", "arrow_map", "keyed_texts", "runs", "table"]
+__all__ = ["Workspace", "arrow_map", "keyed_texts", "lower_keys", "runs", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +70,13 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         last = ends
     if held:
         yield pa.Table.from_batches(held)
+
+
+def lower_keys(rows: np.ndarray, keys: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A bit set for each of ``n`` rows of its keys below ``key`` (``rows[k]`` has ``keys[k]``). Two rows that meet under
+    several keys are dealt with under the lowest: where their bit sets share nothing."""
+    below = keys < key
+    distinct, at = np.unique(keys[below], return_inverse=True)
+    has = np.zeros((n, len(distinct)), dtype=bool)
+    has[rows[below], at.ravel()] = True
+    return np.packbits(has, axis=1)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, runs
+from .common import Workspace, lower_keys, runs
 from .components import components
 
 THRESHOLD = 0.9
@@ -142,10 +142,7 @@ def _owned(linked: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.nda
     if not len(rows):
         return
     keys = list_keys(near, size)
-    lower, at = np.unique(np.where(keys < key, keys, key), return_inverse=True)
-    has = np.zeros((len(keys), len(lower)), dtype=bool)
-    has[np.arange(len(keys))[:, None], at.reshape(keys.shape)] = True
-    bits = np.packbits(has[:, : np.searchsorted(lower, key)], axis=1)
+    bits = lower_keys(np.repeat(np.arange(len(keys)), keys.shape[1]), keys.ravel(), len(keys), key)
     for x in rows.tolist():
         i, js = int(left[x]), right[linked[x]]
         js = js[~(bits[js] & bits[i]).any(axis=1)]
