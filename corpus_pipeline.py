@@ -1,9 +1,14 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate dedup, source mixing, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller writes and rereads as the
-next stage's ``docs``. All but the last return the columns of ``documents``; the last returns
-token counts and digests, one row for each row the mix shows. Null texts and empty tables go through: the
-quality stage rejects texts of fewer than 20 words, null ones with them.
+next stage's ``docs``. All but the last return the columns of ``documents``, the mixing stage's rows in the order of its
+block permutation; the last returns token counts and digests, one row for each row the mix shows.
+
+Defined results: the quality stage rejects texts of fewer than 20 words, null and empty ones with them; a null source is
+a source; a null doc_id goes through and is a copy of nothing; texts of any length are read whole in every stage; of
+documents linked as near copies the smallest doc_id stays; fully repeated rows are judged alike, stay together where their
+group's smallest id is theirs, and are shown each; ties in the mix are settled by id and text; an empty table gives
+an empty result; columns besides those of ``documents``, of any name, go along untouched up to the last stage.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from trigrid.llm import bpe, linededup, mixing, neardup, quality
 from trigrid.llm.common import Workspace, table
 
-#: Similarity in hundredths from which the stage links; tests/llm compares the stage with brute force at this one.
-NEARDUP_THRESHOLD = 85
+#: Similarity in hundredths from which the stage links.
+NEARDUP_THRESHOLD = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
