@@ -8,8 +8,8 @@ work is linear in the word. The result equals merging by rank.
 
 Decoding gathers the bytes of each id from one flat table through an offsets array.
 
-A null text is the empty text and gives no tokens; texts are encoded whole; repeated rows give repeated
-results; an empty table an empty result; columns other than id and text are ignored.
+A null text is the empty text and gives no tokens; texts of any length, and words of any length, are encoded whole;
+repeated rows give repeated results; an empty table an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import arrow_map, keyed_texts
 END = "</w>"
 #: Distinct words whose tokens a worker remembers in each of two generations; bounds its memory.
 REMEMBERED = 120_000
+#: Symbols of a word whose matches are held at a time.
+STRETCH = 65_536
 #: The usual splitting pattern, and the same for the quicker ``re`` module; its classes differ only for
 #: the characters in ODD (numbers that are not digits, and four control characters).
 USUAL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -60,6 +62,24 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+class _Starts:
+    """The tokens that start at each position of a very long word, found stretch by stretch as the encoder moves;
+    one that it steps back into is found again. Bounds what a run of a million letters takes."""
+
+    def __init__(self, vocabulary: Vocabulary, symbols: str) -> None:
+        self.vocabulary, self.symbols = vocabulary, symbols
+        self.stretches: dict[int, list[list[int]]] = {}
+
+    def __getitem__(self, at: int) -> list[int]:
+        k, i = divmod(at, STRETCH)
+        if k not in self.stretches:
+            if len(self.stretches) > 1:
+                del self.stretches[next(iter(self.stretches))]
+            lo = k * STRETCH
+            self.stretches[k] = self.vocabulary.starts(self.symbols, lo, min(len(self.symbols), lo + STRETCH))
+        return self.stretches[k][i]
+
+
 @dataclass
 class Vocabulary:
     """What the encoder needs of a tokenizer file; small (one entry a token) and shipped to the tasks."""
@@ -110,6 +130,7 @@ class Vocabulary:
             self.halves.append(pair)
             self.joined[pair] = n + k
         self.lengths = [len(s) for s in spelled]
+        self.longest = max(self.lengths)
         self.automaton = ahocorasick.Automaton()
         for i, s in enumerate(spelled):
             self.automaton.add_word(s, i)
@@ -168,17 +189,25 @@ class Vocabulary:
             self.compatible[key] = known
         return known
 
+    def starts(self, symbols: str, lo: int, hi: int) -> list[list[int]]:
+        """For each position of a stretch the tokens that start there, the shorter first; an empty list at its end."""
+        lengths = self.lengths
+        out: list[list[int]] = [[] for _ in range(hi - lo + 1)]
+        for end, token in self.automaton.iter(symbols, lo, min(len(symbols), hi + self.longest)):
+            start = end + 1 - lengths[token] - lo  # ends ascend, so lengths do
+            if start < hi - lo:
+                out[start].append(token)
+        return out
+
     def encode_word(self, word: str) -> list[int]:
         """Tokens of one word (after normalising and splitting)."""
         raw = word.encode("utf-8", "surrogatepass")
         inner, lengths, fits = self.inner, self.lengths, self.fits
-        symbols = "".join([inner[b] for b in raw[:-1]]) + self.final[raw[-1]]
+        symbols = raw[:-1].decode("latin-1").translate(inner) + self.final[raw[-1]]
         if symbols in self.automaton:
             return [self.automaton.get(symbols)]
         n = len(symbols)
-        starts: list[list[int]] = [[] for _ in range(n + 1)]
-        for end, token in self.automaton.iter(symbols):
-            starts[end + 1 - lengths[token]].append(token)  # ends ascend, so lengths do
+        starts = _Starts(self, symbols) if n > STRETCH else self.starts(symbols, 0, n)
         failed = bytearray(n + 1)
         out: list[int] = []
         untried: list[int] = []  # for each chosen token, how many shorter ones are left
