@@ -11,8 +11,9 @@ row of anchor, path hash, document and word range. Then, by Spark aggregations a
 3. at a branching anchor equal paths still compact: all but the first document's are repeats. Only
    the first copy of each distinct path is expanded into its edges, which are compared one by one.
 
-Source coordinates (document, word range) go along, and the repeated ranges are read back against the
-whole text they came from. Hashes are 128 bits in all comparisons (two independent 64-bit families).
+Source coordinates (document, word range) go along to the texts they came from. What repeats is decided by hashes: paths
+are equal by their anchor's and their own 64-bit hash, single edges by two independent 64-bit hashes; words themselves
+are not compared.
 
 Defined results: documents are ordered by doc_id; a word goes if any 50-word window over it also
 starts in a document with a smaller doc_id. A null doc_id neither removes nor loses words; a null or
@@ -41,17 +42,23 @@ _TEXT_KEY = "cast(crc32(encode(coalesce(text, ''), 'utf-8')) as bigint)"
 
 
 def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the smallest value in each full window of the given width."""
-    bits = np.uint64(max(1, len(values)).bit_length())
-    best = (values >> bits << bits) | np.arange(len(values), dtype=np.uint64)
+    """Index of the smallest value in each full window of the given width, of equal ones the first: equal windows
+    choose alike, whatever slice they lie in."""
+    best, at = values, np.arange(len(values))
+
+    def later(step: int) -> None:
+        nonlocal best, at
+        n = len(best) - step
+        lower = best[step:] < best[:n]
+        best, at = np.where(lower, best[step:], best[:n]), np.where(lower, at[step:], at[:n])
+
     done = 1
     while 2 * done <= width:
-        best = np.minimum(best[: len(best) - done], best[done:])
+        later(done)
         done *= 2
-    rest = width - done
-    if rest:
-        best = np.minimum(best[: len(best) - rest], best[rest:])
-    return (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    if width > done:
+        later(width - done)
+    return at
 
 
 def _paths(batch: pa.RecordBatch, window: int, anchor: int) -> dict:
@@ -162,9 +169,12 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = WINDOW, anchor:
     spans = ws.keep(spans, "spans")
     # Rows that share a doc_id may each have ranges; those of other texts are filtered by the row key.
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row_key", "ranges")).alias("rows"))
-    joined = docs.join(by_doc, "doc_id", "left").select(
-        "doc_id", "text", F.expr("flatten(transform(filter(rows, r -> r.row_key = " + _TEXT_KEY + "), r -> r.ranges))").alias("ranges")
-    )
+    by_doc = ws.keep(by_doc, "by-doc")
+    ws.drop("paths", "anchors", "shared", "owners", "branching", "edges", "first", "spans")
+    own = F.expr("flatten(transform(filter(rows, r -> r.row_key = " + _TEXT_KEY + "), r -> r.ranges))").alias("ranges")
+    joined = docs.where("doc_id IS NOT NULL").join(by_doc, "doc_id", "left").select("doc_id", "text", own)
+    # Rows without an id take no part in the join: they would all meet in one task.
+    joined = joined.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("ranges")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return arrow_map(joined, lambda b: _kept(b, texts), schema + ", kept_text string, spans array<struct<lo:int,hi:int>>" * texts)
 
