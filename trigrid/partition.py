@@ -42,9 +42,8 @@ def adjacency(e: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def csr_arrays(e: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per grid with its row, ptr and col arrays; for grids that fit a record (the file sinks)."""
-    rows = adjacency(e, width).groupBy("gr", "gc").agg(F.array_sort(F.collect_list(F.struct("ls", "nbrs"))).alias("rows"))
-    sizes = F.transform("rows", lambda r: F.size(r["nbrs"]).cast("long"))
-    ptr = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    rows = adjacency(e, width).join(csr_rows(e, width), ["gr", "gc", "ls"]).groupBy("gr", "gc").agg(F.array_sort(F.collect_list(F.struct("ls", "nbrs", "ptr_end"))).alias("rows"))
+    ptr = F.concat(F.array(F.lit(0).cast("long")), F.transform("rows", lambda r: r["ptr_end"]))
     return rows.select("gr", "gc", F.transform("rows", lambda r: r["ls"]).alias("row"), ptr.alias("ptr"), F.flatten(F.transform("rows", lambda r: r["nbrs"])).alias("col"))
 
 

@@ -1,15 +1,14 @@
 """Exact triangle counting over normalised edges, with interchangeable strategies.
 
 A triangle is (v, u, w) with edges v->u, v->w, u->w. Roles: G2 holds v->u, G1 holds v->w, G0 closes
-with u->w. All strategies return the same count:
-
-``hash``           wedges joined to the closing edge; Spark picks the join side and the algorithm
-``oriented``       the same over edges pointed from the lower to the higher degree, which bounds the
-                   wedges by the square root of the edges at every vertex; the one for large graphs
-``intersect``      neighbour arrays of both ends of an edge, intersected
-``edge_iterator``  the same over degree-oriented edges
-``grid``           the join per triple of grids
-``sharded``        the join per triple of shards of a quadtree level
+with u->w. All strategies return the same count, and all work on edges pointed from the lower to the higher degree,
+which bounds the wedges at every vertex by the square root of the edges, whatever the hubs. The edges and the
+pointed edges are written once to the shared folder: plans that use them several times read them.
+
+``hash``, ``oriented``        wedges joined to the closing edge; Spark picks the join side and the algorithm
+``intersect``                 neighbour arrays of both ends of an edge, intersected
+``edge_iterator``             the same
+``grid``, ``sharded``         triangles counted by the grids or shards of a quadtree level that their edges lie in
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, partition
+from .storage import Workspace
 
 
 def _roles(e: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -39,15 +39,25 @@ def wedge_count(e: DataFrame) -> DataFrame:
     return e.groupBy("src").agg(F.count("*").alias("d")).agg(F.coalesce(F.sum(F.expr("d * (d - 1) div 2")), F.lit(0)).cast("long").alias("wedges"))
 
 
+def pointed(e: DataFrame) -> DataFrame:
+    """Simple edges from the lower to the higher degree, written; ``e`` is read once."""
+    ws = Workspace(e.sparkSession)
+    kept = ws.keep(graph.normalize(e), "edges")
+    out = ws.keep(graph.orient_by_degree(kept), "pointed")
+    ws.drop("edges")
+    return out
+
+
 def list_triangles(e: DataFrame) -> DataFrame:
-    """v, u, w of every triangle of normalised edges."""
-    g0, _, _ = _roles(e)
-    return wedges(e).join(g0, ["u", "w"]).select("v", "u", "w")
+    """v, u, w of every triangle of any edge list, v > u > w."""
+    t = oriented_triangles(e)
+    high, low = F.greatest("a", "b", "c"), F.least("a", "b", "c")
+    return t.select(high.alias("v"), (F.col("a") + F.col("b") + F.col("c") - high - low).alias("u"), low.alias("w"))
 
 
 def oriented_triangles(e: DataFrame) -> DataFrame:
     """Triangles (as a, b, c with a the vertex of lowest degree) of any edge list."""
-    o = graph.orient_by_degree(e)
+    o = pointed(e)
     ab = o.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     ac = o.select(F.col("src").alias("a"), F.col("dst").alias("c"))
     pairs = ab.join(ac, "a").where("b < c")
@@ -64,15 +74,11 @@ def _intersect(e: DataFrame) -> DataFrame:
 
 
 def count(e: DataFrame, strategy: str = "hash", width: int = partition.WIDTH, depth: int = 2) -> DataFrame:
-    """One row, ``triangles``, over normalised edges (``oriented`` and ``edge_iterator`` take any)."""
-    if strategy == "hash":
-        out = list_triangles(e).agg(F.count("*").alias("triangles"))
-    elif strategy == "oriented":
+    """One row, ``triangles``, of any edge list."""
+    if strategy in ("hash", "oriented"):
         out = oriented_triangles(e).agg(F.count("*").alias("triangles"))
-    elif strategy == "intersect":
-        out = _intersect(e).agg(F.sum("n").alias("triangles"))
-    elif strategy == "edge_iterator":
-        out = _intersect(graph.orient_by_degree(e)).agg(F.sum("n").alias("triangles"))
+    elif strategy in ("intersect", "edge_iterator"):
+        out = _intersect(pointed(e)).agg(F.sum("n").alias("triangles"))
     elif strategy == "grid":
         out = per_grid_triple(e, width).agg(F.sum("triangles").alias("triangles"))
     elif strategy == "sharded":
@@ -90,31 +96,29 @@ def per_grid_triple(e: DataFrame, width: int = partition.WIDTH) -> DataFrame:
 
 def per_shard_triple(e: DataFrame, depth: int, width: int = partition.WIDTH) -> DataFrame:
     """Triangles by the shards of v, u and w at one depth (v_shard, u_shard, w_shard are global shard
-    positions along an axis), joined shard by shard: the join keys carry the shard, so co-partitioned
-    data needs no other shuffle."""
+    positions along an axis)."""
     side = max(1, width >> depth)
-    s = e.withColumns({"r": F.expr(f"src div {side}"), "c": F.expr(f"dst div {side}")})
-    g0, g1, g2 = _roles(s, ["r", "c"])
-    pairs = g2.join(g1, (g2.v == g1.v) & (g2.r2 == g1.r1)).drop(g1.v).where("u > w AND c1 <= c2")
-    closed = pairs.join(g0, (pairs.u == g0.u) & (pairs.w == g0.w) & (pairs.c2 == g0.r0) & (pairs.c1 == g0.c0)).select(
-        F.col("r2").alias("v_shard"), F.col("c2").alias("u_shard"), F.col("c1").alias("w_shard")
-    )
-    return closed.groupBy("v_shard", "u_shard", "w_shard").agg(F.count("*").alias("triangles"))
+    labels = [F.expr(f"{x} div {side}").alias(f"{x}_shard") for x in ("v", "u", "w")]
+    return list_triangles(e).groupBy(*labels).agg(F.count("*").alias("triangles"))
 
 
 def per_job(e: DataFrame, shards: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     """Triangles of each surviving shard triple of a catalogue with mixed depths (g0, g1, g2 structs).
 
-    Edges are labelled with their shard by a join on the grid and every depth in use; triangles are then
-    counted by the labels of their three edges."""
+    Triangles are found over pointed edges and their three edges then labelled with the shards they lie in, by a join
+    on the grid and the depths in use (one number a level at most)."""
+    ws = Workspace(e.sparkSession)
     levels = partition._levels(width)
-    g = partition.with_grid(e, width).withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    g = g.withColumns({"sr": F.expr(f"shiftright(ls, {levels} - depth)"), "sc": F.expr(f"shiftright(ld, {levels} - depth)")})
+    shards = ws.keep(shards.select("gr", "gc", "depth", "sr", "sc"), "shards")
+    depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())
     key = ["gr", "gc", "depth", "sr", "sc"]
-    labelled = g.join(shards.select(*key), key).select("src", "dst", F.struct(*key).alias("s"))
-    g0, g1, g2 = _roles(labelled, ["s"])
-    t = g2.join(g1, "v").where("u > w").join(g0, ["u", "w"])
-    return t.groupBy(F.col("s0").alias("g0"), F.col("s1").alias("g1"), F.col("s2").alias("g2")).agg(F.count("*").alias("triangles"))
+    g = partition.with_grid(graph.normalize(e), width).withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>")))
+    g = g.withColumns({"sr": F.expr(f"shiftright(ls, {levels} - depth)"), "sc": F.expr(f"shiftright(ld, {levels} - depth)")})
+    labelled = ws.keep(g.join(shards, key).select("src", "dst", F.struct(*key).alias("s")), "labelled")
+    found = list_triangles(labelled.select("src", "dst"))
+    side = lambda k, a, b: labelled.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("s").alias(k))
+    t = found.join(side("g0", "u", "w"), ["u", "w"]).join(side("g1", "v", "w"), ["v", "w"]).join(side("g2", "v", "u"), ["v", "u"])
+    return t.groupBy("g0", "g1", "g2").agg(F.count("*").alias("triangles"))
 
 
 def transitive_triads(e: DataFrame) -> DataFrame:
