@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import partition
+from . import graph, partition
+from .storage import Workspace
 
 FILES = "name string, content binary"
 FILE_EDGES = 4_000_000
@@ -39,6 +40,22 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
+def listing(spark: SparkSession, path: str, glob: str = "*", over: int = 0, recursive: bool = True) -> DataFrame:
+    """path, name and length of the files of more than ``over`` bytes under a path; contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
+    return found.where(F.col("length") > over).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+def file_catalogue(listed: DataFrame, width: int = partition.WIDTH) -> DataFrame:
+    """The catalogue of compressed-row files from their names and lengths (name, length): shards with id
+    ranges, edges and ``n_rows``. Shards without a .row or .col file are left out."""
+    named = listed.select(F.regexp_extract("name", r"^(.*)\.(row|col)$", 1).alias("stem"), F.regexp_extract("name", r"\.(row|col)$", 1).alias("ext"), "length").where("ext <> ''")
+    size = lambda x: F.expr(f"max(CASE WHEN ext = '{x}' THEN length END) div 4")
+    shards = partition.parse_shard_name(named.groupBy("stem").agg(size("row").alias("n_rows"), size("col").alias("edges")).where("n_rows IS NOT NULL AND edges IS NOT NULL"))
+    ranges = partition.catalogue(shards, width)
+    return ranges.join(shards.select("gr", "gc", "depth", "sr", "sc", "n_rows"), ["gr", "gc", "depth", "sr", "sc"])
+
+
 def write_files(table: DataFrame, folder: str) -> int:
     """Write each row as a file into a folder that every executor mounts; the number of files. A file
     appears whole under its name, so a repeated task does no harm."""
@@ -179,6 +196,37 @@ def write_csr(e: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     return _packed(grids, {"row": "row", "ptr": "ptr", "col": "col"})
 
 
+def write_shards(e: DataFrame, shards: DataFrame, width: int = partition.WIDTH) -> DataFrame:
+    """Compressed-row files of each quadtree shard, with ids that count from the shard's start. A row
+    holds one shard, which the quadtree's limit bounds, whatever the size of the grid."""
+    side = F.expr(f"shiftright({width}, depth)")
+    leaves = partition.with_leaf(e.select("src", "dst").distinct(), shards, width)
+    pair = F.struct((F.col("ls") % side).alias("r"), (F.col("ld") % side).alias("c"))
+    whole = leaves.groupBy("gr", "gc", "depth", "sr", "sc").agg(F.collect_list(pair).alias("p"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pairs = batch.column("p")[i].values
+                r, c = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                order = np.lexsort((c, r))
+                rows, first = np.unique(r[order], return_index=True)
+                arrays = {"row": rows, "ptr": np.append(first, len(r)), "col": c[order]}
+                stem = batch.column("stem")[i].as_py()
+                content = [a.astype("<u4").tobytes() for a in arrays.values()]
+                yield pa.RecordBatch.from_pydict({"name": pa.array([f"{stem}.{x}" for x in arrays]), "content": pa.array(content, pa.binary())})
+
+    return partition.shard_name(whole).select("stem", "p").mapInArrow(run, FILES)
+
+
+def convert(e: DataFrame, limit: int, width: int = partition.WIDTH, relabel: str | None = None) -> DataFrame:
+    """Edges as read (say by :func:`read_adj6`) to the files of quadtree shards: relabelled by degree or
+    as they are, pointed to smaller ids, repeats and loops removed, cut into shards of at most ``limit`` edges."""
+    ws = Workspace(e.sparkSession)
+    kept = ws.keep(graph.relabelled(e, relabel) if relabel else graph.normalize(e), "converted")
+    return write_shards(kept, ws.keep(partition.quadtree(kept, limit, width), "shards"), width)
+
+
 def read_csr(table: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     """Edges with global ids of compressed-row files, of grids or quadtree shards. Local ids count from
     the start of the shard that the name states."""

@@ -77,6 +77,19 @@ def quadtree(e: DataFrame, limit: int, width: int = WIDTH) -> DataFrame:
     return fits.where("depth = 0").unionByName(below).select("gr", "gc", "depth", "sr", "sc", "edges")
 
 
+def with_leaf(e: DataFrame, shards: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Add to each edge the shard (depth, sr, sc) of a quadtree that it lies in, and the ids local to its grid.
+
+    The join is on the cell at the depths in use, of which there are at most as many as levels."""
+    levels = _levels(width)
+    depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())
+    at = F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>"))
+    g = with_grid(e, width).withColumn("depth", at)
+    g = g.withColumns({"sr": F.expr(f"shiftright(ls, {levels} - depth)"), "sc": F.expr(f"shiftright(ld, {levels} - depth)")})
+    key = ["gr", "gc", "depth", "sr", "sc"]
+    return g.join(shards.select(*key), key)
+
+
 def shard_name(df: DataFrame) -> DataFrame:
     """Add the file stem of a shard: ``gr-gc`` or ``gr-gc,depth,sr-sc``."""
     grid = F.concat_ws("-", "gr", "gc")
@@ -129,15 +142,39 @@ def shard_jobs(shards: DataFrame) -> DataFrame:
     return joined.select(F.col("g0.s").alias("g0"), F.col("g1.s").alias("g1"), F.col("g2.s").alias("g2"))
 
 
-def linear_slices(e: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
-    """Slices of ``size`` edges in the order of (src, dst) within each grid: gr, gc, slice, edges.
+def with_slice(e: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
+    """Add the grid and the ``slice`` of each edge: its position in the order of (src, dst) within its grid by ``size``.
 
     Positions come from counts of rows of the grid, so no task orders more than one source's edges."""
     g = with_grid(e, width)
     starts = csr_rows(e, width).select("gr", "gc", "ls", "ptr_start")
     k = F.row_number().over(Window.partitionBy("gr", "gc", "ls").orderBy("ld")) - 1
     placed = g.withColumn("k", k).join(starts, ["gr", "gc", "ls"])
-    return placed.groupBy("gr", "gc", F.floor((F.col("ptr_start") + F.col("k")) / size).cast("long").alias("slice")).agg(F.count("*").alias("edges"))
+    return placed.select("src", "dst", "gr", "gc", F.floor((F.col("ptr_start") + F.col("k")) / size).cast("long").alias("slice"))
+
+
+def linear_slices(e: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
+    """Slices of ``size`` edges in the order of (src, dst) within each grid: gr, gc, slice, edges."""
+    return with_slice(e, size, width).groupBy("gr", "gc", "slice").agg(F.count("*").alias("edges"))
+
+
+def slice_jobs(slices: DataFrame) -> DataFrame:
+    """Triples of slices of the grids of each grid job, as structs g0, g1, g2 of gr, gc, slice."""
+    s = slices.select("gr", "gc", F.struct("gr", "gc", "slice").alias("s")).distinct()
+    joined = s.alias("g1").join(s.alias("g2"), F.expr("g1.gr = g2.gr")).join(s.alias("g0"), F.expr("g0.gr = g2.gc AND g0.gc = g1.gc"))
+    return joined.where("g1.gc <= g2.gc AND g2.gc <= g1.gr").select(F.col("g0.s").alias("g0"), F.col("g1.s").alias("g1"), F.col("g2.s").alias("g2"))
+
+
+def slice_name(df: DataFrame) -> DataFrame:
+    """Add the file stem of a slice: ``gr-gc,slice``."""
+    return df.withColumn("stem", F.concat_ws(",", F.concat_ws("-", "gr", "gc"), "slice"))
+
+
+def parse_slice_name(df: DataFrame, column: str = "stem") -> DataFrame:
+    """gr, gc, slice of a file stem; names that aren't such stems are dropped."""
+    pattern = r"^(\d+)-(\d+),(\d+)$"
+    part = lambda k: F.regexp_extract(column, pattern, k).cast("long")
+    return df.where(F.col(column).rlike(pattern)).withColumns({"gr": part(1), "gc": part(2), "slice": part(3)})
 
 
 def large_shards(shards: DataFrame, share: float) -> DataFrame:

@@ -3,7 +3,7 @@ sparse products. Each takes its order and segment columns, since rows of a DataF
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +17,22 @@ def scan(df: DataFrame, value: str, order: list[str], segment: list[str]) -> Dat
     })
 
 
+def extreme_scan(df: DataFrame, value: str, order: list[str], segment: list[str]) -> DataFrame:
+    """Add running minimum and maximum within each segment, without (null at the start) and with the row itself."""
+    w = Window.partitionBy(*segment).orderBy(*order)
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({
+        "min_before": F.min(value).over(before), "max_before": F.max(value).over(before),
+        "min_upto": F.min(value).over(upto), "max_upto": F.max(value).over(upto),
+    })
+
+
+def segmented_sort(df: DataFrame, keys: list[str], segment: list[str], descending: bool = False) -> DataFrame:
+    """Add each row's ``position`` in its segment's order by the keys, from 0."""
+    order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+    return df.withColumn("position", (F.row_number().over(Window.partitionBy(*segment).orderBy(*order)) - 1).cast("long"))
+
+
 def segmented_reduce(df: DataFrame, value: str, index: str, segment: list[str]) -> DataFrame:
     """Sum, extremes and their positions for each segment (ties: the smallest position for the minimum,
     the largest for the maximum)."""
@@ -36,6 +52,15 @@ def run_lengths(df: DataFrame, value: str, order: list[str], segment: list[str],
     return rows.groupBy(*segment, "run").agg(F.min(value).alias("value"), F.count("*").alias("length"), F.sum(total).cast("long").alias("total"))
 
 
+def long_runs(df: DataFrame, value: str, order: list[str], segment: list[str]) -> DataFrame:
+    """Start (rows before it in its segment) and length of each run of two equal consecutive values or more."""
+    w = Window.partitionBy(*segment).orderBy(*order)
+    marked = df.withColumns({"__at": F.row_number().over(w) - 1, "__new": F.when(F.lag(value).over(w) == F.col(value), 0).otherwise(1)})
+    rows = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(*segment, "__run").agg(F.min("__at").cast("long").alias("start"), F.count("*").alias("length"))
+    return runs.where("length > 1").drop("__run")
+
+
 def select_flagged(df: DataFrame, condition: str) -> DataFrame:
     return df.where(condition)
 
@@ -66,6 +91,32 @@ def histogram_range(df: DataFrame, value: str, borders: list[float]) -> DataFram
     return df.select(at.cast("int").alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def _channels(df: DataFrame, bins: dict[str, Column]) -> DataFrame:
+    """Counts by channel and bin from one pass over the rows; a null bin counts nowhere."""
+    cells = F.array(*[F.struct(F.lit(name).alias("channel"), at.cast("long").alias("bin")) for name, at in bins.items()])
+    cell = df.select(F.explode(cells).alias("c")).select("c.channel", "c.bin")
+    return cell.where("bin IS NOT NULL").groupBy("channel", "bin").agg(F.count("*").alias("n"))
+
+
+def multi_histogram_even(df: DataFrame, channels: dict[str, tuple[int, float, float]]) -> DataFrame:
+    """:func:`histogram_even` of several columns at once: (bins, low, high) by column."""
+    return _channels(df, {
+        c: F.when((F.col(c) >= low) & (F.col(c) < high), F.least(F.floor((F.col(c) - low) / ((high - low) / n)), F.lit(n - 1)))
+        for c, (n, low, high) in channels.items()
+    })
+
+
+def multi_histogram_range(df: DataFrame, channels: dict[str, list[float]]) -> DataFrame:
+    """:func:`histogram_range` of several columns at once: borders by column."""
+    bins = {}
+    for c, borders in channels.items():
+        at = F.when(F.col(c) < borders[0], None)
+        for i, upper in enumerate(borders[1:]):
+            at = at.when(F.col(c) < upper, i)
+        bins[c] = at
+    return _channels(df, bins)
+
+
 def spmv(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """y = A x for A as (src, dst, x) and x as (i, v)."""
     products = matrix.join(vector, matrix["dst"] == vector["i"])

@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, jobs, partition, primitives, triangles
+from . import formats, graph, jobs, partition, primitives, triangles
 
 WIDTH = 256
 QUAD_WIDTH = 2048
 QUAD_LIMIT = 6000
 DEPTH = 2
 SLICE = 10_000
+JOB_SLICE = 1000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,6 +221,28 @@ def linear_shards(spark, sf_dir):
     return partition.linear_slices(co_parts(spark, sf_dir), SLICE, WIDTH)
 
 
+SLICED_SQL = E_SQL + f""", k AS MATERIALIZED (SELECT src, dst, src // {WIDTH} AS gr, dst // {WIDTH} AS gc,
+(row_number() OVER (PARTITION BY src // {WIDTH}, dst // {WIDTH} ORDER BY src, dst) - 1) // {JOB_SLICE} AS slice FROM e)"""
+SLICE_COLUMNS = [f"{g}.{c} AS {g}_{c}" for g in ("g0", "g1", "g2") for c in ("gr", "gc", "slice")]
+
+
+@query(f"""WITH {SLICED_SQL}, s AS (SELECT DISTINCT gr, gc, slice FROM k) SELECT {', '.join(SLICE_COLUMNS)}
+FROM s g1 JOIN s g2 ON g1.gr = g2.gr JOIN s g0 ON g0.gr = g2.gc AND g0.gc = g1.gc WHERE g1.gc <= g2.gc AND g2.gc <= g1.gr""")
+def linear_shard_jobs(spark, sf_dir):
+    return partition.slice_jobs(partition.linear_slices(co_parts(spark, sf_dir), JOB_SLICE, WIDTH)).selectExpr(*SLICE_COLUMNS)
+
+
+@query(f"""WITH {SLICED_SQL} SELECT {', '.join(SLICE_COLUMNS)}, count(*) AS triangles
+FROM k g1 JOIN k g2 ON g1.src = g2.src JOIN k g0 ON g0.src = g2.dst AND g0.dst = g1.dst GROUP BY ALL""")
+def triangles_per_linear_shards(spark, sf_dir):
+    return triangles.per_slice_triple(co_parts(spark, sf_dir), JOB_SLICE, WIDTH).selectExpr(*SLICE_COLUMNS, "triangles")
+
+
+@query(f"WITH {E_SQL}, k AS (SELECT src // {WIDTH} AS gr, dst // {WIDTH} AS gc, row_number() OVER (PARTITION BY src // {WIDTH}, dst // {WIDTH} ORDER BY src, dst) - 1 AS k FROM e) SELECT DISTINCT gr || '-' || gc || ',' || (k // {SLICE}) AS stem, gr, gc, k // {SLICE} AS slice FROM k")
+def linear_shard_names(spark, sf_dir):
+    return partition.parse_slice_name(partition.slice_name(partition.linear_slices(co_parts(spark, sf_dir), SLICE, WIDTH)).select("stem"))
+
+
 QUAD_SQL = E_SQL + f""", n AS MATERIALIZED (SELECT src // {QUAD_WIDTH} AS gr, dst // {QUAD_WIDTH} AS gc, d AS depth, (src % {QUAD_WIDTH}) // ({QUAD_WIDTH} >> d) AS sr, (dst % {QUAD_WIDTH}) // ({QUAD_WIDTH} >> d) AS sc, count(*) AS edges
 FROM e, (SELECT unnest(range(0, {QUAD_WIDTH.bit_length()}))::INTEGER AS d) GROUP BY ALL),
 q AS MATERIALIZED (SELECT n.* FROM n LEFT JOIN n p ON p.gr = n.gr AND p.gc = n.gc AND p.depth = n.depth - 1 AND p.sr = n.sr // 2 AND p.sc = n.sc // 2
@@ -242,6 +265,19 @@ def shard_names(spark, sf_dir):
     return partition.parse_shard_name(named)
 
 
+@query(f"WITH {E_SQL} SELECT src, dst FROM e")
+def shard_files_read_back(spark, sf_dir):
+    return formats.read_csr(formats.convert(co_parts(spark, sf_dir), QUAD_LIMIT, QUAD_WIDTH), QUAD_WIDTH)
+
+
+@query(f"""WITH {QUAD_SQL}, l AS (SELECT q.*, {QUAD_WIDTH} >> depth AS w FROM q), c AS (SELECT gr, gc, depth, sr, sc, edges, gr * {QUAD_WIDTH} + sr * w AS row_from, gr * {QUAD_WIDTH} + (sr + 1) * w AS row_to,
+gc * {QUAD_WIDTH} + sc * w AS col_from, gc * {QUAD_WIDTH} + (sc + 1) * w AS col_to FROM l)
+SELECT c.*, count(DISTINCT src) AS n_rows FROM c JOIN e ON src >= row_from AND src < row_to AND dst >= col_from AND dst < col_to GROUP BY ALL""")
+def shard_file_catalogue(spark, sf_dir):
+    written = formats.convert(co_parts(spark, sf_dir), QUAD_LIMIT, QUAD_WIDTH)
+    return formats.file_catalogue(written.select("name", F.length("content").cast("long").alias("length")), QUAD_WIDTH)
+
+
 @query(f"WITH {E_SQL} SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM e")
 def adjacent_diff(spark, sf_dir):
     return graph.adjacent_gaps(co_parts(spark, sf_dir))
@@ -272,6 +308,53 @@ def segmented_scan(spark, sf_dir):
     return primitives.scan(_lines(spark, sf_dir), "v", ["i", "v"], ["k"]).select("k", "i", "v", "exclusive", "inclusive")
 
 
+@query(f"""WITH {L_SQL} SELECT k, i, v, min(v) OVER p AS min_before, max(v) OVER p AS max_before, min(v) OVER u AS min_upto, max(v) OVER u AS max_upto FROM l
+WINDOW p AS (PARTITION BY k ORDER BY i, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY k ORDER BY i, v ROWS UNBOUNDED PRECEDING)""")
+def segmented_extreme_scan(spark, sf_dir):
+    return primitives.extreme_scan(_lines(spark, sf_dir), "v", ["i", "v"], ["k"]).select("k", "i", "v", "min_before", "max_before", "min_upto", "max_upto")
+
+
+@query(f"WITH {L_SQL} SELECT k, i, v, row_number() OVER (PARTITION BY k ORDER BY v, i) - 1 AS position FROM l")
+def segmented_sort(spark, sf_dir):
+    return primitives.segmented_sort(_lines(spark, sf_dir), ["v", "i"], ["k"]).select("k", "i", "v", "position")
+
+
+@query(f"WITH {L_SQL} SELECT k, i, v, row_number() OVER (PARTITION BY k ORDER BY v DESC, i DESC) - 1 AS position FROM l")
+def segmented_sort_descending(spark, sf_dir):
+    return primitives.segmented_sort(_lines(spark, sf_dir), ["v", "i"], ["k"], descending=True).select("k", "i", "v", "position")
+
+
+@query(f"""WITH {L_SQL}, m AS (SELECT *, row_number() OVER w - 1 AS pos, CASE WHEN lag(f) OVER w = f THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY k ORDER BY i, v, f)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY pos) AS run FROM m) SELECT k, min(pos) AS start, count(*) AS length FROM g GROUP BY k, run HAVING count(*) > 1""")
+def long_runs(spark, sf_dir):
+    return primitives.long_runs(_lines(spark, sf_dir), "f", ["i", "v", "f"], ["k"])
+
+
+@query(f"""WITH {L_SQL}, m AS (SELECT *, row_number() OVER w = 1 OR f IS DISTINCT FROM lag(f) OVER w AS new FROM l WINDOW w AS (PARTITION BY k ORDER BY i, v, f))
+SELECT k, i, v, f FROM m WHERE new""")
+def unique_consecutive(spark, sf_dir):
+    return primitives.unique_consecutive(_lines(spark, sf_dir), "f", ["i", "v", "f"], ["k"]).select("k", "i", "v", "f")
+
+
+@query(f"WITH {L_SQL} SELECT f = 'R' AS flagged, count(*) AS n, sum(v)::BIGINT AS total FROM l GROUP BY 1")
+def partition_flagged(spark, sf_dir):
+    yes, no = primitives.partition_flagged(_lines(spark, sf_dir), "f = 'R'")
+    side = lambda df, flag: df.agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total")).select(F.lit(flag).alias("flagged"), "n", "total")
+    return side(yes, True).union(side(no, False)).where("n > 0")
+
+
+@query("""SELECT 'l_quantity' AS channel, least(floor(l_quantity / 5.0), 9)::BIGINT AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 GROUP BY ALL
+UNION ALL SELECT 'l_linenumber', least(floor((l_linenumber - 1) / 2.0), 2)::BIGINT, count(*) FROM lineitem WHERE l_linenumber >= 1 AND l_linenumber < 7 GROUP BY ALL""")
+def multi_histogram_even(spark, sf_dir):
+    return primitives.multi_histogram_even(lineitem(spark, sf_dir), {"l_quantity": (10, 0.0, 50.0), "l_linenumber": (3, 1.0, 7.0)})
+
+
+@query("""SELECT 'l_quantity' AS channel, CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 20 THEN 1 ELSE 2 END::BIGINT AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 1 AND l_quantity < 45 GROUP BY ALL
+UNION ALL SELECT 'l_linenumber', CASE WHEN l_linenumber < 3 THEN 0 ELSE 1 END::BIGINT, count(*) FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 6 GROUP BY ALL""")
+def multi_histogram_range(spark, sf_dir):
+    return primitives.multi_histogram_range(lineitem(spark, sf_dir), {"l_quantity": [1, 10, 20, 45], "l_linenumber": [2, 3, 6]})
+
+
 @query(f"WITH {L_SQL} SELECT k, sum(v)::BIGINT AS sum, min(v) AS min, max(v) AS max, arg_min(i, (v, i)) AS argmin, arg_max(i, (v, i)) AS argmax FROM l GROUP BY k")
 def segmented_reduce(spark, sf_dir):
     return primitives.segmented_reduce(_lines(spark, sf_dir), "v", "i", ["k"])

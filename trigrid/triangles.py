@@ -105,16 +105,24 @@ def per_shard_triple(e: DataFrame, depth: int, width: int = partition.WIDTH) ->
 def per_job(e: DataFrame, shards: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     """Triangles of each surviving shard triple of a catalogue with mixed depths (g0, g1, g2 structs).
 
-    Triangles are found over pointed edges and their three edges then labelled with the shards they lie in, by a join
-    on the grid and the depths in use (one number a level at most)."""
+    Triangles are found over pointed edges and their three edges then labelled with the shards they lie in."""
     ws = Workspace(e.sparkSession)
-    levels = partition._levels(width)
-    shards = ws.keep(shards.select("gr", "gc", "depth", "sr", "sc"), "shards")
-    depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())
     key = ["gr", "gc", "depth", "sr", "sc"]
-    g = partition.with_grid(graph.normalize(e), width).withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>")))
-    g = g.withColumns({"sr": F.expr(f"shiftright(ls, {levels} - depth)"), "sc": F.expr(f"shiftright(ld, {levels} - depth)")})
-    labelled = ws.keep(g.join(shards, key).select("src", "dst", F.struct(*key).alias("s")), "labelled")
+    shards = ws.keep(shards.select(*key), "shards")
+    leaves = partition.with_leaf(graph.normalize(e), shards, width)
+    return _by_labels(ws.keep(leaves.select("src", "dst", F.struct(*key).alias("s")), "labelled"))
+
+
+def per_slice_triple(e: DataFrame, size: int, width: int = partition.WIDTH) -> DataFrame:
+    """Triangles of each triple of linear slices (g0, g1, g2 structs of gr, gc, slice)."""
+    ws = Workspace(e.sparkSession)
+    kept = ws.keep(graph.normalize(e), "edges")
+    labelled = partition.with_slice(kept, size, width).select("src", "dst", F.struct("gr", "gc", "slice").alias("s"))
+    return _by_labels(ws.keep(labelled, "labelled"))
+
+
+def _by_labels(labelled: DataFrame) -> DataFrame:
+    """Triangles by the labels s of their three edges; ``labelled`` is a written table."""
     found = list_triangles(labelled.select("src", "dst"))
     side = lambda k, a, b: labelled.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("s").alias(k))
     t = found.join(side("g0", "u", "w"), ["u", "w"]).join(side("g1", "v", "w"), ["v", "w"]).join(side("g2", "v", "u"), ["v", "u"])
