@@ -52,8 +52,7 @@ def file_catalogue(listed: DataFrame, width: int = partition.WIDTH) -> DataFrame
     named = listed.select(F.regexp_extract("name", r"^(.*)\.(row|col)$", 1).alias("stem"), F.regexp_extract("name", r"\.(row|col)$", 1).alias("ext"), "length").where("ext <> ''")
     size = lambda x: F.expr(f"max(CASE WHEN ext = '{x}' THEN length END) div 4")
     shards = partition.parse_shard_name(named.groupBy("stem").agg(size("row").alias("n_rows"), size("col").alias("edges")).where("n_rows IS NOT NULL AND edges IS NOT NULL"))
-    ranges = partition.catalogue(shards, width)
-    return ranges.join(shards.select("gr", "gc", "depth", "sr", "sc", "n_rows"), ["gr", "gc", "depth", "sr", "sc"])
+    return partition.catalogue(shards, width, ("n_rows",))
 
 
 def write_files(table: DataFrame, folder: str) -> int:

@@ -104,13 +104,13 @@ def parse_shard_name(df: DataFrame, column: str = "stem") -> DataFrame:
     return df.where(F.col(column).rlike(pattern)).withColumns({"gr": part(1), "gc": part(2), "depth": zero(3).cast("int"), "sr": zero(4), "sc": zero(5)})
 
 
-def catalogue(shards: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Half-open global id ranges of shards (gr, gc, depth, sr, sc, edges)."""
+def catalogue(shards: DataFrame, width: int = WIDTH, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Half-open global id ranges of shards (gr, gc, depth, sr, sc, edges), with the extra columns named."""
     w = F.expr(f"shiftright({width}, depth)")
     return shards.select(
         "gr", "gc", "depth", "sr", "sc", "edges",
         (F.col("gr") * width + F.col("sr") * w).cast("long").alias("row_from"), (F.col("gr") * width + (F.col("sr") + 1) * w).cast("long").alias("row_to"),
-        (F.col("gc") * width + F.col("sc") * w).cast("long").alias("col_from"), (F.col("gc") * width + (F.col("sc") + 1) * w).cast("long").alias("col_to"),
+        (F.col("gc") * width + F.col("sc") * w).cast("long").alias("col_from"), (F.col("gc") * width + (F.col("sc") + 1) * w).cast("long").alias("col_to"), *extra,
     )
 
 
