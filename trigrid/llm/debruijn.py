@@ -11,9 +11,11 @@ row of anchor, path hash, document and word range. Then, by Spark aggregations a
 3. at a branching anchor equal paths still compact: all but the first document's are repeats. Only
    the first copy of each distinct path is expanded into its edges, which are compared one by one.
 
-Source coordinates (document, word range) go along to the texts they came from. What repeats is decided by hashes: paths
-are equal by their anchor's and their own 64-bit hash, single edges by two independent 64-bit hashes; words themselves
-are not compared.
+Hashes only propose repeats. Every proposed span carries the coordinates of its source, the first document's copy
+(document, word range), and goes only if the words at both coordinates have one 128-bit digest, taken from the texts
+themselves: a collision of hashes can leave a repeat in place but never takes a word that is not one. A span is checked as
+the path or edge it was found by, so a source is read once for each of its own paths, however many copies it has. Verified
+spans of a document that touch are then cut as one.
 
 Defined results: documents are ordered by doc_id; a word goes if any 50-word window over it also
 starts in a document with a smaller doc_id. A null doc_id neither removes nor loses words; a null or
@@ -113,6 +115,22 @@ def _edges(batch: pa.RecordBatch, window: int) -> dict:
     }
 
 
+def _digests(batch: pa.RecordBatch) -> dict:
+    """A digest of the words of every span asked for, next to the span."""
+    spans = batch.column("spans")
+    of, flat = spans.value_parent_indices(), spans.flatten()
+    words = Words(batch.column("text").to_pylist())
+    of_row = of.to_numpy()
+    lo, hi = (np.minimum(words.first[of_row] + flat.field(name).to_numpy(), words.first[of_row + 1]) for name in ("lo", "hi"))
+    # Words joined by one byte, so that equal digests mean equal words whatever stands between them.
+    plain, at = words.joined()
+    starts, ends = at[lo], at[hi] - 1
+    digest = [hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    columns = {name: batch.column(name).take(of) for name in ("doc_id", "row_key")}
+    columns |= {name: flat.field(name) for name in ("lo", "hi", "source", "source_key", "source_lo")}
+    return columns | {"digest": pa.array(digest, pa.binary())}
+
+
 def _kept(batch: pa.RecordBatch, texts: bool) -> dict:
     """Counts and digest of the words outside the removed ranges."""
     n_words, n_removed, digest, kept_texts, spans = [], [], [], [], []
@@ -143,34 +161,53 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = WINDOW, anchor:
     """One row per document: word counts and digest of what is left; with ``texts`` the text left and
     the removed word ranges too."""
     docs = keyed_texts(docs)
+    found_schema = "doc_id long, row_key long, lo int, hi int, source long, source_key long, source_lo int"
     paths = arrow_map(
         docs.where("doc_id IS NOT NULL"), lambda b: _paths(b, window, anchor), "doc_id long, row_key long, anchor long, path long, lo int, hi int"
     )
     paths = ws.keep(paths, "paths")
     # Aggregates are written before they join back to what they sum up: adaptive execution splits the hot
     # anchors (a passage in a third of all documents) of a join of two scans, not those of a join with an aggregate.
-    anchors = paths.groupBy("anchor").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-    anchors = ws.keep(anchors.where("d0 <> d1").select("anchor", "d0", (F.col("p0") != F.col("p1")).alias("branches")), "anchors")
-    shared = ws.keep(paths.join(anchors, "anchor").select("doc_id", "row_key", "anchor", "path", "lo", "hi", "d0", "branches"), "shared")
-    compacted = shared.where("NOT branches AND doc_id > d0").select("doc_id", "row_key", "lo", (F.col("hi") + window).alias("hi"))
-    branching = shared.where("branches")
-    owners = ws.keep(branching.groupBy("anchor", "path").agg(F.min("doc_id").alias("owner")), "owners")
-    branching = ws.keep(branching.join(owners, ["anchor", "path"]).select("doc_id", "row_key", "lo", "hi", "owner"), "branching")
-    copies = branching.where("doc_id > owner").select("doc_id", "row_key", "lo", (F.col("hi") + window).alias("hi"))
+    first_copy = F.min(F.struct("doc_id", "row_key", "lo")).alias("first")
+    anchors = paths.groupBy("anchor").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), first_copy, F.max("doc_id").alias("last"))
+    anchors = ws.keep(anchors.where("first.doc_id <> last").select("anchor", "first", (F.col("p0") != F.col("p1")).alias("branches")), "anchors")
+    shared = ws.keep(paths.join(anchors, "anchor").select("doc_id", "row_key", "anchor", "path", "lo", "hi", "first", "branches"), "shared")
+    ws.drop("paths")
+    source = ["first.doc_id AS source", "first.row_key AS source_key", "first.lo AS source_lo"]
+    span = ["doc_id", "row_key", "lo", f"hi + {window} AS hi", *source]
+    compacted = shared.where("NOT branches AND doc_id > first.doc_id").selectExpr(*span)
+    branching = shared.where("branches").drop("first")
+    owners = ws.keep(branching.groupBy("anchor", "path").agg(first_copy), "owners")
+    branching = ws.keep(branching.join(owners, ["anchor", "path"]).select("doc_id", "row_key", "lo", "hi", "first"), "branching")
+    copies = branching.where("doc_id > first.doc_id").selectExpr(*span)
     # The first copies of branching paths, with their text: ranges of a document come together, which
     # its own length bounds.
-    wanted = branching.where("doc_id = owner").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    edges = arrow_map(docs.where("doc_id IS NOT NULL").join(wanted, "doc_id").select("doc_id", "row_key", "text", "ranges").where(f"row_key = {_TEXT_KEY}"), lambda b: _edges(b, window), "doc_id long, row_key long, e1 long, e2 long, lo int")
+    wanted = branching.where("doc_id = first.doc_id").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    known = docs.where("doc_id IS NOT NULL").withColumn("row_key", F.expr(_TEXT_KEY))
+    edges = arrow_map(known.join(wanted, ["doc_id", "row_key"]), lambda b: _edges(b, window), "doc_id long, row_key long, e1 long, e2 long, lo int")
     edges = ws.keep(edges, "edges")
-    first = edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last")
-    first = ws.keep(first.select("e1", "e2", "owner"), "first")
-    single = edges.join(first, ["e1", "e2"]).where("doc_id > owner").select("doc_id", "row_key", "lo", (F.col("lo") + window).alias("hi"))
-    spans = compacted.union(copies).union(single).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    owned = edges.groupBy("e1", "e2").agg(first_copy, F.max("doc_id").alias("last")).where("first.doc_id <> last")
+    owned = ws.keep(owned.select("e1", "e2", "first"), "owned")
+    single = edges.join(owned, ["e1", "e2"]).where("doc_id > first.doc_id").selectExpr("doc_id", "row_key", "lo", f"lo + {window} AS hi", *source)
+    found = ws.keep(compacted.union(copies).union(single), "found")
+    ws.drop("anchors", "shared", "owners", "branching", "edges", "owned")
+    # Both coordinates of every span go to the texts: a source once for each of its spans.
+    sources = found.selectExpr("source AS doc_id", "source_key AS row_key", "source_lo AS lo", "source_lo + hi - lo AS hi").distinct()
+    asked = found.unionByName(sources, allowMissingColumns=True)
+    asked = asked.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi", "source", "source_key", "source_lo")).alias("spans"))
+    digests = arrow_map(known.join(asked, ["doc_id", "row_key"]), _digests, found_schema + ", digest binary")
+    digests = ws.keep(digests, "digests")
+    first = digests.where("source IS NULL").select(
+        F.col("doc_id").alias("source"), F.col("row_key").alias("source_key"), F.col("lo").alias("source_lo"), F.expr("hi - lo AS words"), "digest"
+    )
+    same = digests.where("source IS NOT NULL").withColumn("words", F.expr("hi - lo"))
+    same = same.join(first, ["source", "source_key", "source_lo", "words", "digest"], "left_semi")
+    spans = same.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     spans = ws.keep(spans, "spans")
     # Rows that share a doc_id may each have ranges; those of other texts are filtered by the row key.
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row_key", "ranges")).alias("rows"))
     by_doc = ws.keep(by_doc, "by-doc")
-    ws.drop("paths", "anchors", "shared", "owners", "branching", "edges", "first", "spans")
+    ws.drop("found", "digests", "spans")
     own = F.expr("flatten(transform(filter(rows, r -> r.row_key = " + _TEXT_KEY + "), r -> r.ranges))").alias("ranges")
     joined = docs.where("doc_id IS NOT NULL").join(by_doc, "doc_id", "left").select("doc_id", "text", own)
     # Rows without an id take no part in the join: they would all meet in one task.

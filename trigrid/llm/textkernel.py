@@ -95,6 +95,14 @@ class Words:
             self._hashes[which] = mix64(h + (self.ends - self.starts).astype(np.uint64))
         return self._hashes[which]
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space after each, and where every word starts there (the end last)."""
+        sizes = self.ends - self.starts
+        keep = ~_SPACE[self.buffer]
+        keep[self.ends] = True
+        plain = np.where(_SPACE[self.buffer], np.uint8(32), self.buffer)[keep]
+        return plain.tobytes(), np.concatenate(([0], np.cumsum(sizes + 1)))
+
     def grams(self, n: int, which: int = 0) -> np.ndarray:
         """Hash of the n words from each word on (the last n - 1 of the slice have none); those
         that cross a text's end are for the caller to leave out."""
