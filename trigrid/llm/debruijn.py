@@ -168,27 +168,28 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = WINDOW, anchor:
     paths = ws.keep(paths, "paths")
     # Aggregates are written before they join back to what they sum up: adaptive execution splits the hot
     # anchors (a passage in a third of all documents) of a join of two scans, not those of a join with an aggregate.
-    first_copy = F.min(F.struct("doc_id", "row_key", "lo")).alias("first")
-    anchors = paths.groupBy("anchor").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), first_copy, F.max("doc_id").alias("last"))
-    anchors = ws.keep(anchors.where("first.doc_id <> last").select("anchor", "first", (F.col("p0") != F.col("p1")).alias("branches")), "anchors")
-    shared = ws.keep(paths.join(anchors, "anchor").select("doc_id", "row_key", "anchor", "path", "lo", "hi", "first", "branches"), "shared")
+    # The first document's copy: its id, and row and position as one number, which a hash aggregate can hold.
+    first_copy = [F.min("doc_id").alias("source"), F.expr("min_by(shiftleft(row_key, 31) | lo, doc_id) AS place")]
+    anchors = paths.groupBy("anchor").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), *first_copy, F.max("doc_id").alias("last"))
+    anchors = ws.keep(anchors.where("source <> last").select("anchor", "source", "place", (F.col("p0") != F.col("p1")).alias("branches")), "anchors")
+    shared = ws.keep(paths.join(anchors, "anchor").select("doc_id", "row_key", "anchor", "path", "lo", "hi", "source", "place", "branches"), "shared")
     ws.drop("paths")
-    source = ["first.doc_id AS source", "first.row_key AS source_key", "first.lo AS source_lo"]
+    source = ["source", "shiftrightunsigned(place, 31) AS source_key", f"cast(place & {(1 << 31) - 1} AS int) AS source_lo"]
     span = ["doc_id", "row_key", "lo", f"hi + {window} AS hi", *source]
-    compacted = shared.where("NOT branches AND doc_id > first.doc_id").selectExpr(*span)
-    branching = shared.where("branches").drop("first")
-    owners = ws.keep(branching.groupBy("anchor", "path").agg(first_copy), "owners")
-    branching = ws.keep(branching.join(owners, ["anchor", "path"]).select("doc_id", "row_key", "lo", "hi", "first"), "branching")
-    copies = branching.where("doc_id > first.doc_id").selectExpr(*span)
+    compacted = shared.where("NOT branches AND doc_id > source").selectExpr(*span)
+    branching = shared.where("branches").drop("source", "place")
+    owners = ws.keep(branching.groupBy("anchor", "path").agg(*first_copy), "owners")
+    branching = ws.keep(branching.join(owners, ["anchor", "path"]).select("doc_id", "row_key", "lo", "hi", "source", "place"), "branching")
+    copies = branching.where("doc_id > source").selectExpr(*span)
     # The first copies of branching paths, with their text: ranges of a document come together, which
     # its own length bounds.
-    wanted = branching.where("doc_id = first.doc_id").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    wanted = branching.where("doc_id = source").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     known = docs.where("doc_id IS NOT NULL").withColumn("row_key", F.expr(_TEXT_KEY))
     edges = arrow_map(known.join(wanted, ["doc_id", "row_key"]), lambda b: _edges(b, window), "doc_id long, row_key long, e1 long, e2 long, lo int")
     edges = ws.keep(edges, "edges")
-    owned = edges.groupBy("e1", "e2").agg(first_copy, F.max("doc_id").alias("last")).where("first.doc_id <> last")
-    owned = ws.keep(owned.select("e1", "e2", "first"), "owned")
-    single = edges.join(owned, ["e1", "e2"]).where("doc_id > first.doc_id").selectExpr("doc_id", "row_key", "lo", f"lo + {window} AS hi", *source)
+    owned = edges.groupBy("e1", "e2").agg(*first_copy, F.max("doc_id").alias("last")).where("source <> last")
+    owned = ws.keep(owned.select("e1", "e2", "source", "place"), "owned")
+    single = edges.join(owned, ["e1", "e2"]).where("doc_id > source").selectExpr("doc_id", "row_key", "lo", f"lo + {window} AS hi", *source)
     found = ws.keep(compacted.union(copies).union(single), "found")
     ws.drop("anchors", "shared", "owners", "branching", "edges", "owned")
     # Both coordinates of every span go to the texts: a source once for each of its spans.
