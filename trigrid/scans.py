@@ -15,7 +15,11 @@ from .storage import Workspace
 
 #: monotonically_increasing_id() holds the partition above this bit and the row's place in it below.
 _RUN_BIT = 33
-_BEFORE = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _before(c: Column) -> Column:
+    """An aggregate over the runs before."""
+    return c.over(Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
 
 
 def sorted_runs(df: DataFrame, order: list[str | Column], ws: Workspace, name: str) -> DataFrame:
@@ -35,7 +39,7 @@ def _with_totals(rows: DataFrame, totals: dict[str, Column], before: dict[str, C
 def indexed(df: DataFrame, order: list[str | Column], ws: Workspace, name: str, index: str = "index") -> DataFrame:
     """Add each row's position, from 0, in the order of the whole table."""
     rows = sorted_runs(df, order, ws, name)
-    out = _with_totals(rows, {"__n": F.count("*")}, {"__offset": F.coalesce(F.sum("__n").over(_BEFORE), F.lit(0))})
+    out = _with_totals(rows, {"__n": F.count("*")}, {"__offset": F.coalesce(_before(F.sum("__n")), F.lit(0))})
     return out.withColumn(index, (F.col("__offset") + F.col("__at")).cast("long")).drop("__run", "__at", "__offset")
 
 
@@ -47,8 +51,8 @@ def prefix_scan(df: DataFrame, value: str, order: list[str | Column], ws: Worksp
         rows,
         {"__n": F.count("*"), "__s": F.sum(value), "__lo": F.min(value), "__hi": F.max(value)},
         {
-            "__offset": F.coalesce(F.sum("__n").over(_BEFORE), F.lit(0)), "__sum": F.coalesce(F.sum("__s").over(_BEFORE), F.lit(0)),
-            "__min": F.min("__lo").over(_BEFORE), "__max": F.max("__hi").over(_BEFORE),
+            "__offset": F.coalesce(_before(F.sum("__n")), F.lit(0)), "__sum": F.coalesce(_before(F.sum("__s")), F.lit(0)),
+            "__min": _before(F.min("__lo")), "__max": _before(F.max("__hi")),
         },
     )
     w = Window.partitionBy("__run").orderBy("__at")
@@ -67,7 +71,7 @@ def carried(df: DataFrame, value: str, order: list[str | Column], ws: Workspace,
     """Add the last non-null value up to each row (a copy scan): the operator is associative, so runs add up by their own last."""
     rows = sorted_runs(df, order, ws, name)
     last = F.expr(f"max_by({value}, __at) FILTER (WHERE {value} IS NOT NULL)")
-    rows = _with_totals(rows, {"__last": last}, {"__carry": F.last("__last", ignorenulls=True).over(_BEFORE)})
+    rows = _with_totals(rows, {"__last": last}, {"__carry": _before(F.last("__last", ignorenulls=True))})
     w = Window.partitionBy("__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w), "__carry")).drop("__run", "__at", "__carry")
 
@@ -76,6 +80,6 @@ def neighbour(df: DataFrame, columns: list[str], order: list[str | Column], ws:
     """Add the struct ``out`` of the row before in the order of the whole table (null for the first row)."""
     rows = sorted_runs(df, order, ws, name)
     own = F.struct(*columns)
-    rows = _with_totals(rows, {"__end": F.max_by(own, "__at")}, {"__left": F.last("__end", ignorenulls=True).over(_BEFORE)})
+    rows = _with_totals(rows, {"__end": F.max_by(own, "__at")}, {"__left": _before(F.last("__end", ignorenulls=True))})
     before = F.lag(own).over(Window.partitionBy("__run").orderBy("__at"))
     return rows.withColumn(out, F.when(F.col("__at") == 0, F.col("__left")).otherwise(before)).drop("__run", "__at", "__left")
