@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, embedding, licenses, linededup, merkle, mixing, neardup, quality, secret_scan, warc
+from . import bpe, debruijn, embedding, licenses, linededup, merkle, mixing, neardup, periodic, quality, secret_scan, suffixes, warc
 from .common import Workspace, table
 
 
@@ -51,16 +51,24 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.collapse_runs(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), Workspace(spark), merkle.every_third())
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_temperature_mixing, op2_debruijn_dedup, op3_warc_archive, op4_bpe_backtracking, op5_minhash_neardup,
         op6_quality_repetition, op7_secret_lexing, op8_line_dedup, op9_pivot_vectors, op10_license_rules,
-        op12_merkle_manifest,
+        op11_periodic_runs, op12_merkle_manifest, op13_suffix_array_dedup,
     )
 }
 ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE, "op12_merkle_manifest": merkle.ORACLE}

@@ -64,6 +64,35 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
     return (total[ends] - total[starts]) * down[starts]
 
 
+def byte_codes(which: int) -> np.ndarray:
+    """The code of each byte value in one of two families of hashes."""
+    return _byte_codes(which)
+
+
+def prefix_sums(values: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the values times rising powers of a base, and the powers of its inverse: a range's difference of sums times
+    the power at its start is its hash, wherever it lies."""
+    up, down = _POWERS[which].upto(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return total, down
+
+
+def gram_codes(values: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n values from each place on (the last n - 1 places have none)."""
+    at = np.arange(max(0, len(values) - n + 1))
+    return mix64(_ranges(values, at, at + n, 0) + np.uint64(n))
+
+
+def prefix_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the values times rising powers, and the powers: of two equal ranges, the earlier one's difference
+    times the power of their distance is the later one's."""
+    up, _ = _POWERS[0].upto(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return total, up
+
+
 class Words:
     """The words of a list of texts: ``starts``/``ends`` are byte borders in ``buffer``, and
     words of text i are ``first[i]:first[i + 1]``."""
