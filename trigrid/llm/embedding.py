@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Pivots are rows of the table itself, taken from a bounded sample so that no two are alike (:func:`spread_out`). A vector is described by its twelve nearest pivots
-in order, the prefix of its pivot permutation. Inverted lists hold the vectors under every two of those
+(more where vectors are alike on the whole, see :func:`fit`) in order, the prefix of its pivot permutation. Inverted lists hold the vectors under every two of those
 whose ranks sum to at most ``RANK_SUM``: two vectors meet when they share two pivots that are near to both
 of them, the nearer the one, the farther may be the other. The number of pivots follows the square root of
 the number of vectors between bounds, so lists stay short as the table grows. Equal arrays collapse into one class first.
@@ -26,6 +26,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -39,12 +40,15 @@ from .components import components
 
 THRESHOLD = 0.9
 NEAREST, RANK_SUM = 12, 11
-#: Ranks (from 0) of the pivots that make a list key together.
-RANKS = [(i, j) for i, j in itertools.combinations(range(NEAREST), 2) if i + j <= RANK_SUM]
+#: Near pivots and rank sums that are tried in turn, and the share of pairs at the threshold that must meet (on ``PROBES`` of the sample).
+WIDENING = [(NEAREST, RANK_SUM), (16, 20), (24, 40)]
+LEAST_RECALL, PROBES = 0.95, 512
 MIN_PIVOTS, MAX_PIVOTS = 64, 4096
-#: Rows sampled for a pivot, and the cosine from which two are too alike to be both.
-CANDIDATES, MOST_ALIKE = 2, 0.8
+#: Rows sampled for a pivot, and the cosines from which two are too alike to be both: the first that leaves enough.
+CANDIDATES, ALIKE = 2, (0.8, 0.9, 0.95, 0.98, 0.99, 0.999)
 BLOCK = 512
+#: Vectors described at a time: against all pivots, so this bounds memory.
+DESCRIBED = 256
 
 
 def pivot_count(n: int) -> int:
@@ -61,10 +65,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
         return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def spread_out(sample: list[np.ndarray], n: int) -> list[np.ndarray]:
-    """Up to ``n`` of the sample, in its order, no two with a cosine of ``MOST_ALIKE`` or more. A large group of alike
-    vectors has as many rows in a sample as its share; were they all pivots, they alone would be the nearest
-    of its members, in an order that says nothing."""
+def _apart(sample: list[np.ndarray], n: int, alike: float) -> list[np.ndarray]:
+    """Up to ``n`` of the sample, in its order, no two with a cosine of ``alike`` or more."""
     chosen: list[np.ndarray] = []
     kept: dict[int, np.ndarray] = {}
     count: dict[int, int] = {}
@@ -73,7 +75,7 @@ def spread_out(sample: list[np.ndarray], n: int) -> list[np.ndarray]:
         unit = _unit(v[None, :])[0]
         rows = kept.setdefault(d, np.empty((n, d)))
         k = count.get(d, 0)
-        if not k or (rows[:k] @ unit).max() < MOST_ALIKE:
+        if not k or (rows[:k] @ unit).max() < alike:
             rows[k], count[d] = unit, k + 1
             chosen.append(v)
             if len(chosen) == n:
@@ -81,21 +83,77 @@ def spread_out(sample: list[np.ndarray], n: int) -> list[np.ndarray]:
     return chosen
 
 
-def nearest(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def spread_out(sample: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """Up to ``n`` of the sample as pivots, no two very alike. A large group of alike
+    vectors has as many rows in a sample as its share; were they all pivots, they alone would be the nearest
+    of its members, in an order that says nothing. Where the whole sample is alike (vectors with a common mean) the bound gives way
+    step by step; two rows are pivots whatever they are."""
+    chosen: list[np.ndarray] = []
+    for alike in ALIKE:
+        chosen = max(chosen, _apart(sample, n, alike), key=len)
+        if len(chosen) >= min(n, len(sample), MIN_PIVOTS):
+            break
+    return chosen if len(chosen) > 1 else sample[:2]
+
+
+@dataclasses.dataclass
+class PivotIndex:
+    """Pivots, and how many of a vector's nearest ones make list keys, by pairs whose ranks sum to ``rank_sum`` at most."""
+
+    pivots: list[np.ndarray]
+    nearest: int = NEAREST
+    rank_sum: int = RANK_SUM
+
+
+def _probes(units: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the threshold, the hardest to find: each vector and one moved from it towards another of the sample (as far as that goes),
+    and each and one moved in a random direction."""
+    rng = np.random.default_rng(len(units))
+    other, noise = units[rng.permutation(len(units))], rng.normal(size=units.shape)
+    alike = np.maximum(threshold, (other * units).sum(axis=1, keepdims=True))
+    for aim, cosine in ((other, alike), (noise, np.full_like(alike, threshold))):
+        side = np.nan_to_num(_unit(aim - (aim * units).sum(axis=1, keepdims=True) * units))
+        yield units, np.nan_to_num(_unit(cosine * units + np.sqrt(np.maximum(0, 1 - cosine * cosine)) * side))
+
+
+def fit(sample: list[np.ndarray], n: int, threshold: float = THRESHOLD) -> PivotIndex:
+    """The index with the shortest lists that meets ``LEAST_RECALL`` on pairs made from the sample: ``n`` pivots and few near ones at first,
+    then more near ones, then fewer pivots, down to two, which put all vectors in one list."""
+    sizes = [len(v) for v in sample]
+    d = max(set(sizes), key=sizes.count) if sizes else 0
+    units = np.nan_to_num(_unit(np.array([v for v in sample if len(v) == d][:PROBES]))) if d else np.zeros((0, 0))
+    while True:
+        pivots = spread_out(sample, n)
+        if len(pivots) <= 2 or not len(units):
+            return PivotIndex(pivots)
+        fitted = np.nan_to_num(_unit(np.array([np.resize(p, d) for p in pivots])))
+        for near, rank_sum in WIDENING:
+            recall = []
+            for x, y in _probes(units, threshold):
+                a, b = (list_keys(nearest(v, fitted, near), d, rank_sum) for v in (x, y))
+                recall.append(np.mean([bool(np.intersect1d(i, j).size) for i, j in zip(a, b, strict=True)]))
+            if min(recall) >= LEAST_RECALL:
+                return PivotIndex(pivots, near, rank_sum)
+        n = max(2, min(n, len(pivots)) // 4)
+
+
+def nearest(rows: np.ndarray, pivots: np.ndarray, n: int = NEAREST) -> np.ndarray:
     """The ids of each unit vector's nearest pivots, the nearest first."""
-    return np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :NEAREST].astype(np.int16)
+    return np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :n].astype(np.int16)
 
 
-def list_keys(near: np.ndarray, size: int) -> np.ndarray:
+def list_keys(near: np.ndarray, size: int, rank_sum: int = RANK_SUM) -> np.ndarray:
     """The keys of the lists that hold vectors of ``size`` components with these nearest pivots."""
     near = near.astype(np.int64)
-    two = [(i, j) for i, j in RANKS if j < near.shape[1]]
-    low = np.stack([np.minimum(near[:, i], near[:, j]) for i, j in two], axis=1)
-    high = np.stack([np.maximum(near[:, i], near[:, j]) for i, j in two], axis=1)
+    two = [(i, j) for i, j in itertools.combinations(range(near.shape[1]), 2) if i + j <= rank_sum]
+    if not two:
+        return np.zeros((len(near), 0), dtype=np.int64)
+    i, j = (np.array(x) for x in zip(*two, strict=True))
+    low, high = np.minimum(near[:, i], near[:, j]), np.maximum(near[:, i], near[:, j])
     return size * MAX_PIVOTS**2 + low * MAX_PIVOTS + high
 
 
-def _describe(batches: Iterable[pa.RecordBatch], pivots: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterable[pa.RecordBatch], index: PivotIndex) -> Iterator[pa.RecordBatch]:
     """Nearest pivots, list keys, and the unit vector in steps of ``step``, a byte each, of every vector."""
     fitted: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -105,16 +163,17 @@ def _describe(batches: Iterable[pa.RecordBatch], pivots: list[np.ndarray]) -> It
         ends = np.cumsum(sizes)
         for d in np.unique(sizes).tolist():
             if d not in fitted:
-                fitted[d] = np.nan_to_num(_unit(np.array([np.resize(p, d) for p in pivots])))
-            at = np.flatnonzero(sizes == d)
-            rows = _unit(flat[(ends[at] - d)[:, None] + np.arange(d)])
-            near = nearest(rows, fitted[d])
-            step = np.abs(rows).max(axis=1) / 127
-            rounded = np.rint(rows / step[:, None]).astype(np.int8)
-            yield pa.RecordBatch.from_pydict({
-                "node": batch.column("node").take(pa.array(at)), "near": pa.array([r.tobytes() for r in near], pa.binary()), "step": pa.array(step),
-                "rounded": pa.array([r.tobytes() for r in rounded], pa.binary()), "keys": pa.array(list(list_keys(near, d)), pa.list_(pa.int64())),
-            })
+                fitted[d] = np.nan_to_num(_unit(np.array([np.resize(p, d) for p in index.pivots])))
+            every = np.flatnonzero(sizes == d)
+            for at in np.split(every, range(DESCRIBED, len(every), DESCRIBED)):
+                rows = _unit(flat[(ends[at] - d)[:, None] + np.arange(d)])
+                near = nearest(rows, fitted[d], index.nearest)
+                step = np.abs(rows).max(axis=1) / 127
+                rounded = np.rint(rows / step[:, None]).astype(np.int8)
+                yield pa.RecordBatch.from_pydict({
+                    "node": batch.column("node").take(pa.array(at)), "near": pa.array([r.tobytes() for r in near], pa.binary()), "step": pa.array(step),
+                    "rounded": pa.array([r.tobytes() for r in rounded], pa.binary()), "keys": pa.array(list(list_keys(near, d, index.rank_sum)), pa.list_(pa.int64())),
+                })
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, np.ndarray, np.ndarray]]:
@@ -134,14 +193,14 @@ def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1)
 
 
-def _owned(linked: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray, size: int, key: int) -> Iterator[tuple[int, np.ndarray]]:
+def _owned(linked: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray, size: int, key: int, rank_sum: int) -> Iterator[tuple[int, np.ndarray]]:
     """Of linked pairs (left by right) those without a common key below this one, by row."""
     if left is right:
         linked = np.triu(linked, 1)
     rows = np.flatnonzero(linked.any(axis=1))
     if not len(rows):
         return
-    keys = list_keys(near, size)
+    keys = list_keys(near, size, rank_sum)
     bits = lower_keys(np.repeat(np.arange(len(keys)), keys.shape[1]), keys.ravel(), len(keys), key)
     for x in rows.tolist():
         i, js = int(left[x]), right[linked[x]]
@@ -150,7 +209,7 @@ def _owned(linked: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.nda
             yield i, js
 
 
-def _flag(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _flag(batches: Iterable[pa.RecordBatch], threshold: float, rank_sum: int) -> Iterator[pa.RecordBatch]:
     """Members of block pairs with a likely partner that no other list has."""
     for table, key, d, left, right in _blocks(batches):
         step, near = table.column("step").to_numpy(), _matrix(table.column("near"), np.int16)
@@ -160,13 +219,13 @@ def _flag(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
         slack = np.sqrt(d) / 2 * (a + b) + d / 4 * a * b + 1e-5
         likely = (rounded[left] @ rounded[right].T).astype(np.float64) * a * b >= threshold - slack
         wanted = np.zeros(table.num_rows, dtype=bool)
-        for i, js in _owned(likely, left, right, near, d, key):
+        for i, js in _owned(likely, left, right, near, d, key, rank_sum):
             wanted[i] = True
             wanted[js] = True
         yield from table.select(["key", "node", "block", "bi", "bj"]).filter(pa.array(wanted)).to_batches()
 
 
-def _compare(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterable[pa.RecordBatch], threshold: float, rank_sum: int) -> Iterator[pa.RecordBatch]:
     """For each block pair: (node, null, links) counts and (node, node, null) spanning links."""
     for table, key, d, left, right in _blocks(batches):
         node, size = (table.column(c).to_numpy() for c in ("node", "n"))
@@ -174,7 +233,7 @@ def _compare(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa
         near = _matrix(table.column("near"), np.int16)
         u, v, counts = [], [], np.zeros(len(node), dtype=np.int64)
         comp = np.arange(len(node))
-        for i, js in _owned(rows[left] @ rows[right].T >= threshold, left, right, near, d, key):
+        for i, js in _owned(rows[left] @ rows[right].T >= threshold, left, right, near, d, key, rank_sum):
             counts[i] += size[js].sum()
             counts[js] += size[i]
             for j in js[comp[js] != comp[i]].tolist():
@@ -209,7 +268,8 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD
     # A bounded sample, of at most CANDIDATES * MAX_PIVOTS vectors.
     n = pivot_count(total)
     sample = reps.orderBy(F.xxhash64("node"), "node").select("vec").limit(CANDIDATES * n).toArrow()
-    fitted = spark.sparkContext.broadcast(spread_out([np.asarray(v.values, dtype=np.float64) for v in sample.column("vec")], n))
+    index = fit([np.asarray(v.values, dtype=np.float64) for v in sample.column("vec")], n, threshold)
+    fitted, rank_sum = spark.sparkContext.broadcast(index), index.rank_sum
     if not total:
         found, links = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "node long, more long")
     else:
@@ -223,7 +283,7 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD
         cells = cells.select("key", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
         order = ["key", "bi", "bj"]
         dealt = cells.join(described.select("node", "near", "step", "rounded"), "node").repartition(parts, *order).sortWithinPartitions(*order)
-        flagged = dealt.mapInArrow(lambda it: _flag(it, threshold), "key long, node long, block int, bi int, bj int")
+        flagged = dealt.mapInArrow(lambda it: _flag(it, threshold, rank_sum), "key long, node long, block int, bi int, bj int")
         flagged = ws.keep(flagged, "flagged")
         facts = reps.join(described.select("node", "near"), "node")
         # Vectors stored as floats travel as floats: nothing is lost, and half is moved.
@@ -231,7 +291,7 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD
         vec = F.col("vec").cast("array<float>") if single else F.col("vec")
         dealt = flagged.join(facts, "node").select("key", "node", "block", "bi", "bj", "n", "near", vec.alias("vec"))
         dealt = dealt.repartition(parts, *order).sortWithinPartitions(*order)
-        out = ws.keep(dealt.mapInArrow(lambda it: _compare(it, threshold), "u long, v long, links long"), "links")
+        out = ws.keep(dealt.mapInArrow(lambda it: _compare(it, threshold, rank_sum), "u long, v long, links long"), "links")
         links = out.where("links IS NOT NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("more"))
         found = ws.keep(components(out.where("v IS NOT NULL").select("u", "v"), ws, "vectors"), "found")
         ws.drop("classes", "reps", "described", "lists", "flagged")

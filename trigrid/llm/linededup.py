@@ -1,8 +1,10 @@
 """Site-relative line dedup, in DataFrame functions only.
 
 Pages are grouped by host; a line's boilerplate ratio is the number of the host's pages that contain
-it over the host's page total. Lines above the limit are dropped wherever they stand on that host, on hosts of
-every size; a line on one page alone repeats nothing and stays. A host can have no more such lines than
+it over the host's page total. Copies of a page are one page for both numbers: a text does not become boilerplate by standing
+on its host twice, so an exact copy keeps its lines until a later step decides which copy stays. Lines above the limit are
+dropped wherever they stand on that host, on hosts of every size; a line on one page alone repeats nothing and stays. On hosts of
+fewer pages than one over the limit any line that two different pages share is above it and goes. A host can have no more such lines than
 lines per page over the limit, so they fit into one array of hashes per host. That table is written, and joins back to the pages: by a broadcast where Spark finds it small, else
 by a join whose hot hosts adaptive execution splits.
 
@@ -10,9 +12,9 @@ The host is a column (``source`` for the documents) or any other expression, suc
 
 Defined results: lines are split at line feeds and compared by 64-bit hashes within a host (of
 a billion different lines two may be taken for one); lines of white space only always
-stay; a null text stays null and counts as a page without lines; a null host is a host of its own; a page
+stay; a null text stays null and is a page without lines; a null host is a host of its own; a page
 whose lines are all dropped keeps its row with an empty text; texts of any length are read whole; repeated rows
-count as pages each; a ratio equal to the limit stays; an empty table gives an empty result; other columns, of any
+are one page, as copies are (null texts of a host too); a ratio equal to the limit stays; an empty table gives an empty result; other columns, of any
 name, pass through untouched.
 """
 
@@ -40,7 +42,9 @@ def _lines(text: str) -> Column:
 def boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
     """(host, drop): for each host that has any, the hashes of its boilerplate lines."""
     kept = F.filter(_lines(text), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
-    seen = pages.select(_host(host), F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x))).alias("lines"))
+    lines = F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x))).alias("lines")
+    seen = pages.select(_host(host), F.xxhash64(text).alias("page"), F.length(text).alias("size"), lines)
+    seen = seen.groupBy("host", "page", "size").agg(F.any_value("lines").alias("lines"))
     totals = seen.groupBy("host").agg(F.count("*").alias("pages"))
     counts = seen.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
     over = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages"))
@@ -95,13 +99,14 @@ def line_report(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS r FROM documents),
-l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d WHERE text IS NOT NULL),
-pages AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+p AS (SELECT r, min(r) OVER (PARTITION BY source, text) AS page FROM d),
+l AS (SELECT r, page, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d JOIN p USING (r) WHERE text IS NOT NULL),
+pages AS (SELECT source, count(DISTINCT page) AS pages FROM d JOIN p USING (r) GROUP BY source),
 over AS (
   SELECT l.source, l.line FROM l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
   WHERE trim(translate(l.line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> ''
   GROUP BY l.source, l.line, p.pages
-  HAVING count(DISTINCT l.r) > 1 AND count(DISTINCT l.r) > {MAX_RATIO} * p.pages),
+  HAVING count(DISTINCT l.page) > 1 AND count(DISTINCT l.page) > {MAX_RATIO} * p.pages),
 marked AS (SELECT l.*, o.line IS NOT NULL AS gone FROM l LEFT JOIN over o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line),
 kept AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text

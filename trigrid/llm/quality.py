@@ -4,7 +4,8 @@ For each document, rolling hashes of 5- to 10-word n-grams (numpy, one pass per
 n-gram seen before in the same document; the measure is the share of word characters inside those
 repeats, next to the shares of repeated lines and of their characters. The most frequent 2- to
 4-gram's share completes the set. Thresholds are those published for the MassiveText filters, for texts of
-every length. A frame is no repetition: where the last line with a word equals the first one (a running
+every length, with two exceptions of our own. A top n-gram is one found ``min_top_count`` times: the published limits are for long
+texts, where twice is nothing, while in 20 words any pair of long words that comes again is above them. A frame is no repetition: where the last line with a word equals the first one (a running
 header as footer), the verdict and the shares leave that one last line out, whatever the length.
 
 Defined results: a null or empty text has no words and fails the base rule; texts are read whole,
@@ -38,6 +39,7 @@ class QualityRules:
     max_repeat_pct: int = 30
     dup_gram_limits: tuple[tuple[int, float], ...] = ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
     top_gram_limits: tuple[tuple[int, float], ...] = ((2, 0.20), (3, 0.18), (4, 0.16))
+    min_top_count: int = 3
     max_dup_line_share: float = 0.30
     max_dup_line_char_share: float = 0.20
     max_symbols_per_word: float = 0.10
@@ -150,7 +152,7 @@ def measure(texts: list[str | None], rules: QualityRules = QualityRules()) -> di
                 keys = grams[size][a : min(b - size + 1, a + judged)] if n > size else ()
                 if len(keys) > 1:
                     count, key = _longest_run(keys)
-                    if count > 2:
+                    if count >= rules.min_top_count:
                         at = int(np.flatnonzero(keys == key)[0])
                         share = count * float(own[at : at + size].sum()) / total
                         top = max(top, share)
