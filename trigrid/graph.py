@@ -118,11 +118,11 @@ def relabelled(e: DataFrame, kind: str, max_vid: int | None = None) -> DataFrame
     return normalize(relabel(drop_loops(e), relabel_table(complete_degrees(e, max_vid), kind)))
 
 
-def orient_by_degree(e: DataFrame) -> DataFrame:
+def orient_by_degree(e: DataFrame, simple: bool = False) -> DataFrame:
     """Simple edges from the lower to the higher degree, ties by the global id. Out-degrees are then at
-    most the square root of twice the number of edges, whatever the hubs."""
+    most the square root of twice the number of edges, whatever the hubs. ``simple``: ``e`` is normalised already."""
     deg = degrees(e)
-    pairs = normalize(e)
+    pairs = e if simple else normalize(e)
     pairs = pairs.join(deg.select(F.col("vid").alias("src"), F.col("degree").alias("ds")), "src")
     pairs = pairs.join(deg.select(F.col("vid").alias("dst"), F.col("degree").alias("dd")), "dst")
     first = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))

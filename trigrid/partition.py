@@ -7,9 +7,14 @@ its edges lie in.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import scans
+from .storage import Workspace
 
 #: Default grid width.
 WIDTH = 1 << 24
@@ -28,11 +33,17 @@ def grid_extent(e: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def csr_rows(e: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The row index of each grid: each non-empty local source with its slice of the column array."""
-    rows = with_grid(e, width).groupBy("gr", "gc", "ls").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("gr", "gc").orderBy("ls")
-    end = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("gr", "gc", "ls", (end - F.col("n")).cast("long").alias("ptr_start"), end.cast("long").alias("ptr_end"))
+    """The row index of each grid: each non-empty local source with its slice of the column array.
+
+    Offsets come from one prefix scan over the rows of all grids, less the scan's value where the grid starts: no task
+    orders the rows of a grid."""
+    ws = Workspace(e.sparkSession)
+    rows = ws.keep(with_grid(e, width).groupBy("gr", "gc", "ls").agg(F.count("*").alias("n")), "rows")
+    scanned = ws.keep(scans.prefix_scan(rows, "n", ["gr", "gc", "ls"], ws, "runs").select("gr", "gc", "ls", "exclusive", "inclusive"), "scanned")
+    ws.drop("rows", "runs")
+    starts = scanned.groupBy("gr", "gc").agg(F.min("exclusive").alias("start"))
+    offset = lambda c: (F.col(c) - F.col("start")).cast("long")
+    return scanned.join(starts, ["gr", "gc"]).select("gr", "gc", "ls", offset("exclusive").alias("ptr_start"), offset("inclusive").alias("ptr_end"))
 
 
 def adjacency(e: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -53,41 +64,77 @@ def with_shard(e: DataFrame, depth: int, width: int = WIDTH) -> DataFrame:
     return with_grid(e, width).withColumns({"depth": F.lit(depth), "sr": F.expr(f"ls div {w}"), "sc": F.expr(f"ld div {w}")})
 
 
-def _levels(width: int) -> int:
+def levels_of(width: int) -> int:
+    """Halvings from a grid to one id."""
     if width & (width - 1):
         raise ValueError("quadtree grids need a width that is a power of two")
     return width.bit_length() - 1
 
 
+#: Halvings that a cell above the limit is counted by at a time.
+DEEPER = 4
+
+
 def quadtree(e: DataFrame, limit: int, width: int = WIDTH) -> DataFrame:
-    """Shards of at most ``limit`` edges (or one id wide): gr, gc, depth, sr, sc, edges.
-
-    Counts at the finest needed depth are rolled up, so the edges are read once; a shard is final when
-    it fits and its parent didn't."""
-    levels = _levels(width)
-    wide = with_grid(e, width).select("gr", "gc", "ls", "ld", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth"))
-    counted = (
-        wide.select("gr", "gc", "depth", F.expr(f"shiftright(ls, {levels} - depth)").alias("sr"), F.expr(f"shiftright(ld, {levels} - depth)").alias("sc"))
-        .groupBy("gr", "gc", "depth", "sr", "sc")
-        .agg(F.count("*").alias("edges"))
-    )
-    parents = counted.where(F.col("edges") > limit).select("gr", "gc", (F.col("depth") + 1).alias("depth"), F.col("sr").alias("pr"), F.col("sc").alias("pc"))
-    fits = counted.where((F.col("edges") <= limit) | (F.col("depth") == levels)).withColumns({"pr": F.shiftright("sr", 1), "pc": F.shiftright("sc", 1)})
-    below = fits.join(parents, ["gr", "gc", "depth", "pr", "pc"], "left_semi")
-    return fits.where("depth = 0").unionByName(below).select("gr", "gc", "depth", "sr", "sc", "edges")
-
-
-def with_leaf(e: DataFrame, shards: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Add to each edge the shard (depth, sr, sc) of a quadtree that it lies in, and the ids local to its grid.
-
-    The join is on the cell at the depths in use, of which there are at most as many as levels."""
-    levels = _levels(width)
+    """Shards of at most ``limit`` edges (or one id wide): gr, gc, depth, sr, sc, edges; final where a shard fits and its
+    parent doesn't."""
+    return split(e, limit, levels_of(width), width)
+
+
+def _fits(limit: int, levels: int, least: int) -> Column:
+    return ((F.col("edges") <= limit) & (F.col("depth") >= least)) | (F.col("depth") == levels)
+
+
+def split(e: DataFrame, limit: int, levels: int, width: int = WIDTH, least: int = 0) -> DataFrame:
+    """:func:`quadtree` over ``levels`` halvings of ids local to a grid (2 ** levels at least ``width``), with shards at ``least`` deep.
+
+    Edges are counted once, in cells of a depth at which most fit; the counts of cells, not edges, are rolled up to all
+    coarser depths. Only edges in cells still above the limit are counted again, ``DEEPER`` halvings further down."""
+    ws = Workspace(e.sparkSession)
+    kept = ws.keep(e.select("src", "dst"), "edges")
+    size = kept.agg(F.count("*").alias("m"), F.max(F.expr(f"greatest(src, dst) div {width}")).alias("top")).first()
+    base = min(levels, max(least, 2 + math.ceil(math.log(max(1, size["m"] / (max(1, limit) * (1 + (size["top"] or 0)))), 4))))
+    low, grids, leaves = 0, with_grid(kept, width).select("gr", "gc", "ls", "ld"), []
+    key = ["gr", "gc", "sr", "sc"]
+    while True:
+        shift = levels - base
+        at = grids.withColumns({"sr": F.shiftright("ls", shift), "sc": F.shiftright("ld", shift)})
+        cells = ws.keep(at.groupBy(*key).agg(F.count("*").alias("edges")), f"cells-{base}")
+        up = cells.select("*", F.explode(F.sequence(F.lit(low), F.lit(base))).alias("depth"))
+        up = up.select("gr", "gc", "depth", F.expr(f"shiftright(sr, {base} - depth)").alias("sr"), F.expr(f"shiftright(sc, {base} - depth)").alias("sc"), "edges")
+        counted = up.groupBy("gr", "gc", "depth", "sr", "sc").agg(F.sum("edges").alias("edges"))
+        counted = ws.keep(counted.withColumn("fits", _fits(limit, levels, least)), f"counts-{base}")
+        heavy = counted.where("NOT fits")
+        parents = heavy.select("gr", "gc", (F.col("depth") + 1).alias("depth"), F.col("sr").alias("pr"), F.col("sc").alias("pc"))
+        fits = counted.where("fits").withColumns({"pr": F.shiftright("sr", 1), "pc": F.shiftright("sc", 1)})
+        # At the first depth of a pass every cell's parent was above the limit, or it is a grid.
+        leaves.append(fits.where(F.col("depth") == low).drop("pr", "pc"))
+        leaves.append(fits.where(F.col("depth") > low).join(parents, ["gr", "gc", "depth", "pr", "pc"], "left_semi"))
+        heavy = heavy.where(F.col("depth") == base).select(*key)
+        if base == levels or heavy.isEmpty():
+            break
+        grids = at.join(heavy, key, "left_semi").select("gr", "gc", "ls", "ld")
+        low, base = base + 1, min(levels, base + DEEPER)
+    out = reduce(DataFrame.unionByName, [x.select("gr", "gc", "depth", "sr", "sc", "edges") for x in leaves])
+    out = ws.keep(out, "shards")
+    ws.drop("edges", *[f"{name}-{d}" for name in ("cells", "counts") for d in range(levels + 1)])
+    return out
+
+
+def with_leaf(e: DataFrame, shards: DataFrame, width: int = WIDTH, levels: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Add to each edge the shard (depth, sr, sc, and the extra columns named) of a quadtree that it lies in, and the ids local to its grid.
+
+    Cells of the finest depth in use are looked up among the shards at the depths in use; each edge then joins its cell."""
+    levels = levels_of(width) if levels is None else levels
     depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())
+    shift = levels - (depths[-1] if depths else 0)
+    g = with_grid(e, width).withColumns({"cr": F.shiftright("ls", shift), "cc": F.shiftright("ld", shift)})
+    cells = g.select("gr", "gc", "cr", "cc").distinct()
     at = F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>"))
-    g = with_grid(e, width).withColumn("depth", at)
-    g = g.withColumns({"sr": F.expr(f"shiftright(ls, {levels} - depth)"), "sc": F.expr(f"shiftright(ld, {levels} - depth)")})
-    key = ["gr", "gc", "depth", "sr", "sc"]
-    return g.join(shards.select(*key), key)
+    finest = depths[-1] if depths else 0
+    cells = cells.withColumn("depth", at).withColumns({"sr": F.expr(f"shiftright(cr, {finest} - depth)"), "sc": F.expr(f"shiftright(cc, {finest} - depth)")})
+    found = cells.join(shards.select("gr", "gc", "depth", "sr", "sc", *extra), ["gr", "gc", "depth", "sr", "sc"])
+    return g.join(found, ["gr", "gc", "cr", "cc"]).drop("cr", "cc")
 
 
 def shard_name(df: DataFrame) -> DataFrame:
@@ -136,21 +183,60 @@ OVERLAP = (
 
 
 def shard_jobs(shards: DataFrame) -> DataFrame:
-    """Triples of shards (a catalogue) that can hold a triangle, by their stems' parts."""
-    c = shards.select("gr", "gc", F.struct("gr", "gc", "depth", "sr", "sc").alias("s"), "row_from", "row_to", "col_from", "col_to")
-    joined = c.alias("g1").join(c.alias("g2"), F.expr("g1.gr = g2.gr")).join(c.alias("g0"), F.expr("g0.gr = g2.gc AND g0.gc = g1.gc")).where(OVERLAP)
-    return joined.select(F.col("g0.s").alias("g0"), F.col("g1.s").alias("g1"), F.col("g2.s").alias("g2"))
+    """Triples of shards (gr, gc, depth, sr, sc) that can hold a triangle, by their stems' parts."""
+    return overlapping(shards.select("gr", "gc", "depth", "sr", "sc", F.struct("gr", "gc", "depth", "sr", "sc").alias("s")))
+
+
+def _span(grid: str, part: str) -> Column:
+    """An axis range of a shard as one number: its position among the ranges of its depth, and the depth."""
+    return F.expr(f"shiftleft(shiftleft({grid}, depth) + {part}, 6) | depth")
+
+
+def _spans_over(span: str, itself: bool) -> Column:
+    """The ranges that hold this one, from the grid down, with or without itself."""
+    depths = f"sequence(0, cast({span} & 63 AS int))"
+    found = f"transform({depths}, d -> shiftleft(shiftright(shiftright({span}, 6), cast({span} & 63 AS int) - d), 6) | d)"
+    return F.explode(F.expr(found if itself else f"slice({found}, 1, cast({span} & 63 AS int))"))
+
+
+def overlapping(shards: DataFrame) -> DataFrame:
+    """Triples (g0, g1, g2: the column ``s``) of shards whose ranges overlap on all three shared axes: rows of G1 and G2, columns of
+    G1 and G0, rows of G0 and columns of G2.
+
+    Of two ranges from halving that overlap one holds the other. So they meet by equality: one of them is the other or one of the
+    ranges over it. Each pair and triple is made once, and nothing is joined that doesn't overlap."""
+    ws = Workspace(shards.sparkSession)
+    c = ws.keep(shards.select("s", _span("gr", "sr").alias("r"), _span("gc", "sc").alias("c")), "spans")
+    g1 = c.select(F.col("s").alias("g1"), F.col("r").alias("v"), F.col("c").alias("w"))
+    g2 = c.select(F.col("s").alias("g2"), F.col("r").alias("v"), F.col("c").alias("u"))
+    g0 = c.select(F.col("s").alias("g0"), F.col("r").alias("u"), F.col("c").alias("w"))
+    pairs = g1.join(g2.withColumn("v", _spans_over("v", True)), "v").unionByName(g1.withColumn("v", _spans_over("v", False)).join(g2, "v"))
+    pairs = ws.keep(pairs.select("g1", "g2", "u", "w"), "pairs")
+    triples = []
+    for wide_u in (True, False):
+        for wide_w in (True, False):
+            # The wider range of an axis stands as it is; the other side brings the ranges over its own.
+            p, q = pairs, g0
+            p = p.withColumn("u", _spans_over("u", True)) if wide_u else p
+            p = p.withColumn("w", _spans_over("w", True)) if wide_w else p
+            q = q if wide_u else q.withColumn("u", _spans_over("u", False))
+            q = q if wide_w else q.withColumn("w", _spans_over("w", False))
+            triples.append(p.join(q, ["u", "w"]).select("g0", "g1", "g2"))
+    out = ws.keep(reduce(DataFrame.unionByName, triples), "triples")
+    ws.drop("spans", "pairs")
+    return out
 
 
 def with_slice(e: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
     """Add the grid and the ``slice`` of each edge: its position in the order of (src, dst) within its grid by ``size``.
 
-    Positions come from counts of rows of the grid, so no task orders more than one source's edges."""
-    g = with_grid(e, width)
-    starts = csr_rows(e, width).select("gr", "gc", "ls", "ptr_start")
-    k = F.row_number().over(Window.partitionBy("gr", "gc", "ls").orderBy("ld")) - 1
-    placed = g.withColumn("k", k).join(starts, ["gr", "gc", "ls"])
-    return placed.select("src", "dst", "gr", "gc", F.floor((F.col("ptr_start") + F.col("k")) / size).cast("long").alias("slice"))
+    Positions are those in the order of the whole table less that of the grid's first edge."""
+    ws = Workspace(e.sparkSession)
+    g = ws.keep(with_grid(e, width).select("src", "dst", "gr", "gc"), "edges")
+    placed = ws.keep(scans.indexed(g, ["gr", "gc", "src", "dst"], ws, "runs"), "placed")
+    ws.drop("edges", "runs")
+    starts = placed.groupBy("gr", "gc").agg(F.min("index").alias("start"))
+    return placed.join(starts, ["gr", "gc"]).select("src", "dst", "gr", "gc", F.expr(f"(index - start) div {size}").alias("slice"))
 
 
 def linear_slices(e: DataFrame, size: int, width: int = WIDTH) -> DataFrame:

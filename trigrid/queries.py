@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formats, graph, jobs, partition, primitives, triangles
+from . import formats, graph, jobs, partition, primitives, scans, triangles
+from .storage import Workspace
 
 WIDTH = 256
 QUAD_WIDTH = 2048
@@ -67,6 +68,7 @@ _add_strategy("hash")
 _add_strategy("oriented")
 _add_strategy("intersect")
 _add_strategy("edge_iterator")
+_add_strategy("bitmap")
 _add_strategy("grid", width=WIDTH)
 _add_strategy("sharded", width=QUAD_WIDTH, depth=DEPTH)
 
@@ -367,6 +369,56 @@ def run_length_encode(spark, sf_dir):
     return primitives.run_lengths(_lines(spark, sf_dir), "f", ["i", "v", "f"], ["k"], "v")
 
 
+# The whole table as one array.
+@query(f"""WITH {L_SQL} SELECT k, i, v, coalesce(sum(v) OVER (ORDER BY k, i, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS exclusive,
+(sum(v) OVER (ORDER BY k, i, v ROWS UNBOUNDED PRECEDING))::BIGINT AS inclusive FROM l""")
+def prefix_scan(spark, sf_dir):
+    return primitives.scan(_lines(spark, sf_dir), "v", ["k", "i", "v"], []).select("k", "i", "v", "exclusive", "inclusive")
+
+
+@query(f"""WITH {L_SQL} SELECT k, i, v, min(v) OVER p AS min_before, max(v) OVER p AS max_before, min(v) OVER u AS min_upto, max(v) OVER u AS max_upto FROM l
+WINDOW p AS (ORDER BY k, i, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (ORDER BY k, i, v ROWS UNBOUNDED PRECEDING)""")
+def extreme_scan(spark, sf_dir):
+    return primitives.extreme_scan(_lines(spark, sf_dir), "v", ["k", "i", "v"], []).select("k", "i", "v", "min_before", "max_before", "min_upto", "max_upto")
+
+
+@query(f"""WITH {L_SQL} SELECT f, k, i, v, coalesce(sum(v) OVER (PARTITION BY f ORDER BY k, i, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS exclusive,
+min(v) OVER (PARTITION BY f ORDER BY k, i, v ROWS UNBOUNDED PRECEDING) AS min_upto FROM l""")
+def large_segment_scan(spark, sf_dir):
+    out = scans.prefix_scan(_lines(spark, sf_dir), "v", ["k", "i", "v"], Workspace(spark), "runs", segment=["f"])
+    return out.select("f", "k", "i", "v", F.col("exclusive").cast("long").alias("exclusive"), "min_upto")
+
+
+@query(f"""WITH {L_SQL} SELECT k, i, v, last_value(CASE WHEN f = 'R' THEN v END IGNORE NULLS) OVER (ORDER BY k, i, v, f ROWS UNBOUNDED PRECEDING) AS last_returned FROM l""")
+def copy_scan(spark, sf_dir):
+    marked = _lines(spark, sf_dir).withColumn("r", F.when(F.col("f") == "R", F.col("v")))
+    return scans.carried(marked, "r", ["k", "i", "v", "f"], Workspace(spark), "runs", "last_returned").select("k", "i", "v", "last_returned")
+
+
+@query(f"WITH {L_SQL} SELECT k, i, v, f, row_number() OVER (ORDER BY v DESC, k DESC, i DESC) - 1 AS position FROM l")
+def device_sort_descending(spark, sf_dir):
+    return primitives.segmented_sort(_lines(spark, sf_dir), ["v", "k", "i"], [], descending=True).select("k", "i", "v", "f", "position")
+
+
+@query(f"""WITH {L_SQL}, m AS (SELECT *, CASE WHEN lag(f) OVER w = f THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (ORDER BY k, i, v, f)),
+g AS (SELECT *, sum(new) OVER (ORDER BY k, i, v, f ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT run::BIGINT AS run, min(f) AS value, count(*) AS length, sum(v)::BIGINT AS total FROM g GROUP BY run""")
+def run_length_encode_whole(spark, sf_dir):
+    return primitives.run_lengths(_lines(spark, sf_dir), "f", ["k", "i", "v", "f"], [], "v")
+
+
+@query(f"""WITH {L_SQL}, m AS (SELECT *, row_number() OVER w - 1 AS pos, CASE WHEN lag(f) OVER w = f THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (ORDER BY k, i, v, f)),
+g AS (SELECT *, sum(new) OVER (ORDER BY pos) AS run FROM m) SELECT min(pos) AS start, count(*) AS length FROM g GROUP BY run HAVING count(*) > 1""")
+def long_runs_whole(spark, sf_dir):
+    return primitives.long_runs(_lines(spark, sf_dir), "f", ["k", "i", "v", "f"], [])
+
+
+@query(f"""WITH {L_SQL}, m AS (SELECT *, row_number() OVER w = 1 OR f IS DISTINCT FROM lag(f) OVER w AS new FROM l WINDOW w AS (ORDER BY k, i, v, f))
+SELECT k, i, v, f FROM m WHERE new""")
+def unique_consecutive_whole(spark, sf_dir):
+    return primitives.unique_consecutive(_lines(spark, sf_dir), "f", ["k", "i", "v", "f"], []).select("k", "i", "v", "f")
+
+
 @query("SELECT least(greatest(floor((l_quantity - 0) / 5.0)::BIGINT, 0), 9) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 GROUP BY 1")
 def histogram_even(spark, sf_dir):
     return primitives.histogram_even(lineitem(spark, sf_dir), "l_quantity", 10, 0.0, 50.0)

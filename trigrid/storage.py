@@ -14,7 +14,7 @@ class Workspace:
     ``keep`` writes a DataFrame as Parquet there and reads it back: a plan that uses it several times reads
     it, and a lost executor costs a re-read, not a recomputation. Where the setting is absent a session on one machine
     (tests) gets a folder of that machine, recorded in the session; on a cluster that is an error, as
-    executors would each write to a disk of their own.
+    executors would each write to a disk of their own. What is left of the folder goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -28,17 +28,24 @@ class Workspace:
             root = "file://" + tempfile.mkdtemp(prefix="trigrid-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/trigrid-{uuid.uuid4().hex}"
+        self._marked = False
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        if not self._marked:
+            path, fs = self._at(self.root)
+            self._marked = fs.deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing returned depends on any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._at(self.path(name))
+            fs.delete(path, True)
+
+    def _at(self, path: str):  # noqa: ANN202  (objects of the JVM)
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())

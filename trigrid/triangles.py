@@ -1,14 +1,16 @@
 """Exact triangle counting over normalised edges, with interchangeable strategies.
 
 A triangle is (v, u, w) with edges v->u, v->w, u->w. Roles: G2 holds v->u, G1 holds v->w, G0 closes
-with u->w. All strategies return the same count, and all work on edges pointed from the lower to the higher degree,
-which bounds the wedges at every vertex by the square root of the edges, whatever the hubs. The edges and the
-pointed edges are written once to the shared folder: plans that use them several times read them.
-
-``hash``, ``oriented``        wedges joined to the closing edge; Spark picks the join side and the algorithm
-``intersect``                 neighbour arrays of both ends of an edge, intersected
-``edge_iterator``             the same
-``grid``, ``sharded``         triangles counted by the grids or shards of a quadtree level that their edges lie in
+with u->w. All strategies return the same count. Those over the whole graph point edges from the lower to the higher degree,
+which bounds the wedges at every vertex by the square root of the edges, whatever the hubs; those by grid, shard and slice work inside
+jobs (:mod:`trigrid.multiway`). Tables that a strategy writes to the shared folder are dropped once the count is there.
+
+``oriented``            wedges joined to the closing edge; Spark picks the join side and the algorithm
+``hash``                the same wedges, probing hash tables of closing edges
+``intersect``           neighbour arrays of both ends of an edge, intersected
+``bitmap``              neighbours as two-level bit arrays, combined word by word
+``edge_iterator``       jobs of vertex shares; the shorter neighbour list of an edge probes the longer one
+``grid``, ``sharded``   jobs of grids, or of quadtree shards from a depth on
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, partition
+from . import graph, multiway, partition
 from .storage import Workspace
 
 
@@ -39,11 +41,11 @@ def wedge_count(e: DataFrame) -> DataFrame:
     return e.groupBy("src").agg(F.count("*").alias("d")).agg(F.coalesce(F.sum(F.expr("d * (d - 1) div 2")), F.lit(0)).cast("long").alias("wedges"))
 
 
-def pointed(e: DataFrame) -> DataFrame:
-    """Simple edges from the lower to the higher degree, written; ``e`` is read once."""
-    ws = Workspace(e.sparkSession)
+def pointed(e: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """Simple edges from the lower to the higher degree, written as ``pointed``; ``e`` is read once."""
+    ws = ws or Workspace(e.sparkSession)
     kept = ws.keep(graph.normalize(e), "edges")
-    out = ws.keep(graph.orient_by_degree(kept), "pointed")
+    out = ws.keep(graph.orient_by_degree(kept, simple=True), "pointed")
     ws.drop("edges")
     return out
 
@@ -57,13 +59,16 @@ def list_triangles(e: DataFrame) -> DataFrame:
 
 def oriented_triangles(e: DataFrame) -> DataFrame:
     """Triangles (as a, b, c with a the vertex of lowest degree) of any edge list."""
-    o = pointed(e)
+    return _closed(pointed(e))
+
+
+def _closed(o: DataFrame, hint: str | None = None) -> DataFrame:
     ab = o.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     ac = o.select(F.col("src").alias("a"), F.col("dst").alias("c"))
     pairs = ab.join(ac, "a").where("b < c")
     # The third edge may point either way; by its smaller end it has one form.
     closing = o.select(F.least("src", "dst").alias("b"), F.greatest("src", "dst").alias("c"))
-    return pairs.join(closing, ["b", "c"]).select("a", "b", "c")
+    return pairs.join(closing.hint(hint) if hint else closing, ["b", "c"]).select("a", "b", "c")
 
 
 def _intersect(e: DataFrame) -> DataFrame:
@@ -73,60 +78,88 @@ def _intersect(e: DataFrame) -> DataFrame:
     return e.join(left, "src").join(right, "dst").select(F.size(F.array_intersect("a", "b")).cast("long").alias("n"))
 
 
-def count(e: DataFrame, strategy: str = "hash", width: int = partition.WIDTH, depth: int = 2) -> DataFrame:
+def bit_arrays(e: DataFrame) -> DataFrame:
+    """Neighbour sets as two-level bit arrays, a row for each source and block of 4096 targets: ``summary`` has a bit for each of the
+    block's 64 words that isn't zero, ``words`` (64 bits each) only those, in order. The word of bit k stands at the number of
+    summary bits below k."""
+    word = F.expr("bit_or(shiftleft(1L, cast(dst % 64 AS int)))")
+    words = e.groupBy("src", F.expr("dst div 64").alias("word")).agg(word.alias("bits"))
+    cell = F.struct(F.expr("cast(word % 64 AS int)").alias("k"), "bits")
+    rows = words.groupBy("src", F.expr("word div 64").alias("block")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return rows.select("src", "block", F.expr("aggregate(cells, 0L, (s, c) -> s | shiftleft(1L, c.k))").alias("summary"), F.transform("cells", lambda c: c["k"]).alias("ks"), F.transform("cells", lambda c: c["bits"]).alias("words"))
+
+
+def _common_bits(e: DataFrame) -> DataFrame:
+    """Common neighbours of both ends of each edge, a row (n) for each block in which their summaries meet."""
+    blocks = bit_arrays(e)
+    mine = blocks.select("src", "block", F.col("summary").alias("sa"), F.col("words").alias("wa"), F.col("ks").alias("ka"))
+    theirs = blocks.select(F.col("src").alias("dst"), "block", F.col("summary").alias("sb"), F.col("words").alias("wb"))
+    met = e.join(mine, "src").join(theirs, ["dst", "block"]).where("(sa & sb) <> 0")
+    below = "bit_count(sb & (shiftleft(1L, k) - 1))"
+    both = f"zip_with(ka, wa, (k, a) -> CASE WHEN shiftright(sb, k) & 1 = 1 THEN bit_count(a & get(wb, {below})) ELSE 0 END)"
+    return met.select(F.expr(f"aggregate({both}, 0L, (n, x) -> n + x)").alias("n"))
+
+
+def count(e: DataFrame, strategy: str = "oriented", width: int = partition.WIDTH, depth: int = 2) -> DataFrame:
     """One row, ``triangles``, of any edge list."""
+    ws = Workspace(e.sparkSession)
     if strategy in ("hash", "oriented"):
-        out = oriented_triangles(e).agg(F.count("*").alias("triangles"))
-    elif strategy in ("intersect", "edge_iterator"):
-        out = _intersect(pointed(e)).agg(F.sum("n").alias("triangles"))
+        out = _closed(pointed(e, ws), "shuffle_hash" if strategy == "hash" else None).agg(F.count("*").alias("triangles"))
+    elif strategy == "intersect":
+        out = _intersect(pointed(e, ws)).agg(F.sum("n").alias("triangles"))
+    elif strategy == "bitmap":
+        out = _common_bits(ws.keep(graph.normalize(e), "pointed")).agg(F.sum("n").alias("triangles"))
+    elif strategy == "edge_iterator":
+        o = pointed(e, ws)
+        out = multiway.by_shares(o, multiway.shares_for(o.count())).agg(F.sum("triangles").alias("triangles"))
     elif strategy == "grid":
         out = per_grid_triple(e, width).agg(F.sum("triangles").alias("triangles"))
     elif strategy == "sharded":
         out = per_shard_triple(e, depth, width).agg(F.sum("triangles").alias("triangles"))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    return out.select(F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
+    out = ws.keep(out.select(F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles")), "count")
+    ws.drop("pointed")
+    return out
+
+
+def _in_jobs(e: DataFrame, levels: int, width: int, least: int = 0, limit: int = multiway.JOB_EDGES) -> DataFrame:
+    """Counts by jobs of quadtree shards of at most ``limit`` edges, ``least`` deep or more."""
+    ws = Workspace(e.sparkSession)
+    kept = ws.keep(graph.normalize(e), "edges")
+    out = multiway.by_shards(kept, partition.split(kept, limit, levels, width, least), levels, width, ws)
+    ws.drop("edges")
+    return out
 
 
 def per_grid_triple(e: DataFrame, width: int = partition.WIDTH) -> DataFrame:
-    """Triangles by the grid triple of their edges: i (middle vertex), grid_row, grid_col."""
-    t = list_triangles(e)
-    return t.groupBy(F.expr(f"u div {width}").alias("i"), F.expr(f"v div {width}").alias("grid_row"), F.expr(f"w div {width}").alias("grid_col")).agg(F.count("*").alias("triangles"))
+    """Triangles by the grid triple of their edges: i (middle vertex), grid_row, grid_col. Grids with too many edges for a
+    job are halved."""
+    t = _in_jobs(e, (width - 1).bit_length(), width)
+    return t.groupBy(F.col("g2.gc").alias("i"), F.col("g1.gr").alias("grid_row"), F.col("g1.gc").alias("grid_col")).agg(F.sum("triangles").alias("triangles"))
 
 
 def per_shard_triple(e: DataFrame, depth: int, width: int = partition.WIDTH) -> DataFrame:
     """Triangles by the shards of v, u and w at one depth (v_shard, u_shard, w_shard are global shard
     positions along an axis)."""
+    levels = partition.levels_of(width)
     side = max(1, width >> depth)
-    labels = [F.expr(f"{x} div {side}").alias(f"{x}_shard") for x in ("v", "u", "w")]
-    return list_triangles(e).groupBy(*labels).agg(F.count("*").alias("triangles"))
+    labels = [F.expr(f"{x}_from div {side}").alias(f"{x}_shard") for x in ("v", "u", "w")]
+    return _in_jobs(e, levels, width, min(depth, levels)).groupBy(*labels).agg(F.sum("triangles").alias("triangles"))
 
 
 def per_job(e: DataFrame, shards: DataFrame, width: int = partition.WIDTH) -> DataFrame:
-    """Triangles of each surviving shard triple of a catalogue with mixed depths (g0, g1, g2 structs).
-
-    Triangles are found over pointed edges and their three edges then labelled with the shards they lie in."""
-    ws = Workspace(e.sparkSession)
-    key = ["gr", "gc", "depth", "sr", "sc"]
-    shards = ws.keep(shards.select(*key), "shards")
-    leaves = partition.with_leaf(graph.normalize(e), shards, width)
-    return _by_labels(ws.keep(leaves.select("src", "dst", F.struct(*key).alias("s")), "labelled"))
-
-
-def per_slice_triple(e: DataFrame, size: int, width: int = partition.WIDTH) -> DataFrame:
-    """Triangles of each triple of linear slices (g0, g1, g2 structs of gr, gc, slice)."""
+    """Triangles of each surviving shard triple of a catalogue with mixed depths (g0, g1, g2 structs), counted inside it."""
     ws = Workspace(e.sparkSession)
     kept = ws.keep(graph.normalize(e), "edges")
-    labelled = partition.with_slice(kept, size, width).select("src", "dst", F.struct("gr", "gc", "slice").alias("s"))
-    return _by_labels(ws.keep(labelled, "labelled"))
+    out = multiway.by_shards(kept, shards, partition.levels_of(width), width, ws).select("g0", "g1", "g2", "triangles")
+    ws.drop("edges")
+    return out
 
 
-def _by_labels(labelled: DataFrame) -> DataFrame:
-    """Triangles by the labels s of their three edges; ``labelled`` is a written table."""
-    found = list_triangles(labelled.select("src", "dst"))
-    side = lambda k, a, b: labelled.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("s").alias(k))
-    t = found.join(side("g0", "u", "w"), ["u", "w"]).join(side("g1", "v", "w"), ["v", "w"]).join(side("g2", "v", "u"), ["v", "u"])
-    return t.groupBy("g0", "g1", "g2").agg(F.count("*").alias("triangles"))
+def per_slice_triple(e: DataFrame, size: int, width: int = partition.WIDTH) -> DataFrame:
+    """Triangles of each triple of linear slices (g0, g1, g2 structs of gr, gc, slice), counted inside it."""
+    return multiway.by_slices(graph.normalize(e), size, width, Workspace(e.sparkSession))
 
 
 def transitive_triads(e: DataFrame) -> DataFrame:
