@@ -7,7 +7,7 @@ written as a Parquet table where they mount none.
 Layouts: adj6 holds records of source, count and that many targets, each six bytes, big-endian; el32
 holds pairs of little-endian 32-bit local ids; a grid's compressed rows are three files of such integers
 (row, ptr, col); a relabel table holds little-endian 64-bit new ids by old id. A record of adj6 states its
-own length, so one file is one task's work: writers keep files at ``FILE_EDGES`` edges.
+own length: here one file is one task's work, and writers keep files at ``FILE_EDGES`` edges.
 
 Empty files hold nothing; files with other names are passed over; a cut-off file raises ValueError.
 """
@@ -31,6 +31,8 @@ FILE_EDGES = 4_000_000
 #: Rows handed on at a time.
 ROWS = 200_000
 RELABEL_BLOCK = 4_000_000
+#: The stem of a further part of a grid.
+_PART = r"^(\d+-\d+),\d+$"
 _PLACES = 256 ** np.arange(5, -1, -1, dtype=np.int64)
 
 
@@ -87,28 +89,37 @@ def _decoded(table: DataFrame, decode: Callable[..., Iterator[dict]], schema: st
     return table.mapInArrow(run, schema)
 
 
-def _in_rows(columns: dict[str, np.ndarray]) -> Iterator[dict]:
+def in_rows(columns: dict[str, np.ndarray]) -> Iterator[dict]:
     n = len(next(iter(columns.values())))
     for at in range(0, n, ROWS):
         yield {k: pa.array(v[at : at + ROWS]) for k, v in columns.items()}
 
 
+def six_byte_numbers(content: bytes) -> np.ndarray:
+    return np.frombuffer(content, dtype=np.uint8).reshape(-1, 6) @ _PLACES
+
+
+def adj6_edges(numbers: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """src and dst of the numbers of whole records."""
+    counts, n = numbers.tolist(), len(numbers)
+    heads, at = [], 0
+    while at < n:
+        heads.append(at)
+        if at + 1 >= n or (at := at + 2 + counts[at + 1]) > n:
+            raise ValueError(f"{name} is cut off")
+    head = np.array(heads, dtype=np.int64)
+    body = np.ones(n, dtype=bool)
+    body[head] = body[head + 1] = False
+    return {"src": np.repeat(numbers[head], numbers[head + 1]), "dst": numbers[body]}
+
+
 def read_adj6(table: DataFrame) -> DataFrame:
-    """Edges (src, dst) of adj6 files."""
+    """Edges (src, dst) of adj6 files, a task each; :mod:`trigrid.sources` reads large files by parts."""
 
     def decode(name: str, content: bytes) -> Iterator[dict]:
         if len(content) % 6:
             raise ValueError(f"{name} is cut off")
-        numbers = np.frombuffer(content, dtype=np.uint8).reshape(-1, 6) @ _PLACES
-        heads, at = [], 0
-        while at < len(numbers):
-            heads.append(at)
-            if at + 1 >= len(numbers) or (at := at + 2 + int(numbers[at + 1])) > len(numbers):
-                raise ValueError(f"{name} is cut off")
-        head = np.array(heads, dtype=np.int64)
-        body = np.ones(len(numbers), dtype=bool)
-        body[head] = body[head + 1] = False
-        return _in_rows({"src": np.repeat(numbers[head], numbers[head + 1]), "dst": numbers[body]})
+        return in_rows(adj6_edges(six_byte_numbers(content), name))
 
     return _decoded(table.select("name", "content"), decode, "src long, dst long")
 
@@ -117,82 +128,117 @@ def _six(numbers: np.ndarray) -> np.ndarray:
     return numbers.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
 
 
+def adj6_bytes(src: np.ndarray, dst: np.ndarray) -> bytes:
+    """Records of neighbouring rows with one source."""
+    if min(src.min(), dst.min()) < 0 or max(src.max(), dst.max()) >= 1 << 48:
+        raise ValueError("an id does not fit 48 bits")
+    first = np.concatenate(([0], np.flatnonzero(src[1:] != src[:-1]) + 1))
+    counts = np.diff(np.concatenate((first, [len(src)])))
+    spots = first + 2 * np.arange(len(first))
+    numbers = np.empty(len(src) + 2 * len(first), dtype=np.int64)
+    body = np.ones(len(numbers), dtype=bool)
+    body[spots] = body[spots + 1] = False
+    numbers[spots], numbers[spots + 1], numbers[body] = src[first], counts, dst
+    return _six(numbers).tobytes()
+
+
+def adj6_name(src: np.ndarray, dst: np.ndarray) -> str:
+    return f"{int(src[0]):015d}-{int(dst[0]):015d}-{uuid.uuid4().hex[:8]}.adj6"
+
+
+def in_parts(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of batches as tables of at most ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, rows - size)
+            held.append(part)
+            size += part.num_rows
+            batch = batch.slice(part.num_rows)
+            if size == rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def write_adj6(e: DataFrame) -> DataFrame:
-    """Edges as adj6 files, in ranges of (src, dst): a source with very many targets spans files, with a
+    """Edges as a table of adj6 files, in ranges of (src, dst): a source with very many targets spans files, with a
     record in each. Duplicates and self-loops are kept; ids take 48 bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            held.clear()
-            src, dst = t.column("src").to_numpy(), t.column("dst").to_numpy()
-            if min(src.min(), dst.min()) < 0 or max(src.max(), dst.max()) >= 1 << 48:
-                raise ValueError("an id does not fit 48 bits")
-            first = np.concatenate(([0], np.flatnonzero(src[1:] != src[:-1]) + 1))
-            counts = np.diff(np.concatenate((first, [len(src)])))
-            spots = first + 2 * np.arange(len(first))
-            numbers = np.empty(len(src) + 2 * len(first), dtype=np.int64)
-            body = np.ones(len(numbers), dtype=bool)
-            body[spots] = body[spots + 1] = False
-            numbers[spots], numbers[spots + 1], numbers[body] = src[first], counts, dst
-            name = f"{int(src[0]):015d}-{int(dst[0]):015d}-{uuid.uuid4().hex[:8]}.adj6"
-            return pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([_six(numbers).tobytes()], pa.binary())})
-
-        size = 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= FILE_EDGES:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
+        for part in in_parts(batches, FILE_EDGES):
+            src, dst = (part.column(c).to_numpy() for c in ("src", "dst"))
+            yield pa.RecordBatch.from_pydict({"name": pa.array([adj6_name(src, dst)]), "content": pa.array([adj6_bytes(src, dst)], pa.binary())})
 
     parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return e.select("src", "dst").repartitionByRange(parts, "src", "dst").sortWithinPartitions("src", "dst").mapInArrow(run, FILES)
 
 
 def read_el32(table: DataFrame, width: int = partition.WIDTH) -> DataFrame:
-    """Edges with global ids of edge-list files ``gr-gc.el32`` (sorted or not)."""
+    """Edges with global ids of edge-list files ``gr-gc.el32`` (sorted or not), or of their later parts ``gr-gc,part.el32``."""
     named = table.withColumn("stem", F.regexp_replace("name", r"\.el32(\.sorted)?$", "")).where("stem <> name")
-    parsed = partition.parse_shard_name(named).select("name", "content", "gr", "gc")
+    parsed = partition.parse_shard_name(named.withColumn("stem", F.regexp_replace("stem", _PART, "$1"))).select("name", "content", "gr", "gc")
 
     def decode(name: str, content: bytes, gr: int, gc: int) -> Iterator[dict]:
         pairs = _longs(content, "<u4", name)
         if len(pairs) % 2:
             raise ValueError(f"{name} is cut off")
-        return _in_rows({"src": pairs[0::2] + gr * width, "dst": pairs[1::2] + gc * width})
+        return in_rows({"src": pairs[0::2] + gr * width, "dst": pairs[1::2] + gc * width})
 
     return _decoded(parsed, decode, "src long, dst long")
 
 
-def _packed(table: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """A file for each (stem, array column): ``columns`` maps column to extension."""
+def _by_slice(e: DataFrame, width: int, encode: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """Files of each slice of ``FILE_EDGES`` edges of each grid: its first slice has the grid's name, later ones their number as well.
+
+    Slices are dealt by range and stream through their task in order, so no task holds more than one: a grid of
+    any size is written. ``encode`` gives the arrays by extension."""
+    placed = partition.with_slice(e.select("src", "dst").distinct(), FILE_EDGES, width)
+    rows = placed.select("gr", "gc", "slice", (F.col("src") % width).alias("ls"), (F.col("dst") % width).alias("ld"))
+    order = ["gr", "gc", "slice"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            gr, gc, k = (t.column(c)[0].as_py() for c in order)
+            stem = f"{gr}-{gc},{k}" if k else f"{gr}-{gc}"
+            made = encode(t.column("ls").to_numpy(), t.column("ld").to_numpy())
+            return pa.RecordBatch.from_pydict({"name": pa.array([f"{stem}.{x}" for x in made]), "content": pa.array([v.astype("<u4").tobytes() for v in made.values()], pa.binary())})
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                stem = batch.column("stem")[i].as_py()
-                content = [np.asarray(batch.column(c)[i].values.to_numpy(zero_copy_only=False)).astype("<u4").tobytes() for c in columns]
-                yield pa.RecordBatch.from_pydict({"name": pa.array([f"{stem}.{x}" for x in columns.values()]), "content": pa.array(content, pa.binary())})
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy() for c in order]
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                if held and any(held[-1].column(c)[0].as_py() != k[a] for c, k in zip(order, keys, strict=True)):
+                    yield done()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
 
-    return table.select("stem", *columns).mapInArrow(run, FILES)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "ls", "ld").mapInArrow(run, FILES)
 
 
 def write_el32(e: DataFrame, width: int = partition.WIDTH) -> DataFrame:
-    """Sorted, unique edge-list files, one a grid; for grids that fit a record."""
-    pairs = partition.with_grid(e.select("src", "dst").distinct(), width).groupBy("gr", "gc").agg(F.array_sort(F.collect_list(F.struct("ls", "ld"))).alias("p"))
-    flat = pairs.select(F.concat_ws("-", "gr", "gc").alias("stem"), F.flatten(F.transform("p", lambda x: F.array(x["ls"], x["ld"]))).alias("flat"))
-    return _packed(flat, {"flat": "el32.sorted"})
+    """Sorted, unique edge-list files, one or more a grid."""
+    return _by_slice(e, width, lambda r, c: {"el32.sorted": np.stack((r, c), axis=1).ravel()})
+
+
+def _compressed(r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+    """The three arrays of edges sorted by (r, c)."""
+    rows, first = np.unique(r, return_index=True)
+    return {"row": rows, "ptr": np.append(first, len(r)), "col": c}
 
 
 def write_csr(e: DataFrame, width: int = partition.WIDTH) -> DataFrame:
-    """Compressed-row files of each grid: ``gr-gc.row``, ``.ptr`` and ``.col``."""
-    grids = partition.csr_arrays(e.select("src", "dst").distinct(), width).withColumn("stem", F.concat_ws("-", "gr", "gc"))
-    return _packed(grids, {"row": "row", "ptr": "ptr", "col": "col"})
+    """Compressed-row files of each grid: ``gr-gc.row``, ``.ptr`` and ``.col``, with further parts for large grids."""
+    return _by_slice(e, width, _compressed)
 
 
 def write_shards(e: DataFrame, shards: DataFrame, width: int = partition.WIDTH) -> DataFrame:
@@ -209,8 +255,7 @@ def write_shards(e: DataFrame, shards: DataFrame, width: int = partition.WIDTH)
                 pairs = batch.column("p")[i].values
                 r, c = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 order = np.lexsort((c, r))
-                rows, first = np.unique(r[order], return_index=True)
-                arrays = {"row": rows, "ptr": np.append(first, len(r)), "col": c[order]}
+                arrays = _compressed(r[order], c[order])
                 stem = batch.column("stem")[i].as_py()
                 content = [a.astype("<u4").tobytes() for a in arrays.values()]
                 yield pa.RecordBatch.from_pydict({"name": pa.array([f"{stem}.{x}" for x in arrays]), "content": pa.array(content, pa.binary())})
@@ -231,6 +276,7 @@ def read_csr(table: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     the start of the shard that the name states."""
     named = table.withColumns({"stem": F.regexp_extract("name", r"^(.*)\.(row|ptr|col)$", 1), "ext": F.regexp_extract("name", r"\.(row|ptr|col)$", 1)}).where("ext <> ''")
     whole = named.groupBy("stem").agg(*(F.max(F.when(F.col("ext") == x, F.col("content"))).alias(x) for x in ("row", "ptr", "col")))
+    whole = whole.withColumn("stem", F.regexp_replace("stem", _PART, "$1"))
     parsed = partition.parse_shard_name(whole).select("stem", "row", "ptr", "col", "gr", "gc", "depth", "sr", "sc")
 
     def decode(stem: str, row: bytes, ptr: bytes, col: bytes, gr: int, gc: int, depth: int, sr: int, sc: int) -> Iterator[dict]:
@@ -239,7 +285,7 @@ def read_csr(table: DataFrame, width: int = partition.WIDTH) -> DataFrame:
         rows, starts, cols = (_longs(x, "<u4", stem) for x in (row, ptr, col))
         if len(starts) != len(rows) + 1 or starts[-1] != len(cols):
             raise ValueError(f"{stem} is cut off")
-        return _in_rows({"src": np.repeat(rows, np.diff(starts)) + gr * width + sr * (width >> depth), "dst": cols + gc * width + sc * (width >> depth)})
+        return in_rows({"src": np.repeat(rows, np.diff(starts)) + gr * width + sr * (width >> depth), "dst": cols + gc * width + sc * (width >> depth)})
 
     return _decoded(parsed, decode, "src long, dst long")
 
@@ -268,7 +314,7 @@ def read_relabel(table: DataFrame) -> DataFrame:
 
     def decode(name: str, content: bytes, first: int) -> Iterator[dict]:
         new = _longs(content, "<u8", name)
-        return _in_rows({"vid": np.arange(first, first + len(new)), "new_vid": new})
+        return in_rows({"vid": np.arange(first, first + len(new)), "new_vid": new})
 
     return _decoded(named, decode, "vid long, new_vid long")
 

@@ -51,8 +51,21 @@ def adjacency(e: DataFrame, width: int = WIDTH) -> DataFrame:
     return with_grid(e, width).groupBy("gr", "gc", "ls").agg(F.array_sort(F.collect_list("ld")).alias("nbrs"))
 
 
+def csr_chunks(e: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
+    """Compressed rows of each grid in chunks of ``size`` edges: gr, gc, chunk, and the arrays row, ptr and col. ``ptr`` counts from the grid's
+    start, so chunks in order are the grid's arrays; a source with more targets goes on in the next chunk. No array holds
+    more than a chunk, however large the grid."""
+    placed = with_slice(e, size, width).withColumns({"ls": F.col("src") % width, "ld": F.col("dst") % width})
+    lists = placed.groupBy("gr", "gc", "slice", "ls").agg(F.array_sort(F.collect_list("ld")).alias("nbrs"))
+    rows = lists.groupBy("gr", "gc", "slice").agg(F.array_sort(F.collect_list(F.struct("ls", "nbrs"))).alias("rows"))
+    start = F.expr(f"slice * {size}L")
+    step = F.aggregate("rows", F.array(start), lambda p, r: F.concat(p, F.array(F.element_at(p, -1) + F.size(r["nbrs"]))))
+    # Offsets by running sums of the sizes: a list of sizes is short next to the chunk's columns.
+    return rows.select("gr", "gc", F.col("slice").alias("chunk"), F.transform("rows", lambda r: r["ls"]).alias("row"), step.alias("ptr"), F.flatten(F.transform("rows", lambda r: r["nbrs"])).alias("col"))
+
+
 def csr_arrays(e: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per grid with its row, ptr and col arrays; for grids that fit a record (the file sinks)."""
+    """One row per grid with its row, ptr and col arrays; for grids that fit a record (:func:`csr_chunks` has no such limit)."""
     rows = adjacency(e, width).join(csr_rows(e, width), ["gr", "gc", "ls"]).groupBy("gr", "gc").agg(F.array_sort(F.collect_list(F.struct("ls", "nbrs", "ptr_end"))).alias("rows"))
     ptr = F.concat(F.array(F.lit(0).cast("long")), F.transform("rows", lambda r: r["ptr_end"]))
     return rows.select("gr", "gc", F.transform("rows", lambda r: r["ls"]).alias("row"), ptr.alias("ptr"), F.flatten(F.transform("rows", lambda r: r["nbrs"])).alias("col"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formats, graph, jobs, partition, primitives, scans, triangles
+from . import formats, graph, jobs, partition, primitives, scans, sources, triangles
 from .storage import Workspace
 
 WIDTH = 256
@@ -280,6 +280,65 @@ def shard_file_catalogue(spark, sf_dir):
     return formats.file_catalogue(written.select("name", F.length("content").cast("long").alias("length")), QUAD_WIDTH)
 
 
+@query(f"WITH {E_SQL} SELECT src, dst FROM e")
+def adj6_source_read_back(spark, sf_dir):
+    """Written by the data source in bounded files and read by byte ranges far smaller than a file."""
+    sources.register(spark)
+    folder = Workspace(spark).path("adj6")
+    e = co_parts(spark, sf_dir).repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+    e.write.format("adj6").mode("append").option("file_edges", 50_000).save(folder)
+    return spark.read.format("adj6").option("split_bytes", 30_000).load(folder)
+
+
+@query(f"WITH {R_SQL} SELECT src, dst FROM r")
+def adj6_files_read_back(spark, sf_dir):
+    return formats.read_adj6(formats.write_adj6(raw_edges(spark, sf_dir)))
+
+
+@query(f"WITH {E_SQL} SELECT src, dst FROM e")
+def el32_files_read_back(spark, sf_dir):
+    return formats.read_el32(formats.write_el32(co_parts(spark, sf_dir), WIDTH), WIDTH)
+
+
+@query(f"WITH {E_SQL} SELECT src, dst FROM e")
+def grid_files_read_back(spark, sf_dir):
+    return formats.read_csr(formats.write_csr(co_parts(spark, sf_dir), WIDTH), WIDTH)
+
+
+@query(f"WITH {DEG_SQL} SELECT vid, row_number() OVER (ORDER BY degree = 0, degree, vid) - 1 AS new_vid FROM deg")
+def relabel_files_read_back(spark, sf_dir):
+    return formats.read_relabel(formats.write_relabel(graph.relabel_table(graph.complete_degrees(raw_edges(spark, sf_dir)), "asc")))
+
+
+@query(f"WITH {R_SQL} SELECT src, dst FROM r")
+def tsv_read_back(spark, sf_dir):
+    path = Workspace(spark).path("tsv")
+    formats.write_tsv(raw_edges(spark, sf_dir), path)
+    return formats.read_tsv(spark, path)
+
+
+@query(f"""WITH {E_SQL}, g AS (SELECT DISTINCT src // {WIDTH} AS gr, dst // {WIDTH} AS gc FROM e), m AS (SELECT max(src) AS top FROM e)
+SELECT 'parts' AS dataname, gr || '-' || gc AS name, gr, gc, top // {WIDTH} + 1 AS side, top AS max_vid FROM g, m""")
+def metadata_read_back(spark, sf_dir):
+    path = Workspace(spark).path("metadata")
+    formats.write_metadata(formats.metadata(co_parts(spark, sf_dir), "parts", WIDTH), path)
+    found = formats.read_metadata(spark, path).select("dataname", "info", F.explode("grid").alias("g"))
+    return found.selectExpr("dataname", "g.name", "g.index.row AS gr", "g.index.col AS gc", "info.count.row AS side", "info.max_vid")
+
+
+CHUNK_SQL = E_SQL + f""", k AS (SELECT src, dst, src // {WIDTH} AS gr, dst // {WIDTH} AS gc, row_number() OVER (PARTITION BY src // {WIDTH}, dst // {WIDTH} ORDER BY src, dst) - 1 AS pos FROM e)"""
+
+
+@query(f"""WITH {CHUNK_SQL} SELECT gr, gc, pos // {JOB_SLICE} AS chunk, count(DISTINCT src) AS n_rows, min(src % {WIDTH}) AS first_row, min(pos) AS ptr_first, max(pos) + 1 AS ptr_last, count(*) AS n_cols, sum(dst % {WIDTH})::BIGINT AS col_sum
+FROM k GROUP BY ALL""")
+def csr_chunks(spark, sf_dir):
+    c = partition.csr_chunks(co_parts(spark, sf_dir), JOB_SLICE, WIDTH)
+    return c.select(
+        "gr", "gc", "chunk", F.size("row").cast("long").alias("n_rows"), F.element_at("row", 1).alias("first_row"), F.element_at("ptr", 1).alias("ptr_first"),
+        F.element_at("ptr", -1).alias("ptr_last"), F.size("col").cast("long").alias("n_cols"), F.aggregate("col", F.lit(0).cast("long"), lambda n, x: n + x).alias("col_sum"),
+    )
+
+
 @query(f"WITH {E_SQL} SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM e")
 def adjacent_diff(spark, sf_dir):
     return graph.adjacent_gaps(co_parts(spark, sf_dir))
