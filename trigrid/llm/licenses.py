@@ -10,7 +10,7 @@ always reported.
 
 Defined results: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; a null or empty text has none, no labels and
 score 0; texts of any length are scanned whole; of detections with the same interval and priority the one whose label
-comes first stays; repeated rows give repeated results; an empty table gives an empty
+comes first stays; what is denied ("not licensed under ...", with the six words after it) gives no label; repeated rows give repeated results; an empty table gives an empty
 result; columns besides id and text are ignored. ``score`` is the highest weight of the detections left.
 """
 
@@ -79,6 +79,39 @@ class Rule:
     keywords: tuple[str, ...]
 
 
+#: Short names that stand for a license without its version: label, pattern.
+GENERIC = (
+    ("apache", "apache licen[cs]e"),
+    ("bsd", "bsd licen[cs]e"),
+    ("gpl", "gnu (?:gpl|general public licen[cs]e)"),
+    ("lgpl", "gnu (?:lgpl|lesser general public licen[cs]e)"),
+    ("agpl", "gnu (?:agpl|affero general public licen[cs]e)"),
+    ("mpl", "mozilla public licen[cs]e"),
+    ("epl", "eclipse public licen[cs]e"),
+)
+
+#: Addresses of license texts, as words: label, pattern.
+ADDRESSES = (
+    ("cc-by", "creativecommons org licenses by"),
+    ("cc-by-sa", "creativecommons org licenses by sa"),
+    ("cc-by-nd", "creativecommons org licenses by nd"),
+    ("cc-by-nc", "creativecommons org licenses by nc"),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd"),
+    ("cc0-1", "creativecommons org publicdomain zero 1 0"),
+    ("apache-2", "apache org licenses license 2 0"),
+    ("mit", "opensource org licenses? mit"),
+    ("bsd-2", "opensource org licenses? bsd 2 clause"),
+    ("bsd-3", "opensource org licenses? bsd 3 clause"),
+    ("gpl-2", "gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3", "gnu org licenses gpl 3 0"),
+    ("lgpl-2.1", "gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3", "gnu org licenses lgpl 3 0"),
+    ("agpl-3", "gnu org licenses agpl 3 0"),
+    ("mpl-2", "mozilla org mpl 2 0"),
+    ("epl-2", "eclipse org legal epl 2 0"),
+)
+
 VERBS = "licensed|released|distributed|available|published|provided|offered|dual licensed".split("|")
 GRANT = f"(?:{'|'.join(f'{v} {to}under ' for v in VERBS for to in ('', 'to you '))})(?:the )?(?:terms of )?(?:the )?"
 VERSION = "(?:license )?(?:version |v )?"
@@ -89,13 +122,13 @@ FAMILIES = (
     ("mit-0", "mit no attribution|mit 0", "mit 0"),
     ("apache-1.1", "apache (?:software )?" + VERSION + "1 1", "apache 1 1"),
     ("apache-2", "apache (?:software )?" + VERSION + "2(?: 0)?", "apache 2 0"),
-    ("gpl-1", "(?:gnu )?(?:general public|gpl) " + VERSION + "1(?: 0)?", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "(?:gnu )?(?:general public|gpl) " + VERSION + "2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "(?:gnu )?(?:general public|gpl) " + VERSION + "3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("lgpl-2", "(?:gnu )?(?:library general public|lgpl) " + VERSION + "2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "(?:gnu )?(?:lesser general public|lgpl) " + VERSION + "2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "(?:gnu )?(?:lesser general public|lgpl) " + VERSION + "3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("agpl-3", "(?:gnu )?(?:affero general public|agpl) " + VERSION + "3(?: 0)?", "agpl 3 0(?: only| or later)?"),
+    ("gpl-1", "(?:gnu )?(?:general public|gpl) " + VERSION + "1(?: 0)?|gplv1", "gpl 1 0(?: only| or later)?"),
+    ("gpl-2", "(?:gnu )?(?:general public|gpl) " + VERSION + "2(?: 0)?|gplv2", "gpl 2 0(?: only| or later)?"),
+    ("gpl-3", "(?:gnu )?(?:general public|gpl) " + VERSION + "3(?: 0)?|gplv3", "gpl 3 0(?: only| or later)?"),
+    ("lgpl-2", "(?:gnu )?(?:library general public|lgpl) " + VERSION + "2(?: 0)?|lgplv2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser general public|lgpl) " + VERSION + "2 1|lgplv2 1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", "(?:gnu )?(?:lesser general public|lgpl) " + VERSION + "3(?: 0)?|lgplv3", "lgpl 3 0(?: only| or later)?"),
+    ("agpl-3", "(?:gnu )?(?:affero general public|agpl) " + VERSION + "3(?: 0)?|agplv3", "agpl 3 0(?: only| or later)?"),
     ("gfdl-1.3", "(?:gnu )?free documentation " + VERSION + "1 3", "gfdl 1 3(?: only| or later)?"),
     ("bsd-2", "(?:simplified|freebsd|2 clause|two clause) bsd|bsd (?:2|two) clause", "bsd 2 clause"),
     ("bsd-3", "(?:new|modified|revised|3 clause|three clause) bsd|bsd (?:3|three) clause", "bsd 3 clause"),
@@ -103,7 +136,7 @@ FAMILIES = (
     ("0bsd", "zero clause bsd|bsd zero clause|free public 1 0 0", "0bsd"),
     ("isc", "isc|internet systems consortium", "isc"),
     ("mpl-1.1", "(?:mozilla public|mpl) " + VERSION + "1 1", "mpl 1 1"),
-    ("mpl-2", "(?:mozilla public|mpl) " + VERSION + "2(?: 0)?", "mpl 2 0"),
+    ("mpl-2", "(?:mozilla public|mpl) " + VERSION + "2(?: 0)?|mplv2(?: 0)?", "mpl 2 0"),
     ("epl-1", "(?:eclipse public|epl) " + VERSION + "1(?: 0)?", "epl 1 0"),
     ("epl-2", "(?:eclipse public|epl) " + VERSION + "2(?: 0)?", "epl 2 0"),
     ("cddl-1", "(?:common development and distribution|cddl) " + VERSION + "1(?: 0)?", "cddl 1 0"),
@@ -259,31 +292,45 @@ def rules() -> tuple[Rule, ...]:
             bare = BARE.get(label, names)
             out.append(Rule(label, f" (?:{bare})(?= )", 1, 0.6, keywords(bare)))
     out += [Rule(label, f" (?:{words})(?= )", 3, 0.9, keywords(words)) for label, words in SENTENCES]
+    out += [Rule(label, f" (?:{words})(?= )", 3, 0.9, keywords(words)) for label, words in ADDRESSES]
+    out += [Rule(label, f" (?:{words})(?= )", 1, 0.5, keywords(words)) for label, words in GENERIC]
+    # What is denied is a detection without a label: it suppresses those inside.
+    denied = "(?:not|never) (?:be )?" + GRANT
+    out.append(Rule("", f" {denied}[^ ]+(?: [^ ]+){{0,5}}(?= )", 4, 0.0, keywords(denied)))
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.pattern)))
 
 
 GATE = tuple(sorted({k for r in rules() for k in r.keywords}))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: One rule's detections: pieces between matches and the matches give the intervals.
-_INTERVALS = """
-  aggregate(sequence(1, size(m.hits)), named_struct('at', 0, 'out', cast(array() as array<struct<a:int,b:int,priority:int,weight:double,label:string>>)),
-    (s, i) -> named_struct(
-      'at', s.at + length(m.gaps[i - 1]) + length(m.hits[i - 1]),
-      'out', concat(s.out, array(named_struct('a', s.at + length(m.gaps[i - 1]), 'b', s.at + length(m.gaps[i - 1]) + length(m.hits[i - 1]),
-        'priority', m.priority, 'weight', m.weight, 'label', m.label)))),
-    s -> s.out)"""
-
-#: Sweep in order of start (longer and higher first), with the furthest end seen at each priority.
+#: A detection.
+_FOUND = "array<struct<a:int,b:int,priority:int,weight:double,label:string>>"
+#: One rule's detections: pieces between matches and the matches give the intervals. They are gathered in blocks of about the square
+#: root of their number, each an array of its own, so that growing arrays are never copied whole.
+_BLOCK = "cast(ceil(sqrt(size(m.hits))) AS int)"
+_INTERVALS = f"""
+  flatten(aggregate(sequence(0, (size(m.hits) - 1) div {_BLOCK}), named_struct('at', 0, 'out', cast(array() as array<{_FOUND}>)),
+    (s, j) -> transform(array(aggregate(sequence(cast(j AS int) * {_BLOCK} + 1, least(size(m.hits), (cast(j AS int) + 1) * {_BLOCK})),
+        named_struct('at', s.at, 'out', cast(array() as {_FOUND})),
+        (t, i) -> named_struct(
+          'at', t.at + length(m.gaps[i - 1]) + length(m.hits[i - 1]),
+          'out', concat(t.out, array(named_struct('a', t.at + length(m.gaps[i - 1]), 'b', t.at + length(m.gaps[i - 1]) + length(m.hits[i - 1]),
+            'priority', m.priority, 'weight', m.weight, 'label', m.label)))))),
+      t -> named_struct('at', t.at, 'out', concat(s.out, array(t.out))))[0],
+    s -> s.out))"""
+
+#: Sweep in order of start (longer and higher first), with the furthest end seen at each priority: the labels (of which there are few) and
+#: the highest weight left. Detections without a label only suppress.
 _SWEEP = """
   aggregate(array_sort(found, (x, y) -> CASE WHEN x.a <> y.a THEN x.a - y.a WHEN x.b <> y.b THEN y.b - x.b WHEN x.priority <> y.priority THEN y.priority - x.priority
       WHEN x.label < y.label THEN -1 WHEN x.label > y.label THEN 1 ELSE 0 END),
-    named_struct('e1', 0, 'e2', 0, 'e3', 0, 'e4', 0, 'out', cast(array() as array<struct<a:int,b:int,priority:int,weight:double,label:string>>)),
-    (s, d) -> named_struct(
+    named_struct('e1', 0, 'e2', 0, 'e3', 0, 'e4', 0, 'labels', cast(array() as array<string>), 'weight', cast(null as double)),
+    (s, d) -> transform(array(d.label <> '' AND d.b > greatest(if(d.priority <= 1, s.e1, 0), if(d.priority <= 2, s.e2, 0), if(d.priority <= 3, s.e3, 0), s.e4)), stays -> named_struct(
       'e1', if(d.priority = 1, greatest(s.e1, d.b), s.e1), 'e2', if(d.priority = 2, greatest(s.e2, d.b), s.e2),
       'e3', if(d.priority = 3, greatest(s.e3, d.b), s.e3), 'e4', if(d.priority = 4, greatest(s.e4, d.b), s.e4),
-      'out', if(d.b <= greatest(if(d.priority <= 1, s.e1, 0), if(d.priority <= 2, s.e2, 0), if(d.priority <= 3, s.e3, 0), s.e4), s.out, concat(s.out, array(d)))),
-    s -> s.out)"""
+      'labels', if(stays AND NOT array_contains(s.labels, d.label), concat(s.labels, array(d.label)), s.labels),
+      'weight', if(stays, greatest(s.weight, d.weight), s.weight)))[0],
+    s -> named_struct('labels', s.labels, 'weight', s.weight))"""
 
 
 def normalised(text: Column) -> Column:
@@ -325,7 +372,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     flat = F.flatten("at")
     named = F.array_compact(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(has, BASE, strict=True)]))
     none = F.array().cast("array<string>")
-    labels = F.array_union(named, F.coalesce(F.transform("left_over", lambda d: d["label"]), none))
+    labels = F.array_union(named, F.coalesce(F.col("left_over.labels"), none))
     return rows.select(
         "doc_id",
         "n_words",
@@ -334,5 +381,5 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.array_max(flat).cast("long").alias("last_word"),
         F.concat_ws(",", F.array_sort(named)).alias("base_labels"),
         F.concat_ws(",", F.array_sort(F.array_distinct(labels))).alias("labels"),
-        F.coalesce(F.array_max(F.transform("left_over", lambda d: d["weight"])), F.when(any_base, F.lit(0.9)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.col("left_over.weight"), F.when(any_base, F.lit(0.9)), F.lit(0.0)).alias("score"),
     )
