@@ -6,10 +6,12 @@ subscripts (``d["pwd"] = "..."``), as XML elements (``<password>...</password>``
 value="..."``), and as setters or first arguments of calls (``setToken("...")``, ``put("token", "...")``). Literals are strings
 in any quotes, with prefixes and escapes, triple-quoted ones and those side by side or joined by signs, and bare words of
 configuration files. Items of a list and arguments of a call on the right side are literals of the name each by itself; keyword
-arguments are pairs of their own, and so are pairs inside strings (connection strings).
+arguments are pairs of their own, and so are pairs inside strings (connection strings). ``a, b = "...", "..."`` binds item by item.
+Names also stand before ``<-``, after dashes (``--password=...``), between ``#define`` or ``set`` and a string, and before a block of
+indented lines (``password: |``).
 
 Names bound earlier in the text are constants: where a later right side names one, its literals stand in (so ``k = "...";
-api_token = k`` reports the literal of k). Braces and indented blocks are scopes: what they bind ends with them.
+api_token = k`` reports the literal of k), also inside formatted strings (``f"{k}"``, ``"%s" % k``). Braces and indented blocks are scopes: what they bind ends with them.
 
 A literal is scored by how sensitive the words of its target name are, by its length, character mix
 and entropy; placeholders score down. Three base patterns (assign, access, hex) are always reported.
@@ -44,27 +46,37 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _STRING = r"""(?<![\w"'`])(?:[rRbBuUfF]{1,2}(?=["']))?(?:\"\"\"((?:[^\\]|\\.)*?)\"\"\"|\'\'\'((?:[^\\]|\\.)*?)\'\'\'|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)"""
 STRING = re.compile(_STRING, re.ASCII | re.DOTALL)
-_OP = r"(?:[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\], |?&*]*?(?=[ \t]*=[^=]))?[ \t]*(===?|!==?|:=|=>|\?=|\+=|=(?![~])|:(?![:/]))[ \t]*"
-HEAD = re.compile(r"(?<![\w.\-])([A-Za-z_][A-Za-z0-9_.\-]*)" + _OP, re.ASCII)
+_OP = r"(?:[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\], |?&*]*?(?=[ \t]*=[^=]))?[ \t]*(===?|!==?|:=|=>|\?=|\+=|<-|=(?![~])|:(?![:/]))[ \t]*"
+HEAD = re.compile(r"(?<![\w.\-])-{0,2}([A-Za-z_][A-Za-z0-9_.\-]*)" + _OP, re.ASCII)
 #: A string that names something: a key, or the last subscript of a target.
 KEY_END = re.compile(r"(?:[ \t]*\])?" + _OP, re.ASCII)
 EVENT = re.compile(
     r"(?P<attribute>(?<![\w.\-])(?:key|name|id)[ \t]*=[ \t]*[\"']([^\"'\n]*)[\"']\s+value[ \t]*=[ \t]*([\"'])([^\"'\n]*)\3)"
     r"|(?P<head>" + HEAD.pattern + r")|(?P<string>" + _STRING + r")|(?P<element><([A-Za-z_][\w.:\-]*)(?:\s[^<>]*)?>([^<>]*)</\15\s*>)"
-    r"|(?P<call>(?<![\w.\-])([A-Za-z_][A-Za-z0-9_.\-]*)[ \t]*\((?=[ \t]*[\"']))|(?P<open>\{)|(?P<close>\})|(?P<line>\n[ \t]*)",
+    r"|(?P<call>(?<![\w.\-])([A-Za-z_][A-Za-z0-9_.\-]*)[ \t]*\((?=[ \t]*[\"']))|(?P<open>\{)|(?P<close>\})|(?P<line>\n[ \t]*)"
+    r"|(?P<spaced>(?<![\w.\-#])(?:#[ \t]*define|set|setenv)[ \t]+(?P<spaced_name>[A-Za-z_][\w.\-]*)[ \t]+(?=[\"']))",
     re.ASCII | re.DOTALL,
 )
+#: Names before the last one of several targets, up to the start of their line.
+TARGETS = re.compile(r"(?:^|\n|;|\b(?:let|var|const|local)\b)[ \t]*((?:[A-Za-z_][\w.]*[ \t]*,[ \t]*)+)$", re.ASCII)
+#: Indented lines after a sign that keeps or folds them.
+BLOCK = re.compile(r"[|>][+\-0-9]*[ \t]*\r?\n((?:[ \t]+[^\s][^\n]*(?:\n|$)|[ \t]*\r?\n)+)")
+#: A name in braces inside a formatted string.
+FORMATTED = re.compile(r"\{([A-Za-z_][\w.]*)(?:![rsa])?(?::[^{}]*)?\}", re.ASCII)
 BARE = re.compile(r"[^\s\"',;{}()\[\]+`]+")
 SETTER = re.compile(r"(?:^|[._\-])(?:set|with|put|add|use)(?=[A-Z_])|(?:^|[._\-])(?:set|put|add|define|insert|append)$")
-JOINED = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.\.|\|\||&|\.(?=\s))[ \t]*(?:\\?\r?\n[ \t]*)?")
+JOINED = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.\.|\|\||&|%(?=[ \t])|\.(?=\s))[ \t]*(?:\\?\r?\n[ \t]*)?")
 BLANKS = re.compile(r"(?:[ \t]|\\\r?\n)*")
 LEXED = re.compile(r"[=:<(]")
+SPOKEN = re.compile(r"define|set")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weight of a word of the target name.
 SENSITIVE = {
-    "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "bearer": 2, "credential": 2, "credentials": 2,
+    "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "mnemonic": 3, "secret": 3, "token": 3, "apikey": 3, "bearer": 2, "credential": 2, "credentials": 2,
     "pass": 2, "private": 1, "access": 1, "auth": 1, "key": 1, "api": 1, "signing": 1, "encryption": 1, "session": 1, "client": 1,
 }
+#: Names whose values may hold blanks; elsewhere blanks mean prose.
+SPACED = {"passphrase", "mnemonic"}
 PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|your[_-]|x{4,}|\*{3,}|^<.*>$|^\$\{|^\{\{|^(?:true|false|null|none|undefined)$", re.ASCII)
 #: Of those, the ones that may stand anywhere, and the ones that open a value of any length.
 INSIDE = re.compile(r"(?i)example|changeme|placeholder|your[_-]|x{4,}|\*{3,}", re.ASCII)
@@ -145,7 +157,7 @@ def score(name: str, literal: str | Profile) -> float:
     else:
         size, chars, placeholder = len(literal), literal, PLACEHOLDER.search(literal)
         bits = None
-    if size < 8 or " " in chars or placeholder:
+    if size < 8 or placeholder or (" " in chars and not SPACED.intersection(words)):
         return 0.0
     classes = sum(bool(re.search(c, chars)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return named + (size >= 16) + min(2.0, max(0.0, (entropy(literal) if bits is None else bits) - 2.0)) + 0.5 * (classes - 1)
@@ -201,6 +213,24 @@ class _Lexer:
             self.known[name] = len(self.out)
         self.out.append((name, value, parts))
 
+    def _block(self, name: str, a: int, b: int) -> int:
+        """Bind indented lines; those less indented than the first are no longer the block's."""
+        text, lines, at = self.text, [], a
+        first = None
+        while at < b:
+            stop = text.find("\n", at, b) + 1 or b
+            line = text[at:stop]
+            if line.strip():
+                indent = len(line) - len(line.lstrip(" \t"))
+                first = indent if first is None else first
+                if indent < first:
+                    break
+                lines.append((at + indent, at + len(line.rstrip())))
+            at = stop
+        if lines:
+            self.bind(name, _kept("".join(text[x:y] for x, y in lines)), [(lines[0][0], lines[-1][1])], False)
+        return at
+
     def _literal(self, name: str, a: int, b: int) -> None:
         self.bind(name, _kept(self.text[a:b]), [(a, b)] if b > a else [], False)
 
@@ -217,7 +247,19 @@ class _Lexer:
                 return
             kind, at = m.lastgroup, m.end()
             if kind == "head":
-                stack.append(_Side(m[6], m[7] not in _COMPARED and not inner))
+                side = _Side(m[6], m[7] not in _COMPARED and not inner)
+                block = BLOCK.match(text, at, end) if m[7] == ":" else None
+                if block:
+                    at = self._block(side.name, *block.span(1))
+                    continue
+                line = text.rfind("\n", 0, m.start()) + 1
+                several = TARGETS.search(text, line, m.start()) if text[line : m.start()].rstrip(" \t").endswith(",") else None
+                if several and m[7] in ("=", ":="):
+                    side.targets = [n.strip() for n in several[1].split(",")[:-1]][1:] + [side.name]
+                    side.name = several[1].split(",")[0].strip()
+                stack.append(side)
+            elif kind == "spaced":
+                stack.append(_Side(m["spaced_name"], not inner))
             elif kind == "string":
                 a, b = _inside(m, 8)
                 key = KEY_END.match(text, at, end)
@@ -298,6 +340,11 @@ class _Lexer:
         if joined:
             side.want = True
             return joined.end()
+        if c == "," and side.targets and not side.groups:
+            self._item(side)
+            side.name = side.targets.pop(0)
+            side.want = True
+            return at + 1
         if c == "," and side.groups:
             self._item(side)
             side.want = True
@@ -328,7 +375,14 @@ class _Lexer:
             if key:
                 stack.append(_Side(text[a:b], False))
                 return key.end()
-            side.add(_kept(text[a:b]), [(a, b)] if b > a else [])
+            names = FORMATTED.findall(text, a, b) if text[m.start()] in "fF" or text[m.start() + 1] in "fF" else []
+            constants = [self.known[n] for n in names if n in self.known] if not inner else []
+            for k in constants:
+                side.add(self.out[k][1], [k])
+            if text[a:b] in ("%s", "%r", "{}"):
+                side.add("", [])
+            elif not constants or FORMATTED.sub("", text[a:b]):
+                side.add(_kept(text[a:b]), [(a, b)] if b > a else [])
             if not inner and LEXED.search(text, a, b):
                 self.scan(a, b, True)
             return m.end()
@@ -384,6 +438,8 @@ class _Side:
         self.parts: Parts = []
         self.has, self.want = False, True
         self.groups: list[str] = []
+        #: Of several targets, those whose items are still to come.
+        self.targets: list[str] = []
 
     def add(self, value: str | Profile, parts: Parts) -> None:
         self.value = added(self.value, value)
@@ -409,7 +465,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of literals whose score reaches the limit."""
-    if not LEXED.search(text):
+    if not LEXED.search(text) and not SPOKEN.search(text):
         return []
     bound = bindings(text)
     found: set[tuple[int, int]] = set()
