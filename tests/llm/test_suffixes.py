@@ -50,19 +50,17 @@ def test_merge_orders_all_suffixes_and_finds_common_prefixes(seed):
     stock = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(6)]
     strings = [b"".join(rng.choice(stock) for _ in range(rng.randint(0, 4))) for _ in range(20)]
     cuts = sorted(rng.sample(range(1, 20), 3))
-    shards, base = [], 0
-    for a, b in zip([0, *cuts], [*cuts, 20], strict=True):
-        shards.append(suffixes.Shard(strings[a:b], base))
-        base += sum(len(s) + 2 for s in strings[a:b])
-    rounds = 20
-    rows, common, block = suffixes.merge(shards, rounds)
+    every = suffixes.Rows(strings)
+    shards = [suffixes.Shard(every, a, b) for a, b in zip([0, *cuts], [*cuts, 20], strict=True)]
+    rounds, base = 10, int(every.first[-1])
+    rows, common, block = suffixes.merge(shards, rounds, every.narrow and seed % 2 == 0)
     assert sorted(rows.tolist()) == list(range(base))
 
     symbols = []
     for s in strings:
-        padded = s + b"\0\0"
-        for i in range(len(s) + 2):
-            symbols.append(tuple(padded[j] << 8 | padded[j + 1] for j in range(i, len(s), 2)) + (-1,) if i < len(s) else (-1,))
+        padded = s + b"\0\0\0\0"
+        for i in range(len(s) + 4):
+            symbols.append((*(int.from_bytes(padded[j : j + 4], "big") for j in range(i, len(s), 4)), -1))
     ordered = [symbols[r] for r in rows.tolist()]
     heads = [s[:rounds] for s in ordered]
     assert heads == sorted(heads)

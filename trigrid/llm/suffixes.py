@@ -13,7 +13,7 @@ and each shard is sorted once. In order:
 3. *Merge.* Within a task whole groups come together as shards. Each shard's suffixes are sorted once and held
    as its transform. The transforms are merged by refining their interleave: round h orders all suffixes by their first h
    symbols from the order by h - 1, by one stable distribution of the symbols before them. A border
-   that first shows in round h is a common prefix of h - 1 symbols. Symbols are byte pairs, so 50 rounds order by the 100
+   that first shows in round h is a common prefix of h - 1 symbols. Symbols are four bytes, so 25 rounds order by the 100
    bytes that matter; what still shares a block then is a repeated interval, whose windows all go but the first.
 
 Decisions at 2 and 3 compare bytes; those at 1 take paths with equal 128-bit hashes for equal.
@@ -43,9 +43,9 @@ WINDOW = 100
 ANCHOR = 40
 #: Strings of a group that are merged in one task; larger groups are halved first.
 GROUP = 1024
-#: Bytes of a shard, whose suffixes are sorted on their own, and of what is merged at once.
-SHARD_BYTES = 1 << 17
-MERGE_BYTES = 1 << 20
+#: Bytes of a shard, whose suffixes are sorted on their own, and of what is merged at once (its arrays stay in a core's cache).
+SHARD_BYTES = 1 << 15
+MERGE_BYTES = 1 << 17
 #: Bits of a packed value that hold a place within a piece.
 _PLACE = 21
 
@@ -181,28 +181,49 @@ def _first_copies(strings: DataFrame, ws: Workspace, name: str) -> tuple[DataFra
     return later, judged.where("doc_id = source").select(*strings.columns)
 
 
+#: Bytes of a symbol. Every string has as many ends, so that each of its suffixes is some whole symbols and an end.
+SYMBOL = 4
+
+
+class Rows:
+    """All suffixes of some strings, a row each: string i of length n has rows ``first[i]`` to ``first[i + 1]``, for its suffixes 0 to n - 1 and
+    ``SYMBOL`` ends. ``symbol`` numbers the bytes that a row starts with (past a string's end: zeros) by rank from 1; ends have 0."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.lengths = np.array([len(s) for s in strings], dtype=np.int64)
+        size = self.lengths + SYMBOL
+        self.first = np.concatenate(([0], np.cumsum(size)))
+        n = int(self.first[-1])
+        text = np.frombuffer(b"".join(s + bytes(SYMBOL) for s in strings) + bytes(SYMBOL), dtype=np.uint8).astype(np.uint32)
+        value = text[:n].copy()
+        for k in range(1, SYMBOL):
+            value = value << np.uint32(8) | text[k : n + k]
+        self.place = np.arange(n) - np.repeat(self.first[:-1], size)
+        self.left = np.repeat(size, size) - self.place
+        inner = self.left > SYMBOL
+        self.symbol = np.zeros(n, dtype=np.int64)
+        found, rank = np.unique(value[inner], return_inverse=True)
+        self.symbol[inner] = rank + 1
+        #: Numbers up to 65,536 are dealt out by counting.
+        self.narrow = len(found) <= 1 << 16
+
+
 class Shard:
-    """The transform of some strings: suffixes sorted once, and the symbol before each. Every string of length n has rows for its
-    suffixes 0 to n + 1; the last two are ends. Symbols are byte pairs, so a row's predecessor is two bytes before."""
-
-    def __init__(self, strings: list[bytes], base: int) -> None:
-        size = np.array([len(s) + 2 for s in strings], dtype=np.int64)
-        first = np.concatenate(([0], np.cumsum(size)))
-        n = int(first[-1])
-        text = np.frombuffer(b"".join(s + b"\0\0" for s in strings) + b"\0\0", dtype=np.uint8).astype(np.int32)
-        place = np.arange(n) - np.repeat(first[:-1], size)
-        left = np.repeat(size, size) - place
-        symbol = np.where(left > 2, (text[:n] << 8 | text[1 : n + 1]) + 1, 0)
-        order = self._sort(symbol.astype(np.int64), left)
-        self.rows = order + base
-        self.before = np.full(n, -1, dtype=np.int32)
-        inner = place[order] >= 2
-        self.before[inner] = symbol[order[inner] - 2]
-        self.ends = 2 * len(strings)
+    """The transform of some consecutive strings: their suffixes sorted once, and the symbol before each (-1: there is none)."""
+
+    def __init__(self, rows: Rows, a: int, b: int) -> None:
+        lo, hi = int(rows.first[a]), int(rows.first[b])
+        symbol, left = rows.symbol[lo:hi], rows.left[lo:hi]
+        order = self._sort(symbol, left)
+        self.rows = order + lo
+        inner = rows.place[self.rows] >= SYMBOL
+        self.before = np.full(hi - lo, -1, dtype=np.int32)
+        self.before[inner] = symbol[order[inner] - SYMBOL] - 1
+        self.ends = SYMBOL * (b - a)
 
     @staticmethod
     def _sort(symbol: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Prefix doubling from three symbols on; ties are equal suffixes and keep the order of rows."""
+        """Prefix doubling; ties are equal suffixes and keep the order of rows."""
         n = len(symbol)
         rows = np.arange(n)
 
@@ -212,7 +233,7 @@ class Shard:
             out[ok] = values[rows[ok] + by]
             return out
 
-        key, depth = (symbol << 34) | (shifted(symbol, 2) << 17) | shifted(symbol, 4), 6
+        key, depth = symbol << 32 | shifted(symbol, SYMBOL), 2 * SYMBOL
         while True:
             order = np.argsort(key, kind="stable")
             new = np.concatenate(([1], key[order[1:]] != key[order[:-1]]))
@@ -220,40 +241,42 @@ class Shard:
                 return order
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(new)
-            key = rank * (n + 1) + shifted(rank, depth)
+            key = rank << 32 | shifted(rank, depth)
             depth *= 2
 
 
-def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: list[Shard], rounds: int, narrow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of all shards in one order by their first ``rounds`` symbols, the number of symbols each shares with the one before
     (``rounds``: at least so many), and the block of rows that share all ``rounds``."""
     before = np.concatenate([s.before for s in shards])
     rows = np.concatenate([s.rows for s in shards])
+    kind = np.uint8 if len(shards) <= 256 else np.uint16
     # Each shard's suffixes in turn, all in one block: the interleave by no symbols.
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.rows) for s in shards])
-    ended = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.ends for s in shards])
+    source = np.repeat(np.arange(len(shards), dtype=kind), [len(s.rows) for s in shards])
+    ended = np.repeat(np.arange(len(shards), dtype=kind), [s.ends for s in shards])
     n, ends = len(rows), len(ended)
     common = np.full(n, rounds, dtype=np.int32)
+    common[0] = 0
     border = np.zeros(n, dtype=bool)
     border[0] = True
-    common[0] = 0
     symbol = np.empty(n, dtype=np.int32)
     for h in range(1, rounds + 1):
         block = np.cumsum(border, dtype=np.int32)
         symbol[np.argsort(source, kind="stable")] = before
         inner = np.flatnonzero(symbol >= 0)
-        inner = inner[np.argsort((symbol[inner] - 1).astype(np.uint16), kind="stable")]
-        s, b = symbol[inner], block[inner]
+        dealt = symbol[inner]
+        order = np.argsort(dealt.astype(np.uint16) if narrow else dealt, kind="stable")
+        inner, dealt = inner[order], dealt[order]
+        block = block[inner]
         now = np.zeros(n, dtype=bool)
-        now[0] = True
-        now[ends : ends + 1] = True
-        now[ends + 1 :] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
+        now[0] = now[min(ends, n - 1)] = True
+        np.logical_or(dealt[1:] != dealt[:-1], block[1:] != block[:-1], out=now[ends + 1 :])
         source = np.concatenate((ended, source[inner]))
-        common[now & ~border] = h - 1
-        settled = np.array_equal(now, border)
-        border = now
-        if settled:
+        fresh = np.flatnonzero(now != border)
+        if not len(fresh):
             break
+        common[fresh] = h - 1
+        border = now
     at = np.empty(n, dtype=np.int64)
     at[np.argsort(source, kind="stable")] = rows
     return at, common, np.cumsum(border)
@@ -261,21 +284,14 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def repeated_windows(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that share a repeated interval with another: string, offset and interval."""
-    shards, part, size, base = [], [], 0, 0
-    for s in strings:
-        part.append(s)
-        size += len(s) + 2
-        if size >= SHARD_BYTES:
-            shards.append(Shard(part, base))
-            part, base, size = [], base + size, 0
-    if part:
-        shards.append(Shard(part, base))
-    rows, _, block = merge(shards, window // 2)
-    lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    first = np.concatenate(([0], np.cumsum(lengths + 2)))
-    owner = np.searchsorted(first, rows, side="right") - 1
-    offset = rows - first[owner]
-    full = offset + window <= lengths[owner]
+    every = Rows(strings)
+    # Shards end where their bytes first exceed a multiple of SHARD_BYTES.
+    share = (every.first[1:] - 1) // SHARD_BYTES
+    cuts = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), len(strings)]
+    rows, _, block = merge([Shard(every, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], window // SYMBOL, every.narrow)
+    owner = np.searchsorted(every.first, rows, side="right") - 1
+    offset = rows - every.first[owner]
+    full = offset + window <= every.lengths[owner]
     owner, offset, block = owner[full], offset[full], block[full]
     times = np.bincount(block)
     twice = times[block] > 1 if len(block) else np.zeros(0, dtype=bool)
@@ -338,9 +354,10 @@ def _kept(batch: pa.RecordBatch, texts: bool) -> dict:
 
 def remove_repeated_bytes(docs: DataFrame, ws: Workspace, window: int = WINDOW, anchor: int = ANCHOR, group: int = GROUP, texts: bool = False) -> DataFrame:
     """One row per document: counts and digest of the bytes left; with ``texts`` those bytes and the removed ranges too.
-    ``window`` is even (symbols are byte pairs)."""
-    if window % 2 or not 8 <= anchor < window:
-        raise ValueError("the window must be even and longer than the anchor")
+    ``window`` is a multiple of four (a symbol's bytes)."""
+    if window % SYMBOL or not 8 <= anchor < window:
+        raise ValueError("the window must be a multiple of four and longer than the anchor")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = keyed_texts(docs)
     known = docs.where("doc_id IS NOT NULL")
     span = ["doc_id", "row_key", "lo", "cast(lo + length(bytes) AS int) AS hi"]
@@ -378,7 +395,7 @@ def remove_repeated_bytes(docs: DataFrame, ws: Workspace, window: int = WINDOW,
     strings = small[0]
     for more in small[1:]:
         strings = strings.unionByName(more)
-    strings = strings.select("key", "doc_id", "row_key", "lo", "bytes").repartition("key").sortWithinPartitions("key")
+    strings = strings.select("key", "doc_id", "row_key", "lo", "bytes").repartition(tasks, "key").sortWithinPartitions("key")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401  (bound as pa.compute on the executors too)
