@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trigrid import graph, partition, primitives, queries, triangles
 
 SMALL = "/root/testdata/sf0.001"
-STRATEGIES = ("hash", "oriented", "intersect", "edge_iterator", "grid", "sharded")
+STRATEGIES = ("hash", "oriented", "intersect", "bitmap", "edge_iterator", "grid", "sharded")
 
 
 def frame(spark, edges):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import random
@@ -38,39 +39,65 @@ def brute(edges):
 def test_closing_several_jobs_at_once(seed, monkeypatch):
     monkeypatch.setattr(multiway, "PROBES", 37)
     rng = random.Random(seed)
-    rows, want = [], []
+    rows, want = [], collections.Counter()
     for job in range(4):
-        parts = [sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(60))}) for _ in range(3)]
-        rows += [(job, role, a, b) for role, edges in enumerate(parts) for a, b in edges]
-        zero, one, two = map(set, parts)
-        want.append(sum((v, w) in one and (u, w) in zero for v, u in two for w in range(12)))
-    job, role, src, dst = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
-    names, number = np.unique(job, return_inverse=True)
-    got = dict(zip(names.tolist(), multiway.close(number, role, src, dst).tolist(), strict=True))
-    assert [got.get(j, 0) for j in range(4)] == want
-
-
-def test_jobs_that_span_batches():
-    rows = [(7, r, a, b) for r, edges in ((0, [(2, 3)]), (1, [(1, 3)]), (2, [(1, 2)])) for a, b in edges] + [(9, 0, 5, 6), (9, 1, 4, 6), (9, 2, 4, 5)]
-    columns = ("job", "role", "src", "dst")
-    batches = [pa.RecordBatch.from_pydict({c: pa.array([r[i]]) for i, c in enumerate(columns)}) for r in rows]
+        parts = [{(rng.randrange(12), rng.randrange(12)): rng.randrange(3) * 10 for _ in range(rng.randrange(60))} for _ in range(3)]
+        rows += [(job, role, a, b, edges[a, b]) for role, edges in enumerate(parts) for a, b in sorted(edges)]
+        zero, one, two = parts
+        want.update((zero[u, w], one[v, w], two[v, u]) for v, u in two for w in range(12) if (v, w) in one and (u, w) in zero)
+    columns = [np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)]
+    number = np.unique(columns[0], return_inverse=True)[1]
+    assert multiway.close(number, *columns[1:]) == want
+
+
+@pytest.mark.parametrize("job_edges", [1, 3, 4, 100])
+@pytest.mark.parametrize("rows_a_batch", [1, 2, 5])
+def test_jobs_that_span_batches(monkeypatch, job_edges, rows_a_batch):
+    monkeypatch.setattr(multiway, "JOB_EDGES", job_edges)
+    triangle = lambda j: [(j, 0, 2, 3, j), (j, 1, 1, 3, j), (j, 2, 1, 2, j)]
+    rows = [r for j in (7, 9, 10, 14) for r in triangle(j)]
+    columns = ("job", "role", "src", "dst", "label")
+    batches = [pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows[k : k + rows_a_batch]]) for i, c in enumerate(columns)}) for k in range(0, len(rows), rows_a_batch)]
     got = [tuple(x.values()) for b in multiway._counted(batches) for x in b.to_pylist()]
-    assert got == [(7, 1), (9, 1)]
+    assert got == [(j, j, j, 1) for j in (7, 9, 10, 14)]
+
+
+@pytest.mark.parametrize("job_edges", [5, 40, 10_000])
+def test_boxes_hold_each_triangle_once(spark, job_edges):
+    edges = random_edges(job_edges, 90, 500, hub=3)
+    ws = Workspace(spark)
+    e = ws.keep(frame(spark, edges).withColumn("label", F.expr("src % 3 * 10 + dst % 3")), "e")
+    label = lambda a, b: a % 3 * 10 + b % 3
+    want = collections.Counter((label(b, c), label(a, c), label(a, b)) for a, b, c in brute(edges))
+    got = {(r.l0, r.l1, r.l2): r.triangles for r in multiway.by_boxes(e, ws, job_edges).collect()}
+    assert got == want and sum(want.values()) > 100
 
 
 @pytest.mark.parametrize(("limit", "width", "least"), [(10, 16, 0), (40, 64, 0), (40, 64, 3), (5, 7, 0), (10_000, 1 << 24, 0)])
-def test_boxes_of_shards_hold_each_triangle_once(spark, limit, width, least):
+def test_shards_fit_their_limit(spark, limit, width, least):
     edges = random_edges(limit, 90, 500, hub=3)
     levels = (width - 1).bit_length()
-    ws = Workspace(spark)
-    e = ws.keep(frame(spark, edges), "e")
-    shards = partition.split(e, limit, levels, width, least)
+    shards = partition.split(frame(spark, edges), limit, levels, width, least)
     if least:
         assert shards.where(F.col("depth") < least).count() == 0
     assert shards.where((F.col("edges") > limit) & (F.col("depth") < levels)).count() == 0
     assert shards.agg(F.sum("edges")).first()[0] == len(edges)
-    counted = multiway.by_shards(e, shards, levels, width, ws)
-    assert (counted.agg(F.sum("triangles")).first()[0] or 0) == len(brute(edges))
+    if width & (width - 1) == 0:
+        counted = triangles.per_job(frame(spark, edges), shards, width)
+        assert counted.agg(F.sum("triangles")).first()[0] == len(brute(edges))
+
+
+@pytest.mark.parametrize("size", [7, 100, 10_000])
+def test_slices(spark, size):
+    edges = random_edges(size, 60, 400)
+    counted = triangles.per_slice_triple(frame(spark, edges), size, 16)
+    grids, place = {}, {}
+    for a, b in edges:
+        grids.setdefault((a // 16, b // 16), []).append((a, b))
+    for (gr, gc), own in grids.items():
+        place |= {e: (gr, gc, k // size) for k, e in enumerate(sorted(own))}
+    want = collections.Counter((place[b, c], place[a, c], place[a, b]) for a, b, c in brute(edges))
+    assert {(tuple(r.g0), tuple(r.g1), tuple(r.g2)): r.triangles for r in counted.collect()} == want
 
 
 @pytest.mark.parametrize("k", [1, 2, 5])
@@ -83,7 +110,7 @@ def test_shares(spark, k):
 
 @pytest.mark.parametrize("strategy", ["bitmap", "edge_iterator", "grid", "sharded", "hash"])
 def test_strategies_on_dense_and_wide_ids(spark, strategy):
-    dense = list(itertools.combinations(range(150), 2))
+    dense = list(itertools.combinations(range(4000, 4150), 2))
     shift = [(a * 5000 + 10**9, b * 5000 + 10**9) for a, b in itertools.combinations(range(12), 2)] + [(10**9, 70)]
     for edges, want in ((dense, math.comb(150, 3)), (shift, math.comb(12, 3))):
         options = {"width": 64, "depth": 2} if strategy in ("grid", "sharded") else {}
@@ -123,7 +150,7 @@ def test_plans_move_edges_not_wedges(spark):
     ws = Workspace(spark)
     e = ws.keep(graph.normalize(frame(spark, edges)), "e")
     boxes = spark.createDataFrame([(0, 0, 0, 0, 99, 0, 99)], "id long, job long, role int, s0 long, s1 long, d0 long, d1 long")
-    dealt = e.withColumn("id", F.lit(0).cast("long")).join(boxes, "id").where("src >= s0 AND src < s1 AND dst >= d0 AND dst < d1")
+    dealt = e.withColumns({"id": F.lit(0).cast("long"), "label": F.lit(0).cast("long")}).join(boxes, "id").where("src >= s0 AND src < s1 AND dst >= d0 AND dst < d1")
     plan = multiway.count_jobs(dealt)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") <= 2 and "hashpartitioning(job" in plan
 

@@ -454,9 +454,9 @@ def copy_scan(spark, sf_dir):
     return scans.carried(marked, "r", ["k", "i", "v", "f"], Workspace(spark), "runs", "last_returned").select("k", "i", "v", "last_returned")
 
 
-@query(f"WITH {L_SQL} SELECT k, i, v, f, row_number() OVER (ORDER BY v DESC, k DESC, i DESC) - 1 AS position FROM l")
+@query(f"WITH {L_SQL} SELECT k, i, v, f, row_number() OVER (ORDER BY v DESC, k DESC, i DESC, f DESC) - 1 AS position FROM l")
 def device_sort_descending(spark, sf_dir):
-    return primitives.segmented_sort(_lines(spark, sf_dir), ["v", "k", "i"], [], descending=True).select("k", "i", "v", "f", "position")
+    return primitives.segmented_sort(_lines(spark, sf_dir), ["v", "k", "i", "f"], [], descending=True).select("k", "i", "v", "f", "position")
 
 
 @query(f"""WITH {L_SQL}, m AS (SELECT *, CASE WHEN lag(f) OVER w = f THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (ORDER BY k, i, v, f)),

@@ -10,12 +10,12 @@ jobs (:mod:`trigrid.multiway`). Tables that a strategy writes to the shared fold
 ``intersect``           neighbour arrays of both ends of an edge, intersected
 ``bitmap``              neighbours as two-level bit arrays, combined word by word
 ``edge_iterator``       jobs of vertex shares; the shorter neighbour list of an edge probes the longer one
-``grid``, ``sharded``   jobs of grids, or of quadtree shards from a depth on
+``grid``, ``sharded``   jobs of boxes of the matrix, counted by grid triples, or by shard triples at a depth
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, multiway, partition
@@ -95,7 +95,7 @@ def _common_bits(e: DataFrame) -> DataFrame:
     mine = blocks.select("src", "block", F.col("summary").alias("sa"), F.col("words").alias("wa"), F.col("ks").alias("ka"))
     theirs = blocks.select(F.col("src").alias("dst"), "block", F.col("summary").alias("sb"), F.col("words").alias("wb"))
     met = e.join(mine, "src").join(theirs, ["dst", "block"]).where("(sa & sb) <> 0")
-    below = "bit_count(sb & (shiftleft(1L, k) - 1))"
+    below = "bit_count(sb & ~shiftleft(-1L, k))"
     both = f"zip_with(ka, wa, (k, a) -> CASE WHEN shiftright(sb, k) & 1 = 1 THEN bit_count(a & get(wb, {below})) ELSE 0 END)"
     return met.select(F.expr(f"aggregate({both}, 0L, (n, x) -> n + x)").alias("n"))
 
@@ -123,43 +123,66 @@ def count(e: DataFrame, strategy: str = "oriented", width: int = partition.WIDTH
     return out
 
 
-def _in_jobs(e: DataFrame, levels: int, width: int, least: int = 0, limit: int = multiway.JOB_EDGES) -> DataFrame:
-    """Counts by jobs of quadtree shards of at most ``limit`` edges, ``least`` deep or more."""
-    ws = Workspace(e.sparkSession)
-    kept = ws.keep(graph.normalize(e), "edges")
-    out = multiway.by_shards(kept, partition.split(kept, limit, levels, width, least), levels, width, ws)
+def _by_label(e: DataFrame, label: Column, ws: Workspace) -> DataFrame:
+    """Counts by the labels of the three edges, found in jobs."""
+    kept = ws.keep(graph.normalize(e).withColumn("label", label), "edges")
+    out = multiway.by_boxes(kept, ws)
     ws.drop("edges")
     return out
 
 
+def _pair(row: str, col: str) -> Column:
+    """Two block numbers as one label."""
+    return F.expr(f"shiftleft({row}, 31) | ({col})")
+
+
+_ROW, _COL = "shiftright({0}, 31)", f"{{0}} & {(1 << 31) - 1}"
+
+
 def per_grid_triple(e: DataFrame, width: int = partition.WIDTH) -> DataFrame:
-    """Triangles by the grid triple of their edges: i (middle vertex), grid_row, grid_col. Grids with too many edges for a
-    job are halved."""
-    t = _in_jobs(e, (width - 1).bit_length(), width)
-    return t.groupBy(F.col("g2.gc").alias("i"), F.col("g1.gr").alias("grid_row"), F.col("g1.gc").alias("grid_col")).agg(F.sum("triangles").alias("triangles"))
+    """Triangles by the grid triple of their edges: i (middle vertex), grid_row, grid_col."""
+    t = _by_label(e, _pair(f"src div {width}", f"dst div {width}"), Workspace(e.sparkSession))
+    return t.selectExpr(f"{_ROW.format('l0')} AS i", f"{_ROW.format('l1')} AS grid_row", f"{_COL.format('l1')} AS grid_col", "triangles")
 
 
 def per_shard_triple(e: DataFrame, depth: int, width: int = partition.WIDTH) -> DataFrame:
     """Triangles by the shards of v, u and w at one depth (v_shard, u_shard, w_shard are global shard
     positions along an axis)."""
-    levels = partition.levels_of(width)
-    side = max(1, width >> depth)
-    labels = [F.expr(f"{x}_from div {side}").alias(f"{x}_shard") for x in ("v", "u", "w")]
-    return _in_jobs(e, levels, width, min(depth, levels)).groupBy(*labels).agg(F.sum("triangles").alias("triangles"))
+    t = per_grid_triple(e, max(1, width >> depth))
+    return t.select(F.col("grid_row").alias("v_shard"), F.col("i").alias("u_shard"), F.col("grid_col").alias("w_shard"), "triangles")
+
+
+def _named(counts: DataFrame, names: DataFrame) -> DataFrame:
+    """g0, g1, g2 in place of their labels; ``names`` has a row (label, s) for each."""
+    for r in range(3):
+        counts = counts.join(names.select(F.col("label").alias(f"l{r}"), F.col("s").alias(f"g{r}")), f"l{r}")
+    return counts.select("g0", "g1", "g2", "triangles")
 
 
 def per_job(e: DataFrame, shards: DataFrame, width: int = partition.WIDTH) -> DataFrame:
-    """Triangles of each surviving shard triple of a catalogue with mixed depths (g0, g1, g2 structs), counted inside it."""
+    """Triangles of each surviving shard triple of a catalogue with mixed depths (g0, g1, g2 structs)."""
     ws = Workspace(e.sparkSession)
-    kept = ws.keep(graph.normalize(e), "edges")
-    out = multiway.by_shards(kept, shards, partition.levels_of(width), width, ws).select("g0", "g1", "g2", "triangles")
-    ws.drop("edges")
+    key = ["gr", "gc", "depth", "sr", "sc"]
+    shards = ws.keep(shards.select(*key, F.monotonically_increasing_id().alias("label")), "shards")
+    kept = ws.keep(graph.normalize(e), "normalised")
+    labelled = ws.keep(partition.with_leaf(kept, shards, width, extra=("label",)).select("src", "dst", "label"), "labelled")
+    counts = multiway.by_boxes(labelled, ws)
+    out = ws.keep(_named(counts, shards.select("label", F.struct(*key).alias("s"))), "counts")
+    ws.drop("normalised", "labelled", "shards", "job-results")
     return out
 
 
 def per_slice_triple(e: DataFrame, size: int, width: int = partition.WIDTH) -> DataFrame:
-    """Triangles of each triple of linear slices (g0, g1, g2 structs of gr, gc, slice), counted inside it."""
-    return multiway.by_slices(graph.normalize(e), size, width, Workspace(e.sparkSession))
+    """Triangles of each triple of linear slices (g0, g1, g2 structs of gr, gc, slice)."""
+    ws = Workspace(e.sparkSession)
+    placed = ws.keep(partition.with_slice(graph.normalize(e), size, width), "sliced")
+    key = ["gr", "gc", "slice"]
+    slices = ws.keep(placed.select(*key).distinct().withColumn("label", F.monotonically_increasing_id()), "slices")
+    labelled = ws.keep(placed.join(slices, key).select("src", "dst", "label"), "labelled")
+    counts = multiway.by_boxes(labelled, ws)
+    out = ws.keep(_named(counts, slices.select("label", F.struct(*key).alias("s"))), "counts")
+    ws.drop("sliced", "labelled", "slices", "job-results")
+    return out
 
 
 def transitive_triads(e: DataFrame) -> DataFrame:
