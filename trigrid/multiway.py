@@ -28,7 +28,7 @@ from . import partition
 from .storage import Workspace
 
 #: Edges of a job that a task is meant to hold.
-JOB_EDGES = 1 << 19
+JOB_EDGES = 1 << 18
 #: Neighbours that probe at a time.
 PROBES = 1 << 20
 RESULT = "l0 long, l1 long, l2 long, triangles long"
@@ -124,10 +124,15 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(held)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def count_jobs(dealt: DataFrame) -> DataFrame:
     """(l0, l1, l2, triangles), several rows for labels that several tasks meet, from edges dealt to jobs: job, role (int), src, dst,
     label, each edge once a job and role."""
-    rows = dealt.select("job", "role", "src", "dst", "label").repartition("job").sortWithinPartitions("job", "role", "src", "dst")
+    # A set number of tasks: closing takes time, not bytes.
+    rows = dealt.select("job", "role", "src", "dst", "label").repartition(_tasks(dealt), "job").sortWithinPartitions("job", "role", "src", "dst")
     return rows.mapInArrow(_counted, RESULT)
 
 
@@ -150,7 +155,7 @@ def by_boxes(e: DataFrame, ws: Workspace, job_edges: int = JOB_EDGES) -> DataFra
     v, w, u = shared(span("g1", "sr"), span("g2", "sr")), shared(span("g1", "sc"), span("g0", "sc")), shared(span("g0", "sr"), span("g2", "sc"))
     roles = [f"struct({r} AS role, g{r}.id AS id, {s[0]} AS s0, {s[1]} AS s1, {d[0]} AS d0, {d[1]} AS d1)" for r, s, d in ((0, u, w), (1, v, w), (2, v, u))]
     boxes = ws.keep(jobs.selectExpr("job", f"explode(array({', '.join(roles)})) AS x").select("job", "x.*"), "job-boxes")
-    placed = ws.keep(partition.with_leaf(e, shards, 1 << levels, levels, ("id",)).select("src", "dst", "label", "id"), "job-edges")
+    placed = ws.keep(partition.with_leaf(e, shards, 1 << levels, levels, ("id",)).select("src", "dst", "label", "id").repartition(_tasks(e), "src"), "job-edges")
     dealt = placed.join(boxes, "id").where("src >= s0 AND src < s1 AND dst >= d0 AND dst < d1")
     counts = count_jobs(dealt).groupBy("l0", "l1", "l2").agg(F.sum("triangles").alias("triangles"))
     out = ws.keep(counts, "job-results")

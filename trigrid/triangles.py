@@ -45,7 +45,9 @@ def pointed(e: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """Simple edges from the lower to the higher degree, written as ``pointed``; ``e`` is read once."""
     ws = ws or Workspace(e.sparkSession)
     kept = ws.keep(graph.normalize(e), "edges")
-    out = ws.keep(graph.orient_by_degree(kept, simple=True), "pointed")
+    # A set number of tasks: edges are few bytes, but the wedges made of them are many rows.
+    tasks = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = ws.keep(graph.orient_by_degree(kept, simple=True).repartition(tasks, "src"), "pointed")
     ws.drop("edges")
     return out
 
