@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
-from trigrid import graph, partition
+from trigrid import closing, graph, partition, triangles
 from trigrid.storage import Workspace
 
 
@@ -32,6 +35,35 @@ def test_grids_that_fit_are_not_counted_in_cells(spark, monkeypatch):
     seen = []
     keep = Workspace.keep
     monkeypatch.setattr(Workspace, "keep", lambda self, df, name, *a: (seen.append(name), keep(self, df, name, *a))[1])
-    shards = partition.quadtree(frame(spark, edges), 20, 256)
+    shards = partition.quadtree(frame(spark, edges), 60, 256)
     assert [n for n in seen if n.startswith("cells-")] == ["cells-0"]
     assert shards.agg(F.sum("edges")).first()[0] == len(edges)
+
+
+@pytest.mark.parametrize("strategy", ["oriented", "hash", "bitmap", "grid"])
+def test_counts_move_lists_not_wedges(spark, strategy, monkeypatch):
+    """A wheel of hubs has far more wedges than edges; rows dealt to jobs are lists, a few for each vertex."""
+    edges = [(100 + v, h) for v in range(200) for h in range(40)] + [(a, b) for a in range(40) for b in range(a)]
+    rows = []
+    deal = closing.deal
+    monkeypatch.setattr(closing, "deal", lambda *a, **k: (out := deal(*a, **k), rows.append(out.count()))[0])
+    assert triangles.count(frame(spark, edges), strategy, width=16).first()[0] == 200 * 780 + 9880
+    p, q = closing.shape(len(edges), spark.sparkContext.defaultParallelism)
+    assert rows[0] <= 240 * (p + q)
+
+
+@pytest.mark.parametrize("probe", ["sorted", "hash", "bits"])
+def test_ways_to_look_up_agree(spark, probe, monkeypatch):
+    monkeypatch.setattr(closing, "PROBES", 50)
+    rng = random.Random(9)
+    edges = sorted({tuple(sorted((rng.randrange(3000) ** 2 * 5, rng.randrange(3000) ** 2 * 5), reverse=True)) for _ in range(40_000)} | {(a * 5, b * 5) for a in range(60) for b in range(a)})
+    edges = [(a, b) for a, b in edges if a != b]
+    have, out = set(edges), {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    want = sum((b, c) in have for own in out.values() for b in own for c in own if c < b)
+    rows = [(a, np.array(sorted(x))) for a, x in out.items()]
+    whole = (np.array([a for a, _ in rows]), np.array([len(x) for _, x in rows]), np.concatenate([x for _, x in rows]), None)
+    held = closing._Held([whole], probe)
+    assert held.probe == probe and want > 30_000
+    assert sum(len(f[0]) for f in closing._paired(held, whole, False)) == want
