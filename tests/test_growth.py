@@ -67,3 +67,18 @@ def test_ways_to_look_up_agree(spark, probe, monkeypatch):
     held = closing._Held([whole], probe)
     assert held.probe == probe and want > 30_000
     assert sum(len(f[0]) for f in closing._paired(held, whole, False)) == want
+
+
+def test_job_triples_are_not_written(spark, monkeypatch):
+    """As many triples as the cube of the side stream out of the tasks; what is written or dealt is cells."""
+    seen = []
+    keep = Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df, name, *a: (seen.append(name), keep(self, df, name, *a))[1])
+    cells = [(a, b) for a in range(30) for b in range(a + 1) if (a * b) % 5 != 1]
+    shards = spark.createDataFrame([(a >> 2, b >> 2, 2, a & 3, b & 3) for a, b in cells], "gr long, gc long, depth int, sr long, sc long")
+    have = set(cells)
+    want = {(a, b, c) for a, b in cells for c in range(b + 1) if (a, c) in have and (b, c) in have}
+    at = lambda g, s: g * 4 + s
+    got = [(at(r.g1.gr, r.g1.sr), at(r.g0.gr, r.g0.sr), at(r.g0.gc, r.g0.sc)) for r in partition.shard_jobs(shards).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "triples" not in seen and "pairs" not in seen
