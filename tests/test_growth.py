@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from trigrid import closing, graph, partition, triangles
+from trigrid import closing, formats, graph, partition, triangles
 from trigrid.storage import Workspace
 
 
@@ -82,3 +82,27 @@ def test_job_triples_are_not_written(spark, monkeypatch):
     got = [(at(r.g1.gr, r.g1.sr), at(r.g0.gr, r.g0.sr), at(r.g0.gc, r.g0.sc)) for r in partition.shard_jobs(shards).collect()]
     assert len(got) == len(want) and set(got) == want
     assert "triples" not in seen and "pairs" not in seen
+
+
+def test_many_slices_are_encoded_at_once():
+    rng = random.Random(2)
+    slices = [sorted({(rng.randrange(5), rng.randrange(9)) for _ in range(rng.randrange(1, 12))}) for _ in range(40)]
+    r, c = (np.array([e[i] for s in slices for e in s]) for i in (0, 1))
+    start = np.cumsum([0, *map(len, slices)])[:-1]
+    made = formats._compressed_slices(r, c, start)
+    for k, own in enumerate(slices):
+        want = formats._compressed(*(np.array([e[i] for e in own]) for i in (0, 1)))
+        for x, (numbers, counts) in made.items():
+            at = int(counts[:k].sum())
+            assert numbers[at : at + counts[k]].tolist() == want[x].tolist()
+    assert [len(b) // 4 for b in formats._contents(*made["row"]).to_pylist()] == made["row"][1].tolist()
+
+
+def test_metadata_goes_in_documents_of_bounded_length(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(formats, "DOCUMENT_GRIDS", 10, raising=False)
+    edges = [(a, b) for a in range(25) for b in range(a)]
+    formats.write_metadata(formats.metadata(frame(spark, edges), "sample", 2), str(tmp_path / "meta"))
+    rows = formats.read_metadata(spark, str(tmp_path / "meta")).collect()
+    assert len(rows) > 3 and max(len(r.grid) for r in rows) < 40
+    assert {(r.dataname, r.info["count"]["row"], r.info.max_vid) for r in rows} == {("sample", 13, 24)}
+    assert sorted(g.name for r in rows for g in r.grid) == sorted({f"{a // 2}-{b // 2}" for a, b in edges})

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ FILE_EDGES = 4_000_000
 #: Rows handed on at a time.
 ROWS = 200_000
 RELABEL_BLOCK = 4_000_000
+#: Grids of a part of the metadata document, about.
+DOCUMENT_GRIDS = 100_000
 #: The stem of a further part of a grid.
 _PART = r"^(\d+-\d+),\d+$"
 _PLACES = 256 ** np.arange(5, -1, -1, dtype=np.int64)
@@ -89,6 +92,43 @@ def _decoded(table: DataFrame, decode: Callable[..., Iterator[dict]], schema: st
     return table.mapInArrow(run, schema)
 
 
+def _joined(column: pa.Array, kind: str, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all files of a batch one after another, and how many each has."""
+    column = column.cast(pa.large_binary())
+    size = np.dtype(kind).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    lengths = np.diff(offsets)
+    if (bad := np.flatnonzero(lengths % size)).size:
+        raise ValueError(f"{names[int(bad[0])].as_py()} is cut off")
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(whole.tobytes(), kind).astype(np.int64), lengths // size
+
+
+def _contents(numbers: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Files of little-endian 32-bit numbers from those of all files one after another."""
+    offsets = np.concatenate(([0], np.cumsum(counts * 4))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(numbers.astype("<u4").tobytes())]).cast(pa.binary())
+
+
+def _by_batch(table: DataFrame, decode: Callable[[pa.RecordBatch], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """Rows of all files of a batch at once: many small files cost no more than a few large ones."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # By parts of bounded bytes: a batch may hold large files.
+            total = np.cumsum(sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns if pa.types.is_binary(c.type)))
+            at = 0
+            while at < batch.num_rows:
+                done = total[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(total, done + (64 << 20), side="right")))
+                for columns in in_rows(decode(batch.slice(at, end - at))):
+                    yield pa.RecordBatch.from_pydict(columns)
+                at = end
+
+    return table.mapInArrow(run, schema)
+
+
 def in_rows(columns: dict[str, np.ndarray]) -> Iterator[dict]:
     n = len(next(iter(columns.values())))
     for at in range(0, n, ROWS):
@@ -181,53 +221,68 @@ def read_el32(table: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     named = table.withColumn("stem", F.regexp_replace("name", r"\.el32(\.sorted)?$", "")).where("stem <> name")
     parsed = partition.parse_shard_name(named.withColumn("stem", F.regexp_replace("stem", _PART, "$1"))).select("name", "content", "gr", "gc")
 
-    def decode(name: str, content: bytes, gr: int, gc: int) -> Iterator[dict]:
-        pairs = _longs(content, "<u4", name)
-        if len(pairs) % 2:
-            raise ValueError(f"{name} is cut off")
-        return in_rows({"src": pairs[0::2] + gr * width, "dst": pairs[1::2] + gc * width})
+    def decode(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        pairs, counts = _joined(batch.column("content"), "<u4", batch.column("name"))
+        if (bad := np.flatnonzero(counts % 2)).size:
+            raise ValueError(f"{batch.column('name')[int(bad[0])].as_py()} is cut off")
+        gr, gc = (np.repeat(batch.column(c).to_numpy(), counts // 2) for c in ("gr", "gc"))
+        return {"src": pairs[0::2] + gr * width, "dst": pairs[1::2] + gc * width}
+
+    return _by_batch(parsed, decode, "src long, dst long")
+
 
-    return _decoded(parsed, decode, "src long, dst long")
+Slices = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
-def _by_slice(e: DataFrame, width: int, encode: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+def _by_slice(e: DataFrame, width: int, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], Slices]) -> DataFrame:
     """Files of each slice of ``FILE_EDGES`` edges of each grid: its first slice has the grid's name, later ones their number as well.
 
-    Slices are dealt by range and stream through their task in order, so no task holds more than one: a grid of
-    any size is written. ``encode`` gives the arrays by extension."""
+    Slices are dealt by range and stream through their task in order, so no task holds more than one and a batch: a grid of
+    any size is written. ``encode`` takes the edges of whole slices and where each starts, and gives by extension the numbers of
+    all their files and how many each has, so many small grids are encoded at once."""
     placed = partition.with_slice(e.select("src", "dst").distinct(), FILE_EDGES, width)
     rows = placed.select("gr", "gc", "slice", (F.col("src") % width).alias("ls"), (F.col("dst") % width).alias("ld"))
     order = ["gr", "gc", "slice"]
 
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        gr, gc, k, r, c = (t.column(x).to_numpy() for x in (*order, "ls", "ld"))
+        start = np.concatenate(([0], np.flatnonzero((gr[1:] != gr[:-1]) | (gc[1:] != gc[:-1]) | (k[1:] != k[:-1])) + 1))
+        for x, (numbers, counts) in encode(r, c, start).items():
+            key = {"gr": pa.array(gr[start]), "gc": pa.array(gc[start]), "slice": pa.array(k[start])}
+            yield pa.RecordBatch.from_pydict(key | {"ext": pa.array([x] * len(start)), "content": _contents(numbers, counts)})
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            gr, gc, k = (t.column(c)[0].as_py() for c in order)
-            stem = f"{gr}-{gc},{k}" if k else f"{gr}-{gc}"
-            made = encode(t.column("ls").to_numpy(), t.column("ld").to_numpy())
-            return pa.RecordBatch.from_pydict({"name": pa.array([f"{stem}.{x}" for x in made]), "content": pa.array([v.astype("<u4").tobytes() for v in made.values()], pa.binary())})
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = [batch.column(c).to_numpy() for c in order]
-            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
-            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
-                if held and any(held[-1].column(c)[0].as_py() != k[a] for c, k in zip(order, keys, strict=True)):
-                    yield done()
-                    held = []
-                held.append(batch.slice(a, b - a))
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != k[0] for c, k in zip(order, keys, strict=True)):
+                yield from done(held)
+                held = []
+            # The batch's last slice may go on in the next one.
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+            cut = int(new[-1]) + 1 if len(new) else 0
+            if cut:
+                yield from done([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
         if held:
-            yield done()
+            yield from done(held)
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "ls", "ld").mapInArrow(run, FILES)
+    made = rows.repartitionByRange(*order).sortWithinPartitions(*order, "ls", "ld").mapInArrow(run, "gr long, gc long, slice long, ext string, content binary")
+    stem = F.concat_ws("-", "gr", "gc")
+    return made.select(F.concat(F.when(F.col("slice") > 0, F.concat_ws(",", stem, "slice")).otherwise(stem), F.lit("."), "ext").alias("name"), "content")
+
+
+def _each_size(start: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(start, n))
 
 
 def write_el32(e: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     """Sorted, unique edge-list files, one or more a grid."""
-    return _by_slice(e, width, lambda r, c: {"el32.sorted": np.stack((r, c), axis=1).ravel()})
+    return _by_slice(e, width, lambda r, c, start: {"el32.sorted": (np.stack((r, c), axis=1).ravel(), 2 * _each_size(start, len(r)))})
 
 
 def _compressed(r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
@@ -236,9 +291,25 @@ def _compressed(r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": rows, "ptr": np.append(first, len(r)), "col": c}
 
 
+def _compressed_slices(r: np.ndarray, c: np.ndarray, start: np.ndarray) -> Slices:
+    """The three arrays of each slice, from edges sorted by (slice, r, c)."""
+    opens = np.ones(len(r), bool)
+    opens[1:] = r[1:] != r[:-1]
+    opens[start] = True
+    first = np.flatnonzero(opens)
+    sizes = _each_size(start, len(r))
+    of = np.searchsorted(start, first, side="right") - 1
+    rows = np.bincount(of, minlength=len(start))
+    # A slice's offsets are those of its rows and, last, its number of edges.
+    ptr = np.empty(len(first) + len(start), np.int64)
+    ptr[np.arange(len(first)) + of] = first - start[of]
+    ptr[np.cumsum(rows + 1) - 1] = sizes
+    return {"row": (r[first], rows), "ptr": (ptr, rows + 1), "col": (c, sizes)}
+
+
 def write_csr(e: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     """Compressed-row files of each grid: ``gr-gc.row``, ``.ptr`` and ``.col``, with further parts for large grids."""
-    return _by_slice(e, width, _compressed)
+    return _by_slice(e, width, _compressed_slices)
 
 
 def write_shards(e: DataFrame, shards: DataFrame, width: int = partition.WIDTH) -> DataFrame:
@@ -279,15 +350,24 @@ def read_csr(table: DataFrame, width: int = partition.WIDTH) -> DataFrame:
     whole = whole.withColumn("stem", F.regexp_replace("stem", _PART, "$1"))
     parsed = partition.parse_shard_name(whole).select("stem", "row", "ptr", "col", "gr", "gc", "depth", "sr", "sc")
 
-    def decode(stem: str, row: bytes, ptr: bytes, col: bytes, gr: int, gc: int, depth: int, sr: int, sc: int) -> Iterator[dict]:
-        if row is None or ptr is None or col is None:
-            raise ValueError(f"{stem} lacks one of its three files")
-        rows, starts, cols = (_longs(x, "<u4", stem) for x in (row, ptr, col))
-        if len(starts) != len(rows) + 1 or starts[-1] != len(cols):
-            raise ValueError(f"{stem} is cut off")
-        return in_rows({"src": np.repeat(rows, np.diff(starts)) + gr * width + sr * (width >> depth), "dst": cols + gc * width + sc * (width >> depth)})
-
-    return _decoded(parsed, decode, "src long, dst long")
+    def decode(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        stem = batch.column("stem")
+        fault = lambda bad, what: f"{stem[int(np.flatnonzero(bad)[0])].as_py()} {what}"
+        lacks = np.logical_or.reduce([batch.column(x).is_null().to_numpy(zero_copy_only=False) for x in ("row", "ptr", "col")])
+        if lacks.any():
+            raise ValueError(fault(lacks, "lacks one of its three files"))
+        (rows, n_rows), (starts, n_starts), (cols, n_cols) = (_joined(batch.column(x), "<u4", stem) for x in ("row", "ptr", "col"))
+        if (bad := n_starts != n_rows + 1).any():
+            raise ValueError(fault(bad, "is cut off"))
+        ends = np.cumsum(n_starts)
+        if (bad := starts[ends - 1] != n_cols).any():
+            raise ValueError(fault(bad, "is cut off"))
+        # Differences of neighbours, without those from one file's last to the next one's first.
+        sizes = np.delete(np.diff(starts), ends[:-1] - 1)
+        gr, gc, depth, sr, sc = (np.repeat(batch.column(x).to_numpy().astype(np.int64), n_cols) for x in ("gr", "gc", "depth", "sr", "sc"))
+        return {"src": np.repeat(rows, sizes) + gr * width + sr * (width >> depth), "dst": cols + gc * width + sc * (width >> depth)}
+
+    return _by_batch(parsed, decode, "src long, dst long")
 
 
 def write_relabel(mapping: DataFrame) -> DataFrame:
@@ -329,24 +409,29 @@ def write_tsv(e: DataFrame, path: str) -> None:
 
 
 def metadata(e: DataFrame, dataname: str, width: int = partition.WIDTH) -> DataFrame:
-    """One row: the metadata document of a grid data set, with its non-empty grids by name."""
-    edges = partition.with_grid(e, width)
-    grids = edges.groupBy("gr", "gc").agg(F.max(F.greatest("src", "dst")).alias("top")).groupBy().agg(
-        F.max(F.greatest("gr", "gc")).alias("last"), F.max("top").alias("max_vid"),
-        F.array_sort(F.collect_list(F.struct(F.concat_ws("-", "gr", "gc").alias("name"), F.struct(F.col("gr").alias("row"), F.col("gc").alias("col")).alias("index")))).alias("grid"),
-    )
-    side = (F.coalesce(F.col("last"), F.lit(-1)) + 1).cast("long")
-    return grids.select(
+    """The metadata document of a grid data set, with its non-empty grids by name: one row, or where there are many grids a row for each part of
+    about ``DOCUMENT_GRIDS``, which all state the whole data set's extent. No row, and no task, holds all grids."""
+    ws = Workspace(e.sparkSession)
+    grids = ws.keep(partition.with_grid(e, width).groupBy("gr", "gc").agg(F.max(F.greatest("src", "dst")).alias("top")), "grids")
+    whole = grids.agg(F.count("*").alias("n"), F.max(F.greatest("gr", "gc")).alias("last"), F.max("top").alias("max_vid")).first()
+    parts = max(1, -(-whole["n"] // DOCUMENT_GRIDS))
+    name = F.struct(F.concat_ws("-", "gr", "gc").alias("name"), F.struct(F.col("gr").alias("row"), F.col("gc").alias("col")).alias("index"))
+    # Without grids there is one document still, an empty one.
+    rows = grids.select(F.pmod(F.xxhash64("gr", "gc"), F.lit(parts)).alias("part"), name.alias("g"))
+    listed = (rows.repartition(parts, "part").groupBy("part") if whole["n"] else rows.groupBy()).agg(F.array_sort(F.collect_list("g")).alias("grid"))
+    side = F.lit((-1 if whole["last"] is None else whole["last"]) + 1).cast("long")
+    top = F.lit(whole["max_vid"]).cast("long")
+    return listed.select(
         F.lit(dataname).alias("dataname"),
         F.struct(F.lit("row").alias("row"), F.lit("ptr").alias("ptr"), F.lit("col").alias("col")).alias("extension"),
-        F.struct(F.struct(side.alias("row"), side.alias("col")).alias("count"), F.struct(F.lit(width).cast("long").alias("row"), F.lit(width).cast("long").alias("col")).alias("width"), "max_vid").alias("info"),
+        F.struct(F.struct(side.alias("row"), side.alias("col")).alias("count"), F.struct(F.lit(width).cast("long").alias("row"), F.lit(width).cast("long").alias("col")).alias("width"), top.alias("max_vid")).alias("info"),
         "grid",
     )
 
 
 def write_metadata(meta: DataFrame, path: str) -> None:
-    """As JSON, one row."""
-    meta.coalesce(1).write.mode("overwrite").json(path)
+    """As JSON, a file for each row."""
+    meta.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
