@@ -106,3 +106,33 @@ def test_metadata_goes_in_documents_of_bounded_length(spark, monkeypatch, tmp_pa
     assert len(rows) > 3 and max(len(r.grid) for r in rows) < 40
     assert {(r.dataname, r.info["count"]["row"], r.info.max_vid) for r in rows} == {("sample", 13, 24)}
     assert sorted(g.name for r in rows for g in r.grid) == sorted({f"{a // 2}-{b // 2}" for a, b in edges})
+
+
+def test_jobs_fill_the_cores_with_few_copies_of_a_list():
+    for cores in (1, 2, 7, 8, 12, 100):
+        for edges in (0, 10**6, 10**8, 432 * 10**6):
+            p, q = closing.shape(edges, cores)
+            assert p * closing.HELD >= edges and p * q >= cores
+            assert -(-p * q // cores) * cores <= (1 + closing.IDLE) * p * q
+    assert sum(closing.shape(72 * 10**6, 12)) == 7
+
+
+def test_normalised_edges_are_not_grouped_again(spark, monkeypatch):
+    """The queries' edges are normalised when they are made: counting writes them as they come."""
+    monkeypatch.setattr(graph, "normalize", lambda *a: pytest.fail("normalised again"))
+    e = frame(spark, [(a, b) for a in range(12) for b in range(a)])
+    assert triangles.count(e, "oriented", simple=True).first()[0] == 220
+    assert triangles.per_grid_triple(e, 4, simple=True).agg(F.sum("triangles")).first()[0] == 220
+    assert triangles.per_slice_triple(e, 5, 4, simple=True).agg(F.sum("triangles")).first()[0] == 220
+    shards = partition.quadtree(e, 10, 16)
+    assert triangles.per_job(e, shards, 16, simple=True).agg(F.sum("triangles")).first()[0] == 220
+
+
+def test_labels_dealt_are_ints(spark, monkeypatch):
+    kinds = []
+    deal = closing.deal
+    monkeypatch.setattr(closing, "deal", lambda lists, *a, **k: (kinds.append(lists.schema["label"].dataType.elementType.simpleString()), deal(lists, *a, **k))[1])
+    e = frame(spark, [(a, b) for a in range(12) for b in range(a)])
+    assert triangles.per_job(e, partition.quadtree(e, 10, 16), 16).agg(F.sum("triangles")).first()[0] == 220
+    assert triangles.per_slice_triple(e, 5, 4).agg(F.sum("triangles")).first()[0] == 220
+    assert kinds == ["int", "int"]
