@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from trigrid import closing, formats, graph, partition, triangles
+from trigrid import closing, formats, graph, partition, scans, triangles
 from trigrid.storage import Workspace
 
 
@@ -136,3 +136,44 @@ def test_labels_dealt_are_ints(spark, monkeypatch):
     assert triangles.per_job(e, partition.quadtree(e, 10, 16), 16).agg(F.sum("triangles")).first()[0] == 220
     assert triangles.per_slice_triple(e, 5, 4).agg(F.sum("triangles")).first()[0] == 220
     assert kinds == ["int", "int"]
+
+
+def partitions(spark, df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_tasks_of_gaps_lists_and_chunks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 50)
+    e = frame(spark, [(a, b) for a in range(60) for b in range(a)])
+    assert partitions(spark, graph.adjacent_gaps(e, 40)) > 8
+    assert partitions(spark, partition.adjacency(e, 8, 40)) > 8
+    assert partitions(spark, partition.csr_chunks(e, 5, 8, 40)) > 8
+    seen = []
+    keep = Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df, name, *a: (seen.append(partitions(spark, df)), keep(self, df, name, *a))[1])
+    partition.csr_rows(e, 8, 40)
+    assert seen[0] > 8
+
+
+@pytest.mark.parametrize("chunk", [4, 1 << 16])
+def test_rows_of_a_grid_are_ordered_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graph, "TASK_ROWS", 10)
+    monkeypatch.setattr(partition, "ROW_CHUNK", chunk, raising=False)
+    edges = sorted({(a, b) for a in range(100) for b in range(a) if (a * 7 + b) % 5 == 0})
+    want, at = [], {}
+    for a, g in sorted({(a, b // 32) for a, b in edges}):
+        n, start = sum(x == a and y // 32 == g for x, y in edges), at.get((a // 32, g), 0)
+        want.append((a // 32, g, a % 32, start, start + n))
+        at[a // 32, g] = start + n
+    rows = partition.csr_rows(frame(spark, edges), 32)
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    assert chunk > 4 or partitions(spark, rows) > 8
+
+
+def test_runs_of_a_scan_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 50)
+    ws = Workspace(spark)
+    rows = ws.keep(spark.range(1000).selectExpr("id * 7919 % 1000 AS x"), "rows")
+    found = scans.indexed(rows, ["x"], ws, "runs").collect()
+    assert all(r["x"] == r["index"] for r in found) and len(found) == 1000
+    assert spark.read.parquet(ws.path("runs")).select("__run").distinct().count() > 8
