@@ -177,3 +177,14 @@ def test_runs_of_a_scan_grow_with_the_rows(spark, monkeypatch):
     found = scans.indexed(rows, ["x"], ws, "runs").collect()
     assert all(r["x"] == r["index"] for r in found) and len(found) == 1000
     assert spark.read.parquet(ws.path("runs")).select("__run").distinct().count() > 8
+
+
+def test_items_of_a_group_are_paired_without_a_join(spark):
+    """A task sorts its rows once: no join of the table with itself, and one pass over the table's rows."""
+    rows = [(1, 5), (1, 3), (1, 5), (1, 9), (2, 5), (2, 3), (3, 7), (4, None), (None, 1), (None, 2), (5, -4), (5, 2), *((6, v % 70) for v in range(300))]
+    e = graph.co_occurrence(spark.createDataFrame(rows, "g long, v long"), "g", "v")
+    want = {(5, 3), (9, 3), (9, 5), (2, -4)} | {(a, b) for a in range(70) for b in range(a)}
+    got = list(map(tuple, e.collect()))
+    assert len(got) == len(want) and set(got) == want
+    plan = e._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(g") == 1
