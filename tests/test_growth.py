@@ -40,6 +40,30 @@ def test_grids_that_fit_are_not_counted_in_cells(spark, monkeypatch):
     assert shards.agg(F.sum("edges")).first()[0] == len(edges)
 
 
+def test_grids_that_fit_are_counted_once(spark, monkeypatch):
+    """The sizes of grids that settle the first depth are the first cells where grids fit: edges are read once."""
+    rng = random.Random(6)
+    edges = {tuple(sorted((rng.randrange(6000), rng.randrange(6000)), reverse=True)) for _ in range(3000)}
+    read, keep = spark.sparkContext.accumulator(0), Workspace.keep
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    def kept(self, df, name, *a):
+        out = keep(self, df, name, *a)
+        return out.mapInPandas(counted, out.schema) if name == "edges" else out
+
+    monkeypatch.setattr(Workspace, "keep", kept)
+    shards = partition.quadtree(frame(spark, edges), 60, 256).collect()
+    assert read.value == len(edges)
+    want = {}
+    for a, b in edges:
+        want[a // 256, b // 256] = want.get((a // 256, b // 256), 0) + 1
+    assert {(r.gr, r.gc, r.depth, r.sr, r.sc): r.edges for r in shards} == {(*g, 0, 0, 0): n for g, n in want.items()}
+
+
 @pytest.mark.parametrize("strategy", ["oriented", "hash", "bitmap", "grid"])
 def test_counts_move_lists_not_wedges(spark, strategy, monkeypatch):
     """A wheel of hubs has far more wedges than edges; rows dealt to jobs are lists, a few for each vertex."""
